@@ -11,6 +11,7 @@ from .decontam import find_contamination
 from .fingerprint import fingerprint_documents
 from .html_extract import extract_pages
 from .langid import identify_language, train_language_id
+from .ngram_join import similarity_classes
 from .pii import find_personal_data
 from .toxicity import score_toxicity, train_toxicity
 from .url_rules import judge_urls
@@ -37,6 +38,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(input_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(input_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(input_table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op8_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op7_ngram_jaccard_join, op8_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
