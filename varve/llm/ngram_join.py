@@ -433,3 +433,12 @@ def similarity_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataF
     by_class = named.where("n > 0").join(first, "component").select("f1", "f2", "component_id")
     rows = sets.join(by_class, ["f1", "f2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id go if their component has one."""
+    classes = similarity_classes(docs, cfg).where("component_id is not null and not (doc_id <=> component_id)")
+    gone = durable(classes.select(F.col("doc_id").alias("__gone")).distinct())
+    # 8 bytes a row: beyond this size the join shuffles instead
+    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")

@@ -11,6 +11,8 @@ from .decontam import find_contamination
 from .fingerprint import fingerprint_documents
 from .html_extract import extract_pages
 from .langid import identify_language, train_language_id
+from .line_dedup import drop_repeated_lines
+from .mixing import mix_sources, mix_sql
 from .ngram_join import similarity_classes
 from .pii import find_personal_data
 from .toxicity import score_toxicity, train_toxicity
@@ -38,6 +40,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(input_table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(input_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(input_table(spark, sf_dir, "documents"))
 
@@ -46,15 +52,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(input_table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(input_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents")
     return identify_language(docs, train_language_id(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op7_ngram_jaccard_join, op8_pii, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op6_line_dedup, op7_ngram_jaccard_join, op8_pii, op9_source_mixing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses."""
-    return {}
+    return {"op9_source_mixing": mix_sql()}
