@@ -152,6 +152,4 @@ def mix_sql(cfg: MixConfig = MixConfig()) -> str:
         f"p AS (SELECT d.*, epochs, rest, md5(concat_ws(':', '{cfg.seed}', CAST(epochs AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS place FROM d JOIN e USING (domain, lang, source))",
         "q AS (SELECT *, CAST(epochs AS BIGINT) + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS copies FROM p)",
     ]
-    return "WITH " + ",
-".join(parts) + "
-SELECT doc_id, domain, own_lang AS lang, own_source AS source, n_tokens, CAST(copies AS BIGINT) AS copies FROM q WHERE copies > 0"
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, domain, own_lang AS lang, own_source AS source, n_tokens, CAST(copies AS BIGINT) AS copies FROM q WHERE copies > 0"
