@@ -1,7 +1,7 @@
 """Connected components of a graph given as edges, with DataFrame operations only.
 
-Large-star and small-star steps alternate until the edges no longer change: then every node points at
-the smallest node of its component. Each step pre-aggregates by node, so that a node with very many
+Large-star and small-star steps alternate until every edge leads to a node without an edge of its own,
+which is then the smallest node of its component. Each step pre-aggregates by node, so that a node with very many
 edges does not meet in one task, and its result is written to the shared folder.
 """
 
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with one edge to a node with none: then all point at their smallest."""
+    parents = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    open_ones = parents.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u").unionByName(parents.where("n > 1").select("u"))
+    return open_ones.isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,10 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (columns a and b); component is its smallest node."""
     now = durable(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    mark = _digest(now)
-    while mark != before and mark[0]:
+    while not _settled(now):
         now = durable(_small_star(_large_star(now)))
-        before, mark = mark, _digest(now)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
