@@ -481,8 +481,8 @@ def reliability_weights(spark, d):
 
 @query(f"""WITH RECURSIVE e0 AS (SELECT a.pid AS a, b.pid AS b FROM places a JOIN places b ON a.archive = b.archive AND a.pid < b.pid WHERE a.source = b.source OR {HAVERSINE} <= 2500),
 e AS (SELECT e0.a, e0.b FROM e0 JOIN annual x ON x.pid = e0.a JOIN annual y ON y.pid = e0.b AND y.year = x.year GROUP BY 1, 2 HAVING count(*) >= 20 AND abs(corr(x.value, y.value)) >= 0.02),
-sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT pid AS node, pid AS at FROM places UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.at = sides.a),
-c AS (SELECT node AS pid, min(at) AS label FROM reach GROUP BY 1)
+sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT pid AS node, pid AS spot FROM places UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.spot = sides.a),
+c AS (SELECT node AS pid, min(spot) AS label FROM reach GROUP BY 1)
 SELECT pid, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS redundancy_group, CAST(count(*) OVER (PARTITION BY label) AS BIGINT) AS redundancy_group_size FROM c""", "annual", "places")
 def redundancy_components(spark, d):
     cfg = WeightConfig(enabled=True, radius_km=2500, correlation=0.02)
