@@ -45,6 +45,7 @@ class MixConfig:
     max_epochs: int = 4
     seed: int = 20260926
     rows_per_digit: int = 2000
+    broadcast_leaves: int = 100_000
 
 
 LEVELS = ("domain", "lang", "source")
@@ -102,21 +103,23 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     slim = durable(_named(docs, cfg).select("doc_id", *[F.col(f"__{c}").alias(c) for c in LEVELS], tokens.alias("n_tokens")))
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     shares = durable(leaf_shares(leaves, cfg).withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0))).withColumn("rest", F.col("share") - F.col("epochs") * F.col("tokens")), 1)
-    n = shares.agg(F.coalesce(F.max("docs"), F.lit(0))).first()[0]
+    n, leaf_count = shares.agg(F.coalesce(F.max("docs"), F.lit(0)), F.count(F.lit(1))).first()
+    # at most some 100 bytes a leaf: beyond this count the joins shuffle instead
+    small = F.broadcast if leaf_count <= cfg.broadcast_leaves else (lambda df: df)
     digits = max(1, min(4, math.ceil(math.log(max(2, n / cfg.rows_per_digit), 16))))
-    placed = slim.join(shares.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("place", _place(cfg, F.col("epochs"))).withColumn("lead", F.substring("place", 1, digits))
+    placed = slim.join(small(shares.select(*LEVELS, "epochs", "rest")), list(LEVELS)).withColumn("place", _place(cfg, F.col("epochs"))).withColumn("lead", F.substring("place", 1, digits))
     leaf = ", ".join(LEVELS)
     sums = placed.groupBy(*LEVELS, "rest", "lead").agg(F.sum("n_tokens").alias("n"))
     until = sums.selectExpr("*", f"sum(n) OVER (PARTITION BY {leaf} ORDER BY lead) AS through")
     edge = durable(until.where("through > rest").groupBy(*LEVELS).agg(F.min(F.struct("lead", (F.col("through") - F.col("n")).alias("before"))).alias("e")).select(*LEVELS, F.col("e.lead").alias("edge"), F.col("e.before").alias("before")), 1)
-    last = placed.join(edge, list(LEVELS)).where("lead = edge").selectExpr(*LEVELS, "place", "rest", f"before + sum(n_tokens) OVER (PARTITION BY {leaf}, edge ORDER BY place) AS through")
+    last = placed.join(small(edge), list(LEVELS)).where("lead = edge").selectExpr(*LEVELS, "place", "rest", f"before + sum(n_tokens) OVER (PARTITION BY {leaf}, edge ORDER BY place) AS through")
     cut = last.where("through <= rest").groupBy(*LEVELS).agg(F.max("place").alias("cut"))
     ends = shares.select(*LEVELS, "epochs").join(edge.select(*LEVELS, "edge"), list(LEVELS), "left").join(cut, list(LEVELS), "left")
     ends = ends.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("epochs").alias("__epochs"), F.col("edge").alias("__edge"), F.col("cut").alias("__cut"))
     # before the edge digits, or among them up to the cut; a leaf without an edge is taken whole once more
     place = _place(cfg, F.col("__epochs"))
     taken = F.when(F.col("__edge").isNull(), True).otherwise((F.substring(place, 1, digits) < F.col("__edge")) | F.coalesce(place <= F.col("__cut"), F.lit(False)))
-    full = _named(docs, cfg).join(ends, [f"__{c}" for c in LEVELS])
+    full = _named(docs, cfg).join(small(ends), [f"__{c}" for c in LEVELS])
     full = full.withColumn("__copies", (F.col("__epochs") + taken.cast("long")).cast("long")).where("__copies > 0")
     kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
     return full.select(*kept, F.col("__domain").alias("domain"), tokens.alias("n_tokens"), F.col("__copies").alias("copies"))
