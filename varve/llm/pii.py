@@ -128,7 +128,7 @@ def find_spans(text: str | None, machine: ahocorasick.Automaton) -> dict[str, li
                 if any(c.isdigit() for c in m[1]):
                     out["secret"].append(m.span(1))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out["ip"].append(m.span())
     for m in DIGITS.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := m[0].translate(SEPARATORS)) <= 19 and luhn(d):
