@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.config import FilterConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, TargetConfig
+from varve.config import FilterConfig, MultiresolutionConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, TargetConfig
 from varve.plans.pipeline import audit_violations, paired_difference, prepare_target, primary_summary, run_pipeline
-from varve.plans.reconstruct import reconstruct
+from varve.plans.reconstruct import outer_validation, reconstruct, tune_slow_layer
 from varve.sources import sinks
 from varve.streaming.windows import merged_means, streaming_window_means
 
@@ -89,6 +89,20 @@ def test_hopeless_target_is_rejected_not_tuned(spark, world):
     assert got.nests.count() > 0
 
 
+def test_outer_folds_and_slow_layer(spark, world):
+    obs, records, selected, target = inputs(spark, world)
+    cfg = ReconstructionConfig(members=0)
+    for rescreen in (False, True):
+        got = {(r.run, r.metric): r.value for r in outer_validation(obs, records, selected, target, cfg=cfg, rescreen=rescreen).collect()}
+        assert {k for k, _ in got} == {"early", "late"} and got["early", "r"] > 0.7 and got["late", "n"] == 34
+    slow = MultiresolutionConfig(enabled=True, weight_candidates=(1.0, 10.0), period_candidates=(10.0,))
+    few = records.withColumn("resolution", F.when(F.col("pid") == "slow", 11.0).otherwise(F.col("resolution")))
+    tuned, grid = tune_slow_layer(obs, few, selected, target, cfg=ReconstructionConfig(members=0, multiresolution=slow))
+    table = {r.weight: r.objective for r in grid.collect()}
+    assert set(table) == {0.0, 1.0, 10.0} and not tuned.multiresolution.auto_tune
+    assert table[tuned.multiresolution.constraint_weight] == max(table.values())
+
+
 def test_target_and_empty_selection(spark, world):
     obs, records, selected, _ = inputs(spark, world)
     years = spark.createDataFrame([(1900 + k, float(k) + math.sin(k)) for k in range(60)], "Year int, v double")

@@ -79,7 +79,7 @@ def run_pipeline(source: DataFrame, observations: DataFrame, config: PipelineCon
     values = target_years(target)
     years = list(values)
     fit = score_runs(made.series, values, {"main": years}, {"main": years}, cfg)
-    outer = outer_validation(obs, records, selected, target, config.pca, cfg, config.screening) if cfg.outer_validation else None
+    outer = outer_validation(obs, records, selected, target, config.pca, cfg, config.screening, cfg.rescreen_folds) if cfg.outer_validation else None
     sens = config.sensitivity
     more = sensitivities(obs, records, selected, target, config) if sens.single or sens.leave_one_out or sens.delete_repeats or sens.split_periods else None
     return PipelineResult(config, facts, decisions, read.rejects, dropped, groups, target, table, made, fit, outer, more)

@@ -23,9 +23,11 @@ from ..functions.storage import kept
 from ..kernels import model as models
 from ..kernels import skill as skills
 from ..kernels.nest_weights import nest_weights
-from ..kernels.smooth import lowpass
+from ..kernels.smooth import assimilate, lowpass
 from ..operators import nests as nest_ops
 from ..operators import temporal
+from ..operators.screening import screen
+from ..operators.validation import edge_folds
 
 TAGGED = "run string, nest_id string, kind string, year int, value double, raw double, runs array<double>, core_count int, start int, end int, payload string"
 
@@ -72,10 +74,17 @@ def prepared_matrix(annual: DataFrame, records: DataFrame, cfg: ReconstructionCo
     return filled
 
 
+def core_limit(cfg: ReconstructionConfig) -> float:
+    """The coarsest resolution of series in the annual matrix."""
+    if cfg.nest.subnests:
+        return cfg.nest.direct_resolution
+    return cfg.multiresolution.regression_max_resolution if cfg.multiresolution.enabled else float("inf")
+
+
 def _nest_rows(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataFrame, cfg: ReconstructionConfig) -> DataFrame:
     """(run, nest_id, start, end, kind, pid, x, y, facts): matrix cells, native samples and facts of every nest's series."""
     member = runs.select("run", "nest_id", "start", "end", F.explode("pids").alias("pid"))
-    fine = F.coalesce(F.col("resolution") <= cfg.nest.direct_resolution, F.lit(True)) if cfg.nest.subnests else F.lit(True)
+    fine = F.coalesce(F.col("resolution") <= core_limit(cfg), F.lit(True))
     error = [F.when(number(F.element_at("metadata", F.lit(f))) > 0, number(F.element_at("metadata", F.lit(f)))) for f in cfg.weights.error_fields]
     facts = records.select("pid", fine.alias("core"), F.to_json(F.struct("archive", "proxy", "lat", "lon", "resolution", F.element_at("metadata", F.lit("geo_siteName")).alias("site"), F.element_at("metadata", F.lit("dataSetName")).alias("source"), F.coalesce(*error).alias("error_sd"))).alias("facts"))
     member = member.join(facts, "pid")
@@ -108,7 +117,7 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
         years = np.arange(start, end + 1)
         facts = {p: json.loads(f) for p, f in group.loc[group["kind"] == "fact", ["pid", "facts"]].itertuples(index=False)}
         cells = group[group["kind"] == "cell"]
-        names = sorted(p for p, f in facts.items() if not cfg.nest.subnests or (f.get("resolution") or 0) <= cfg.nest.direct_resolution)
+        names = sorted(p for p, f in facts.items() if (f.get("resolution") or 0) <= core_limit(cfg))
         place = {p: k for k, p in enumerate(names)}
         x = np.full((len(years), len(names)), np.nan)
         x[cells["x"].to_numpy(dtype=int) - start, cells["pid"].map(place).to_numpy(dtype=int)] = cells["y"].to_numpy(dtype=float)
@@ -207,6 +216,8 @@ def target_years(target: DataFrame) -> dict[int, float]:
 
 def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target: DataFrame, pca: PCAConfig = PCAConfig(), cfg: ReconstructionConfig = ReconstructionConfig(), scr: ScreeningConfig = ScreeningConfig(), networks: DataFrame | None = None, train: dict[str, Sequence[int]] | None = None) -> Reconstruction:
     """Reconstruct the target. records: pid, archive, proxy, lat, lon, metadata, resolution; selected: pid, season."""
+    if cfg.multiresolution.enabled and cfg.multiresolution.auto_tune:
+        cfg, _ = tune_slow_layer(obs, records, selected, target, pca, cfg, scr)
     values = target_years(target)
     period = cfg.calibration_period
     years = sorted(t for t in values if period is None or period[0] <= t <= period[1])
@@ -248,31 +259,55 @@ def score_runs(series: DataFrame, target: dict[int, float], held: dict[str, Sequ
     return series.select("run", "year", "point", "point_raw").groupBy("run").applyInPandas(score, "run string, metric string, value double")
 
 
-def outer_validation(obs, records, selected, target, pca=PCAConfig(), cfg=ReconstructionConfig(), scr=ScreeningConfig(), block: int | None = None) -> DataFrame:
-    """(run, metric, value) of folds that are held out from everything; as in inner folds, contiguous blocks judge the candidates."""
+def outer_validation(obs, records, selected, target, pca=PCAConfig(), cfg=ReconstructionConfig(), scr=ScreeningConfig(), rescreen: bool = False) -> DataFrame:
+    """(run, metric, value) of the early and the late part, each held out from everything; contiguous blocks judge the candidates inside.
+
+    With ``rescreen`` each fold selects its series anew from its training years. A fold that fails has
+    the metric ``failed`` only.
+    """
     values = target_years(target)
-    years = np.array(sorted(values))
-    folds = skills.blocked_folds(years, block or max(2, int(np.ceil(len(years) * cfg.external_fraction))), cfg.minimum_train)
-    train = {f"fold_{k}": t.tolist() for k, (t, _) in enumerate(folds)}
-    held = {f"fold_{k}": h.tolist() for k, (_, h) in enumerate(folds)}
+    years = sorted(values)
     spark = obs.sparkSession
-    runs = spark.createDataFrame([(n,) for n in train], "run string")
+    table = edge_folds(spark.createDataFrame([(y,) for y in years], "year int"), cfg.external_fraction, least_train=max(20, pca.max_components + 3)).collect()
+    held = {f"{name}": sorted(r["year"] for r in table if r["fold"] == k) for k, name in enumerate(("early", "late"))}
+    held = {k: v for k, v in held.items() if v}
+    train = {k: [y for y in years if y not in set(v)] for k, v in held.items()}
     inner = replace(cfg, members=0 if cfg.method == "explicit_nest" else cfg.members, retain_longest_segment=False)
-    got = reconstruct(obs, records, selected, target, pca, inner, scr, selected.select("pid").crossJoin(runs).select("run", "pid"), train)
-    return score_runs(got.series, values, held, train, cfg)
+    if not rescreen:
+        runs = spark.createDataFrame([(n,) for n in train], "run string")
+        got = reconstruct(obs, records, selected, target, pca, inner, scr, selected.select("pid").crossJoin(runs).select("run", "pid"), train)
+        return score_runs(got.series, values, held, train, cfg)
+    return _rescreened(obs, records, target, pca, inner, scr, train, held, values, cfg)
+
 
+def _rescreened(obs, records, target, pca, inner, scr, train, held, values, cfg) -> DataFrame:
+    """Runs that screen on their own training years; as each has its own seasons, they are fitted one after another."""
+    spark = obs.sparkSession
+    out = spark.createDataFrame([], "run string, metric string, value double")
+    for run, years in train.items():
+        learn = target.join(spark.createDataFrame([(y,) for y in years], "year int"), "year", "left_semi")
+        own = kept(screen(obs, records, learn, replace(scr, period=None)).where("selected").select("pid", F.coalesce("season", F.lit("")).alias("season")))
+        if own.isEmpty():
+            part = spark.createDataFrame([(run, "failed", 1.0)], "run string, metric string, value double")
+        else:
+            got = reconstruct(obs, records, own, target, pca, inner, scr, own.select(F.lit(run).alias("run"), "pid"), {run: years})
+            part = score_runs(got.series, values, held, train, cfg)
+        out = out.unionByName(kept(part))
+    return out
 
-def sensitivities(obs, records, selected, target, config: PipelineConfig, splits: Sequence | None = None) -> DataFrame:
-    """(run, metric, value) of refits with single series, one left out, random deletions and split periods."""
+
+def sensitivities(obs, records, selected, target, config: PipelineConfig) -> DataFrame:
+    """(run, metric, value) of refits with single series, one left out, random deletions, and split periods screened anew."""
     cfg, sens = replace(config.reconstruction, retain_longest_segment=False), config.sensitivity
     values = target_years(target)
     years = sorted(values)
     pids = [r["pid"] for r in selected.select("pid").orderBy("pid").collect()]
-    networks, train, held = [], {}, {}
+    networks: list[tuple[str, str]] = []
+    train: dict[str, list[int]] = {}
 
-    def add(run: str, members: Sequence[str], learn=years, score=years) -> None:
+    def add(run: str, members: Sequence[str]) -> None:
         networks.extend((run, p) for p in members)
-        train[run], held[run] = list(learn), list(score)
+        train[run] = years
 
     if sens.single:
         for p in pids:
@@ -284,15 +319,78 @@ def sensitivities(obs, records, selected, target, config: PipelineConfig, splits
         rng = np.random.default_rng(np.random.SeedSequence([cfg.seed, k]))
         keep = max(2, int(np.ceil(len(pids) * (1 - sens.delete_fraction))))
         add(f"deletion:{k}", sorted(rng.choice(pids, min(keep, len(pids)), replace=False).tolist()))
-    for (a, b), (c, e) in splits if splits is not None else sens.split_periods:
-        add(f"split:{a}-{b}:{c}-{e}", pids, [t for t in years if a <= t <= b], [t for t in years if c <= t <= e])
-    if not networks:
-        return obs.sparkSession.createDataFrame([], "run string, metric string, value double")
-    table = obs.sparkSession.createDataFrame(networks, "run string, pid string")
-    nest = replace(cfg.nest, minimum_members=1, minimum_core=1)
-    small = replace(cfg, nest=nest, members=0)
-    got = reconstruct(obs, records, selected, target, replace(config.pca, min_series_per_year=1), small, config.screening, table, train)
-    return score_runs(got.series, values, held, train, cfg)
+    small = replace(cfg, nest=replace(cfg.nest, minimum_members=1, minimum_core=1), members=0)
+    pca = replace(config.pca, min_series_per_year=1)
+    out = obs.sparkSession.createDataFrame([], "run string, metric string, value double")
+    if networks:
+        table = obs.sparkSession.createDataFrame(networks, "run string, pid string")
+        got = reconstruct(obs, records, selected, target, pca, small, config.screening, table, train)
+        out = out.unionByName(score_runs(got.series, values, train, train, cfg))
+    if sens.split_periods:
+        names = {f"split:{a}-{b}:{c}-{e}": ((a, b), (c, e)) for (a, b), (c, e) in sens.split_periods}
+        part = lambda bounds: [t for t in years if bounds[0] <= t <= bounds[1]]
+        learn, score = ({k: part(v[i]) for k, v in names.items()} for i in (0, 1))
+        out = out.unionByName(_rescreened(obs, records, target, pca, small, config.screening, learn, score, values, cfg))
+    return out
+
+
+def tune_slow_layer(obs, records, selected, target, pca=PCAConfig(), cfg=ReconstructionConfig(), scr=ScreeningConfig()) -> tuple[ReconstructionConfig, DataFrame]:
+    """(settings with the best constraint weight and period, table of the grid).
+
+    On contiguous folds the annual core is reconstructed without slow series; each candidate then corrects
+    it, learning from the fold's training years, and is judged by its annual and low-pass skill on the held
+    years. No correction is always a candidate, and wins ties.
+    """
+    slow_cfg = cfg.multiresolution
+    values = target_years(target)
+    folds = skills.blocked_folds(np.array(sorted(values)), cfg.block_years, cfg.minimum_train)
+    train = {f"fold_{k}": t.tolist() for k, (t, _) in enumerate(folds)}
+    held = {f"fold_{k}": h.tolist() for k, (_, h) in enumerate(folds)}
+    limit = cfg.nest.subnest_max_resolution if cfg.nest.subnests else slow_cfg.regression_max_resolution
+    slow = records.where(F.col("resolution") > limit).select("pid")
+    samples = obs.join(slow, "pid", "left_semi").join(selected.select("pid"), "pid", "left_semi")
+    none = replace(cfg, multiresolution=replace(slow_cfg, constraint_weight=0.0, auto_tune=False))
+    schema = "run string, weight double, period double, used int, annual_ce double, annual_r double, lowpass_ce double, lowpass_r double"
+    if len(folds) < slow_cfg.minimum_folds:
+        return none, obs.sparkSession.createDataFrame([], schema)
+    runs = obs.sparkSession.createDataFrame([(n,) for n in train], "run string")
+    core_cfg = replace(cfg, members=0, retain_longest_segment=False, multiresolution=replace(slow_cfg, enabled=False))
+    core = reconstruct(obs, records, selected.join(slow, "pid", "left_anti"), target, pca, core_cfg, scr, selected.join(slow, "pid", "left_anti").select("pid").crossJoin(runs).select("run", "pid"), train).series
+    rows = core.select("run", F.lit(None).cast("string").alias("pid"), F.col("year").cast("double").alias("x"), F.col("point").alias("y")).unionByName(samples.crossJoin(runs).select("run", "pid", F.col("time").alias("x"), F.col("value").alias("y")))
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        run = group["run"].iloc[0]
+        own = group[group["pid"].isna()].sort_values("x")
+        series = [(p, g["x"].to_numpy(dtype=float), g["y"].to_numpy(dtype=float)) for p, g in group[group["pid"].notna()].sort_values("x").groupby("pid")]
+        out = []
+        if len(own):
+            years = np.arange(int(own["x"].min()), int(own["x"].max()) + 1)
+            point = np.full(len(years), np.nan)
+            point[own["x"].to_numpy(dtype=int) - years[0]] = own["y"].to_numpy(dtype=float)
+            learn = np.array(train[run])
+            known = np.array([values[int(t)] for t in learn])
+            judged = np.array([t for t in held[run] if years[0] <= t <= years[-1]])
+            o = np.array([values[int(t)] for t in judged])
+            name = f"lowpass_{slow_cfg.selection_period:g}y_".replace(".", "p")
+            for weight in sorted({0.0, *slow_cfg.weight_candidates}):
+                for period in slow_cfg.period_candidates:
+                    got, used = point, 0
+                    if weight > 0:
+                        got, audit = assimilate(years, point, series, learn, known, replace(slow_cfg, constraint_weight=weight, lowpass_period=period))
+                        used = sum(a["status"] == "used" for a in audit)
+                    p = got[judged - years[0]]
+                    a, m = skills.skill(o, p, judged, float(known.mean())), skills.multiscale(o, p, judged, (slow_cfg.selection_period,), float(known.mean()))
+                    out.append((run, weight, period, used, a["ce"], a["r"], m[name + "ce"], m[name + "r"]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    fold_table = kept(rows.groupBy("run").applyInPandas(judge, schema))
+    clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("annual_ce", "annual_r", "lowpass_ce", "lowpass_r")]
+    grid = fold_table.select("run", "weight", "period", "used", *clean).groupBy("weight", "period").agg(F.count_distinct("run").alias("folds"), *[F.median(c).alias(c) for c in ("annual_ce", "annual_r", "lowpass_ce", "lowpass_r")])
+    grid = kept(grid.withColumn("objective", F.least("annual_ce", "lowpass_ce") + 0.1 * F.col("lowpass_r")))
+    best = grid.where("objective is not null and folds >= " + str(slow_cfg.minimum_folds)).orderBy(F.desc("objective"), "weight", "period").first()
+    if best is None:
+        return none, grid
+    return replace(cfg, multiresolution=replace(slow_cfg, constraint_weight=best["weight"], lowpass_period=best["period"], auto_tune=False)), grid
 
 
 def lowpass_states(annual: DataFrame, period: float) -> DataFrame:
