@@ -180,15 +180,16 @@ def frequent_shingles(docs: DataFrame, n_buckets: int, cfg: JoinConfig) -> tuple
         return pa.table({"key": key[starts][keep].astype(np.int64), "n": n[keep]}, schema=total_out)
 
     counted = durable(docs.select("text").mapInArrow(count, schema).groupBy("bucket").applyInArrow(total, total_schema))
-    # the table that is broadcast is bounded: the least count is raised until it fits
-    sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).limit(100_000).collect()
-    least, room = cfg.small + 1, cfg.most_counted
-    for r in sizes:
+    # the table that is broadcast is bounded: classes of counts, the highest first, are taken while they fit
+    size_class = F.floor(F.log2("n") * 16)
+    classes = counted.groupBy(size_class.alias("k")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("k")).collect()
+    room, least = cfg.most_counted, None
+    for r in classes:
         room -= r["c"]
         if room < 0:
-            least = r["n"] + 1
             break
-    got = counted.where(F.col("n") >= least).toArrow()
+        least = r["k"]
+    got = counted.where(size_class >= F.lit(least) if least is not None else F.lit(False)).toArrow()
     key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
