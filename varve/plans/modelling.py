@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ def nest_pcr_ensemble(spark, d):
     return rec.reconstruct(*_inputs(spark, d), PCAConfig(), DEMO).series.orderBy("year")
 
 
+@query()
+def nest_ensemble_500(spark, d):
+    """(nests, regressions): how many nests were fitted with 500 random calibrations each, and so many regressions. Brands begin and end in different weeks, so that there are many nests."""
+    obs, records, selected, target = _inputs(spark, d)
+    k = F.regexp_extract("pid", "([0-9]+)", 1).cast("int")
+    obs = obs.where(F.col("time").between(k * 3 % 40, 300 + k * 7 % 45))
+    got = rec.reconstruct(obs, records, selected, target, PCAConfig(), replace(DEMO, members=500))
+    points = got.members.where("runs is not null").groupBy("nest_id").agg(F.max(F.size("runs")).alias("k"))
+    return points.agg(F.count(F.lit(1)).alias("nests"), F.sum("k").cast("long").alias("regressions"))
+
+
 @query()
 def nest_audit(spark, d):
     return rec.reconstruct(*_inputs(spark, d), PCAConfig(), DEMO).nests
@@ -42,15 +55,11 @@ def resolution_layers(spark, d):
 
 @query()
 def native_missing_series(spark, d):
-    from dataclasses import replace
-
     return rec.reconstruct(*_inputs(spark, d), PCAConfig(), replace(DEMO, method="native_missing", nest=replace(DEMO.nest, subnests=False))).series
 
 
 @query()
 def outer_fold_skill(spark, d):
-    from dataclasses import replace
-
     return rec.outer_validation(*_inputs(spark, d), PCAConfig(), replace(DEMO, members=0))
 
 
@@ -110,8 +119,6 @@ def spectral_skill(spark, d):
 @query()
 def full_pipeline(spark, d):
     """From the source table to the reconstruction, with filter, deduplication and screening."""
-    from dataclasses import replace
-
     from ..config import ScreeningConfig
     from .pipeline import run_pipeline
 

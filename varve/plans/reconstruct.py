@@ -145,13 +145,15 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
         if got["accepted"]:
             for k in np.flatnonzero(np.isfinite(got["point"])):
                 m = got["members"]
-                runs_here = None if m is None else [float(v) for v in m[k] if np.isfinite(v)]
+                runs_here = None if m is None else m[k][np.isfinite(m[k])]
                 rows.append(base | {"kind": "point", "year": int(years[k]), "value": float(got["point"][k]), "raw": float(got["raw"][k]) if np.isfinite(got["raw"][k]) else None, "runs": runs_here})
         names_out = [c.split()[0] for c in TAGGED.split(", ")]
         frame = pd.DataFrame(rows).reindex(columns=names_out)
         return frame.astype(object).where(frame.notna(), None) if len(frame) else frame
 
-    rows = _nest_rows(runs, matrix, obs, records, cfg)
+    # fitting costs seconds a nest and few bytes: as many partitions as nests, which are not coalesced by size
+    parts = max(1, min(runs.count(), 10_000))
+    rows = _nest_rows(runs, matrix, obs, records, cfg).repartition(parts, "run", "nest_id")
     return kept(rows.groupBy("run", "nest_id").applyInPandas(fit, TAGGED))
 
 
