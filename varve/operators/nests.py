@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NestConfig
@@ -56,11 +58,24 @@ def combine_densest(predictions: DataFrame) -> DataFrame:
 QUANTILES = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
 
 
-def pool_members(members: DataFrame) -> DataFrame:
-    """(year, q05 ... q95, ensemble_n): exact quantiles over all finite values of all nests and runs. members: (nest_id, year, runs)."""
-    values = members.select("year", F.explode("runs").alias("v")).where("v is not null and not isnan(v)")
-    out = values.groupBy("year").agg(F.percentile("v", F.array(*[F.lit(q) for q in QUANTILES.values()])).alias("q"), F.count("v").alias("ensemble_n"))
-    return out.select("year", *[F.col("q")[k].alias(n) for k, n in enumerate(QUANTILES)], "ensemble_n")
+def sorted_quantile(values: Column, q: float) -> Column:
+    """Linear quantile of a sorted array without missing elements."""
+    place = F.lit(q) * (F.size(values) - 1)
+    low = F.floor(place).cast("int")
+    x, y = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return x + (y - x) * (place - low)
+
+
+def pool_members(members: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, year, q05 ... q95, ensemble_n): exact quantiles over all finite values of all nests and runs.
+
+    members: (keys, nest_id, year, runs). A year's values move once, as arrays, and are as many as nests
+    times runs at most.
+    """
+    clean = F.filter("runs", lambda v: v.isNotNull() & ~F.isnan(v))
+    pooled = members.select(*keys, "year", clean.alias("runs")).groupBy(*keys, "year").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("v"))
+    pooled = pooled.where(F.size("v") > 0)
+    return pooled.select(*keys, "year", *[sorted_quantile(F.col("v"), q).alias(n) for n, q in QUANTILES.items()], F.size("v").cast("long").alias("ensemble_n"))
 
 
 def pool_densest(members: DataFrame) -> DataFrame:

@@ -174,9 +174,7 @@ def combine(tagged: DataFrame, cfg: ReconstructionConfig, n_members: int) -> Dat
         if cfg.nest.combination == "densest":
             order = Window.partitionBy("run", "year").orderBy(F.desc("core_count"), "start", F.desc("end"), "nest_id")
             rows = points.withColumn("place", F.row_number().over(order)).where("place = 1")
-        values = rows.select("run", "year", F.explode("runs").alias("v")).where("v is not null and not isnan(v)")
-        pooled = values.groupBy("run", "year").agg(F.percentile("v", F.array(*[F.lit(q) for q in nest_ops.QUANTILES.values()])).alias("q"), F.count("v").alias("ensemble_n"))
-        out = out.join(pooled.select("run", "year", *[F.col("q")[k].alias(n) for k, n in enumerate(nest_ops.QUANTILES)], "ensemble_n"), ["run", "year"], "left")
+        out = out.join(nest_ops.pool_members(rows, ["run"]), ["run", "year"], "left")
         out = out.withColumn("median_full_fit", F.col("point"))
     else:
         out = out.withColumns({q: F.col("point") for q in nest_ops.QUANTILES} | {"ensemble_n": F.col("nests"), "median_full_fit": F.col("point")})
