@@ -68,3 +68,12 @@ def test_empty_tables(spark, make_docs, case):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(make_docs([]), none).count() == 0
     assert not any(r.contaminated for r in find_contamination(make_docs(case[0][:9]), none).collect())
+
+
+@pytest.mark.parametrize("block", [2_000_000, 60])
+def test_rows_that_share_an_id_are_judged_each(spark, make_docs, case, block):
+    items = case[1]
+    bad = max((t or "" for _, t in items), key=len)
+    docs = [(None, bad), (None, "clean text without id"), (3, bad), (3, "clean text of that id"), (4, "other")]
+    clean = drop_contaminated(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), DecontaminationConfig(block_words=block))
+    assert sorted(r.text for r in clean.collect()) == ["clean text of that id", "clean text without id", "other"]

@@ -163,7 +163,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminati
     parts = next(indexes, ({}, {}, {}))
     more = next(indexes, None)
     if more is not None:
-        return _merged(docs, chain((parts, more), indexes), cfg)
+        return _merged(docs, chain((parts, more), indexes), cfg).drop("key")
     known = docs.sparkSession.sparkContext.broadcast(parts)
 
     def make():
@@ -182,7 +182,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminati
 
 
 def _merged(docs: DataFrame, indexes, cfg: DecontaminationConfig) -> DataFrame:
-    """The way for benchmarks of more than one block: a pass for each block, then a merge of the few hits by document."""
+    """The way for benchmarks of more than one block: a pass for each block, then a merge of the few hits by document. ``key``, a hash of doc_id and text, names the row."""
     sc = docs.sparkSession.sparkContext
     keyed = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     hits = None
@@ -210,7 +210,8 @@ def _merged(docs: DataFrame, indexes, cfg: DecontaminationConfig) -> DataFrame:
 
     sizes = map_arrow(keyed, counting, "doc_id long, key long, n_words long")
     grouped = hits.groupBy("doc_id", "key").agg(F.collect_set("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    out_schema = arrow_schema(docs.sparkSession, RESULT)
+    schema = f"{RESULT}, key long"
+    out_schema = arrow_schema(docs.sparkSession, schema)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +224,12 @@ def _merged(docs: DataFrame, indexes, cfg: DecontaminationConfig) -> DataFrame:
                         merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
                     else:
                         merged.append((s, e))
-                made.append(_row(r["doc_id"], r["n_words"], merged, set(r["items"] or ()), cfg.share))
+                made.append(_row(r["doc_id"], r["n_words"], merged, set(r["items"] or ()), cfg.share) | {"key": r["key"]})
             yield pa.RecordBatch.from_pylist(made, schema=out_schema)
 
     same = sizes["doc_id"].eqNullSafe(grouped["doc_id"]) & (sizes["key"] == grouped["key"])
-    joined = sizes.join(grouped, same, "left").select(sizes["doc_id"], "n_words", "ranges", "items")
-    return joined.mapInArrow(finish, RESULT)
+    joined = sizes.join(grouped, same, "left").select(sizes["doc_id"], sizes["key"], "n_words", "ranges", "items")
+    return joined.mapInArrow(finish, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
@@ -240,8 +241,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Decontaminatio
     parts = next(indexes, ({}, {}, {}))
     more = next(indexes, None)
     if more is not None:
-        bad = _merged(docs, chain((parts, more), indexes), cfg).where("contaminated").select("doc_id")
-        return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        bad = _merged(docs, chain((parts, more), indexes), cfg).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+        return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__key")), "left_anti")
     known = docs.sparkSession.sparkContext.broadcast(parts)
     at = docs.columns.index("text")
 
