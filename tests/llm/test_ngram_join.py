@@ -110,3 +110,10 @@ def test_shingle_sets():
     assert len(shingle_set(None, 5)) == 0 and len(shingle_set("a b", 5)) == 1
     assert len(shingle_set("a b c d e f a b c d e", 5)) == len(shingles("a b c d e f a b c d e"))
     assert (shingle_set("A b\tc D e f", 5) == shingle_set("a B c\nd E F", 5)).all()
+
+
+def test_keeps_one_row_where_ids_repeat_or_lack(spark, make_docs):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (2, text(1)), (2, text(3)), (None, text(4)), (None, text(4)), (5, text(5)), (5, text(5)), (6, ""), (6, ""), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in keep_one_of_each(make_docs(rows)).collect()), key=str)
+    assert got == sorted([(1, text(1)), (None, text(2)), (2, text(3)), (None, text(4)), (5, text(5)), (6, ""), (6, ""), (None, None)], key=str)

@@ -84,7 +84,7 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """doc_id, n (size of the set) and the set's fingerprint f1, f2 of every row."""
+    """doc_id, key (a hash of the text), n (size of the set) and the set's fingerprint f1, f2 of every row."""
 
     def make():
         def work(rows: list[dict]) -> list[dict]:
@@ -92,12 +92,12 @@ def document_sets(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
             for r in rows:
                 t = shingle_set(r["text"], cfg.words)
                 f1, f2 = _fingerprint(t)
-                out.append({"doc_id": r["doc_id"], "n": len(t), "f1": f1, "f2": f2})
+                out.append({"doc_id": r["doc_id"], "key": r["key"], "n": len(t), "f1": f1, "f2": f2})
             return out
 
         return work
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n long, f1 long, f2 long")
+    return map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), make, "doc_id long, key long, n long, f1 long, f2 long")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], cfg: JoinConfig) -> Iterator[tuple[int, np.ndarray]]:
@@ -411,8 +411,8 @@ def _compare_clusters(stars: DataFrame, labels: DataFrame, sets: DataFrame, docs
     return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, schema)
 
 
-def similarity_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _classified(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """doc_id, key, n of every row, and best (none, doc_id, key) of its component: the smallest doc_id, nulls last; null for empty sets."""
     spark = docs.sparkSession
     sets = durable(document_sets(docs, cfg))
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -428,18 +428,30 @@ def similarity_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataF
     if more is not None:
         labels = components(edges.unionByName(more))
     # classes of equal sets, then components of classes: both are summed before rows meet again
-    classes = sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min(rank).alias("first"))
     named = classes.join(labels.select(F.col("node").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
-    first = named.where("n > 0").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = named.where("n > 0").join(first, "component").select("f1", "f2", "component_id")
-    rows = sets.join(by_class, ["f1", "f2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = named.groupBy("component").agg(F.min("first").alias("best"))
+    by_class = named.join(first, "component").select("f1", "f2", "best")
+    return sets.join(by_class, ["f1", "f2"], "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("best")).alias("best"))
+
+
+def similarity_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows = _classified(docs, cfg)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; rows with a null doc_id go if their component has one."""
-    classes = similarity_classes(docs, cfg).where("component_id is not null and not (doc_id <=> component_id)")
-    gone = durable(classes.select(F.col("doc_id").alias("__gone")).distinct())
-    # 8 bytes a row: beyond this size the join shuffles instead
-    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """``docs`` with one row of each component: one of the smallest doc_id, nulls last; rows without words all stay."""
+    rows = _classified(docs, cfg).where("n > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("best"))
+    # the rows that go, and those that stay but are repeated with id and text
+    some = durable(rows.groupBy("__id", "__key", "best").agg(F.count(F.lit(1)).alias("n")).where("not best or n > 1").select("__id", "__key", "best"))
+    # 24 bytes a row: beyond this size the join shuffles instead
+    side = F.broadcast(some) if some.count() <= 1_000_000 else some
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    kept = docs.join(side, same, "left_anti")
+    again = some.where("best")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
