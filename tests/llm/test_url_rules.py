@@ -62,3 +62,9 @@ def test_mined_rule_judges_uncovered_urls(spark):
     rows = [(k, f"http://s{k}.com/de/{k}") for k in range(30)] + [(100 + k, f"http://s{k}.com/fr/{k}") for k in range(30)] + [(900, "http://q.net/de/4"), (901, "http://q.net/fr/4")]
     got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[900].verdict == "block" and got[900].mined and got[901].verdict == "allow"
+
+
+def test_tokens_that_occur_together_leave_other_rules(spark):
+    rows = [([f"a{k}" for k in range(13)], "block")] * 10 + [(["q", "r"], "allow")] * 9 + [(["q"], "block")]
+    got = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), UrlRuleConfig())
+    assert sorted((sorted(t), v, round(c, 9)) for t, v, c, _ in got) == sorted([([f"a{k}"], "block", 1.0) for k in range(13)] + [(["q"], "allow", 0.9), (["r"], "allow", 1.0)])

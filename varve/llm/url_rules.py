@@ -21,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import durable, map_arrow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,12 +31,9 @@ GIVEN_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en
 
 @dataclass(frozen=True)
 class UrlRuleConfig:
-    """``max_rules`` bounds the mined model, not the data; the best rules by confidence and support stay."""
-
     rules: tuple[tuple[str, str], ...] = GIVEN_RULES
     min_support: float = 0.005
     min_confidence: float = 0.8
-    max_rules: int = 5000
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -88,20 +85,31 @@ def mine_rules(labelled: DataFrame, cfg: UrlRuleConfig) -> list[tuple[frozenset[
         return []
     model = FPGrowth(itemsCol="items", minSupport=cfg.min_support, minConfidence=cfg.min_confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=") & ~F.exists("antecedent", lambda t: t.startswith("verdict=")))
-    got = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), "antecedent").limit(cfg.max_rules).collect()
+    rest = durable(rules.select(F.sort_array("antecedent").alias("tokens"), F.element_at("consequent", 1).substr(len("verdict=") + 1, 1 << 30).alias("verdict"), "confidence", "support"))
+    # level by level: what no shorter rule implies stays and prunes the longer ones, in tasks; only rules that stay come to the driver
     kept: list[tuple[frozenset[str], str, float, float]] = []
-    by_token: dict[str, list[int]] = {}
-    for r in sorted(got, key=lambda r: (len(r["antecedent"]), -r["confidence"], sorted(r["antecedent"]))):
-        tokens, verdict = frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict=")
-        shorter = {k for t in tokens for k in by_token.get(t, ())}
-        if any(kept[k][0] < tokens and kept[k][1] == verdict and kept[k][2] >= r["confidence"] for k in shorter):
-            continue
-        for t in tokens:
-            by_token.setdefault(t, []).append(len(kept))
-        kept.append((tokens, verdict, r["confidence"], r["support"]))
+    while size := rest.agg(F.min(F.size("tokens"))).first()[0]:
+        level = [(frozenset(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in rest.where(F.size("tokens") == size).collect()]
+        kept += sorted(level, key=lambda r: (-r[2], sorted(r[0]), r[1]))
+        rest = durable(_not_implied(rest.where(F.size("tokens") > size), level))
     return kept
 
 
+def _not_implied(rules: DataFrame, shorter: list[tuple[frozenset[str], str, float, float]]) -> DataFrame:
+    """The rules without a shorter one among their tokens that has their verdict and no less confidence."""
+    index = inverted_index(shorter)
+
+    def make():
+        def implied(r: dict) -> bool:
+            own = set(r["tokens"])
+            some = (shorter[k] for t in own for k in index.get(t, ()))
+            return any(v == r["verdict"] and c >= r["confidence"] and tokens < own for tokens, v, c, _ in some)
+
+        return lambda rows: [r for r in rows if not implied(r)]
+
+    return map_arrow(rules, make, "tokens array<string>, verdict string, confidence double, support double", rows=4096)
+
+
 def inverted_index(rules: list[tuple[frozenset[str], str, float, float]]) -> dict[str, list[int]]:
     """Each rule under the token that the fewest rules have; rules best first."""
     n: dict[str, int] = {}
