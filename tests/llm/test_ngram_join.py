@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from varve.llm.components import components
-from varve.llm.ngram_join import JoinConfig, compare_blocks, keep_one_of_each, linked, shingle_set, similarity_classes
+from varve.llm import ngram_join
+from varve.llm.ngram_join import JoinConfig, compare_blocks, keep_one_of_each, linked, passing, shingle_set, similarity_classes
 
 
 def words(text):
@@ -84,10 +85,10 @@ def test_blocks_find_links_that_pairs_find():
     for k in range(30):
         t = base.copy()
         t[rng.integers(0, 80, rng.integers(0, 9))] = rng.integers(0, 2**63, dtype=np.uint64)
-        sets.append((0, k, k, np.unique(t)))
+        sets.append((k, k, np.unique(t)))
     cfg = JoinConfig()
-    found = compare_blocks(sets, 0, 0, cfg)
-    pairs = [(a[1], b[1]) for a in sets for b in sets if a[1] < b[1] and linked(a[3], b[3], cfg)]
+    found = compare_blocks(sets, sets, cfg)
+    pairs = [(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and linked(a[2], b[2], cfg)]
 
     def parts(edges):
         root = list(range(30))
@@ -117,3 +118,45 @@ def test_keeps_one_row_where_ids_repeat_or_lack(spark, make_docs):
     rows = [(1, text(1)), (None, text(1)), (None, text(2)), (2, text(1)), (2, text(3)), (None, text(4)), (None, text(4)), (5, text(5)), (5, text(5)), (6, ""), (6, ""), (None, None)]
     got = sorted(((r.doc_id, r.text) for r in keep_one_of_each(make_docs(rows)).collect()), key=str)
     assert got == sorted([(1, text(1)), (None, text(2)), (2, text(3)), (None, text(4)), (5, text(5)), (6, ""), (6, ""), (None, None)], key=str)
+
+
+def test_every_order_takes_pairs_away_but_no_link(spark, make_docs, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(100000)}"
+    rows = []
+    for g in range(120):
+        # two texts that share one rare shingle only, and a near copy of the first
+        shared = [word() for _ in range(5)]
+        first = [word() for _ in range(60)] + shared
+        second = shared + [word() for _ in range(60)]
+        near = list(first)
+        near[3] = word()
+        rows += [(3 * g, " ".join(first)), (3 * g + 1, " ".join(second)), (3 * g + 2, " ".join(near))]
+    counts = []
+
+    def counting(pairs, tokens, order):
+        out = passing(pairs, tokens, order)
+        counts.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "passing", counting)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similarity_classes(make_docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+    (all_pairs, after_one), (again, after_two) = counts[:2]
+    print("pairs before and after each further order", counts[:2])
+    assert all_pairs > after_one == again >= after_two >= 120
+
+
+def test_sets_with_one_name_are_named_anew(spark, make_docs, monkeypatch):
+    rows = corpus(5, 4, 4)
+    docs = make_docs(rows)
+    made = {}
+
+    def sets(docs, cfg, own=ngram_join.document_sets):
+        made[cfg.salt] = True
+        out = own(docs, cfg)
+        return out.withColumn("f1", out["f1"] % 3) if cfg.salt == 0 else out
+
+    monkeypatch.setattr(ngram_join, "document_sets", sets)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similarity_classes(docs).collect()), key=str)
+    assert got == brute(rows) and sorted(made) == [0, 1]

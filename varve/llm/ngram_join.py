@@ -7,14 +7,18 @@ follows works on distinct sets.
 2. Order one puts shingles that few sets have first. Each set emits the prefix that a partner must share
    (n - ceil(0.8 n) + 1 shingles) with its places. Sets that meet under a shingle are candidates if the
    length bound and the positional bound allow the similarity. A shingle of at most ``small`` sets gives
-   these pairs; one of more sets gives only a star around its most central set.
-3. Candidates must also share prefix shingles under further orders, which are keyed permutations of the
-   hashes; those that do are verified exactly.
-4. Clusters of stars whose sets are not all linked by then are dealt into blocks of bounded size; each
-   pair of blocks is compared in one task, under the same filters, skipping sets that are linked already.
-   So no link is lost and no group's pairs are emitted.
+   these pairs; one of more sets gives only a star around its most central set, the hub.
+3. The further orders are keyed permutations of the hashes. Candidates must share a prefix shingle under
+   each of them too: the sets' prefixes, a fifth of their shingles, are joined to the pairs, one order
+   after the other, and only the pairs that pass all orders meet the sets themselves and are counted exactly.
+4. Stars whose sets are not all linked by then are dealt into blocks of bounded size, those beside the
+   star's largest component against all; each pair of blocks is compared in one task, under the same
+   orders, skipping sets that are linked already. So no link is lost and no group's pairs are emitted.
 5. Union-find by star contraction gives components.
 
+A set is named by half of a 128-bit fingerprint; should two sets have one name, which the other half
+tells, all are named anew with another salt.
+
 Any global order is a right one: counts only make it a fast one. ``most_counted`` bounds the broadcast
 table of frequent shingles (24 MB); shingles beyond it rank as rare, which costs time but no link.
 
@@ -28,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -50,6 +54,7 @@ class JoinConfig:
     chunk_tokens: int = 1_000_000
     bucket_tokens: int = 2_000_000
     block_tokens: int = 400_000
+    salt: int = 0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,8 +83,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def _fingerprint(tokens: np.ndarray, salt: int) -> tuple[int, int]:
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -91,7 +96,7 @@ def document_sets(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
             out = []
             for r in rows:
                 t = shingle_set(r["text"], cfg.words)
-                f1, f2 = _fingerprint(t)
+                f1, f2 = _fingerprint(t, cfg.salt)
                 out.append({"doc_id": r["doc_id"], "key": r["key"], "n": len(t), "f1": f1, "f2": f2})
             return out
 
@@ -108,7 +113,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], cfg: JoinConfig) -> Iterator[tup
             for text in batch.column(0).slice(start, 256).to_pylist():
                 t = shingle_set(text, cfg.words)
                 if len(t):
-                    f1, _ = _fingerprint(t)
+                    f1, _ = _fingerprint(t, cfg.salt)
                     if f1 not in seen:
                         seen.add(f1)
                         yield f1, t
@@ -213,7 +218,7 @@ def _allowed(na, nb, place_a, place_b, percent: int):
 
 
 def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_buckets: int, cfg: JoinConfig) -> DataFrame:
-    """(a, b, star): pairs of set fingerprints to verify; star marks those that tie a cluster together."""
+    """(a, b, star, fits): pairs of set names; star marks those of a hub, a, with a set of its star; fits tells whether the length bound allows a link."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = "bucket int, hi binary, lo binary, at binary, place binary, sets binary, sizes binary"
     out = arrow_schema(docs.sparkSession, schema)
@@ -247,7 +252,7 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_
         if keys:
             yield flush()
 
-    pair_schema = "a long, b long, star boolean"
+    pair_schema = "a long, b long, star boolean, fits boolean"
     pair_out = arrow_schema(docs.sparkSession, pair_schema)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -263,7 +268,7 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         lengths = np.diff(np.r_[starts, len(key)])
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        hub, spoke = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        hub, spoke, near = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for length in range(2, cfg.small + 1):
             s = starts[lengths == length]
             for i in range(length):
@@ -273,37 +278,32 @@ def candidate_pairs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_
                     left.append(name[x][ok])
                     right.append(name[y][ok])
         for s, length in zip(starts[lengths > cfg.small], lengths[lengths > cfg.small]):
-            part = slice(s, s + length)
+            part = np.arange(s, s + length)
             centre = s + int(np.lexsort((name[part], size[part], place[part]))[0])
+            others = part[part != centre]
             hub.append(np.full(length - 1, name[centre]))
-            spoke.append(np.delete(name[part], centre - s))
-        made = []
-        for x, y, star in ((left, right, False), (hub, spoke, True)):
-            a, b = np.concatenate(x), np.concatenate(y)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            made.append(pa.table({"a": pair[:, 0], "b": pair[:, 1], "star": np.full(len(pair), star)}, schema=pair_out))
-        return pa.concat_tables(made)
+            spoke.append(name[others])
+            near.append(_allowed(size[centre], size[others], 0, 0, cfg.percent))
+        a, b = np.concatenate(left), np.concatenate(right)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        small = pa.table({"a": pair[:, 0], "b": pair[:, 1], "star": np.full(len(pair), False), "fits": np.full(len(pair), True)}, schema=pair_out)
+        tied, at = np.unique(np.stack([np.concatenate(hub), np.concatenate(spoke)], axis=1), axis=0, return_index=True)
+        stars = pa.table({"a": tied[:, 0], "b": tied[:, 1], "star": np.full(len(tied), True), "fits": np.concatenate(near)[at]}, schema=pair_out)
+        return pa.concat_tables([small, stars])
 
     met = docs.select("text").mapInArrow(emit, schema).groupBy("bucket").applyInArrow(meet, pair_schema)
-    return met.groupBy("a", "b").agg(F.max("star").alias("star"))
+    return met.distinct()
 
 
-def _order_prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """Sorted values of the first tokens under the order that ``seed`` gives."""
+def order_prefix(tokens: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """The prefix under the order that ``seed`` gives: its values' upper halves, ascending. Equal shingles have equal halves."""
     value = _mix(tokens ^ np.uint64(seed))
     p = prefix_length(len(value), percent)
-    return np.sort(np.partition(value, p - 1)[:p])
+    return np.sort(np.partition(value, p - 1)[:p]) >> np.uint64(32)
 
 
 def linked(x: np.ndarray, y: np.ndarray, cfg: JoinConfig) -> bool:
-    """Whether two sets are similar enough: shared prefixes under each further order, then the exact count."""
-    if not bool(_allowed(len(x), len(y), 0, 0, cfg.percent)):
-        return False
-    for seed in cfg.orders:
-        a, b = _order_prefix(x, seed, cfg.percent), _order_prefix(y, seed, cfg.percent)
-        at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-        if not (a[at] == b).any():
-            return False
+    """Whether two sets are similar enough, by the exact count."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     shared = int((large[at] == small).sum())
@@ -318,27 +318,43 @@ def _fetch(docs: DataFrame, sets: DataFrame, wanted: DataFrame, cfg: JoinConfig)
     side = ids.select("id").distinct()
     # 16 bytes a row: beyond this size the join shuffles instead
     picked = docs.select("doc_id", "text").join(F.broadcast(side) if n <= 1_000_000 else side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    schema = "f1 long, tokens binary"
+    orders = [f"prefix{k}" for k in range(len(cfg.orders))]
+    schema = ", ".join(["f1 long", *[f"{o} array<int>" for o in orders], "tokens binary"])
     out = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        names, sets, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            prefixes = [[order_prefix(t, seed, cfg.percent).astype(np.uint32).view(np.int32) for t in sets] for seed in cfg.orders]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([names, *prefixes, [t.tobytes() for t in sets]], out)], schema=out)
+
         for f1, t in _sets_of(batches, cfg):
-            rows.append({"f1": f1, "tokens": t.tobytes()})
+            names.append(f1)
+            sets.append(t)
             size += len(t)
             if size >= cfg.chunk_tokens:
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+                yield flush()
+                names, sets, size = [], [], 0
+        if names:
+            yield flush()
+
+    found = picked.select("text").mapInArrow(run, schema).join(ids.select("f1"), "f1", "left_semi")
+    return found.groupBy("f1").agg(*[F.first(c).alias(c) for c in (*orders, "tokens")])
+
 
-    return picked.select("text").mapInArrow(run, schema).join(ids.select("f1"), "f1", "left_semi").groupBy("f1").agg(F.first("tokens").alias("tokens"))
+def passing(pairs: DataFrame, tokens: DataFrame, order: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix shingle under a further order; only the prefixes move."""
+    own = lambda c: tokens.select(F.col("f1").alias(c), F.col(f"prefix{order}").alias(f"{c}_prefix"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(F.arrays_overlap("a_prefix", "b_prefix")).select("a", "b")
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """The pairs (a, b) that are linked."""
+    """The pairs (a, b) that pass every order and are linked."""
+    for k in range(len(cfg.orders)):
+        pairs = passing(pairs, tokens, k)
     a, b = tokens.select(F.col("f1").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("f1").alias("b"), F.col("tokens").alias("y"))
-    full = pairs.select("a", "b").join(a, "a").join(b, "b")
+    full = durable(pairs).join(a, "a").join(b, "b")
 
     def make():
         def work(rows: list[dict]) -> list[dict]:
@@ -349,8 +365,23 @@ def _verify(pairs: DataFrame, tokens: DataFrame, cfg: JoinConfig) -> DataFrame:
     return map_arrow(full, make, "a long, b long")
 
 
-def compare_blocks(sets: list[tuple[int, int, int, np.ndarray]], i: int, j: int, cfg: JoinConfig) -> list[tuple[int, int]]:
-    """Links between blocks i and j of (block, name, label, tokens); sets that are linked already are not compared."""
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens in order, and the place of the set that has each."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], np.repeat(np.arange(len(sets)), [len(t) for t in sets])[order]
+
+
+def _shared(t: np.ndarray, postings: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """How many tokens of ``t`` each of n sets has."""
+    flat, owner = postings
+    lo, hi = np.searchsorted(flat, t), np.searchsorted(flat, t, side="right")
+    k = hi - lo
+    return np.bincount(owner[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=n)
+
+
+def compare_blocks(rows: list[tuple[int, int, np.ndarray]], cols: list[tuple[int, int, np.ndarray]], cfg: JoinConfig) -> list[tuple[int, int]]:
+    """Links between two blocks of (name, label, tokens) under the length bound, every order and the exact count; sets that are linked already are not compared."""
     root: dict[int, int] = {}
 
     def find(k: int) -> int:
@@ -359,28 +390,22 @@ def compare_blocks(sets: list[tuple[int, int, int, np.ndarray]], i: int, j: int,
             k = root[k]
         return k
 
-    rows = [s for s in sets if s[0] == i]
-    cols = rows if i == j else [s for s in sets if s[0] == j]
     if not rows or not cols:
         return []
-    size = np.array([len(s[3]) for s in cols])
-    flat = np.concatenate([s[3] for s in cols])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], np.repeat(np.arange(len(cols)), size)[order]
-    labels = np.array([s[2] for s in cols])
-    names = np.array([s[1] for s in cols])
+    n = len(cols)
+    size, labels, names = np.array([len(s[2]) for s in cols]), np.array([s[1] for s in cols]), np.array([s[0] for s in cols])
+    prefixes = [_postings([order_prefix(s[2], seed, cfg.percent) for s in cols]) for seed in cfg.orders]
+    full = _postings([s[2] for s in cols])
     out = []
-    for _, name, label, t in rows:
-        if (labels == label).all():
-            continue
-        lo, hi = np.searchsorted(flat, t), np.searchsorted(flat, t, side="right")
-        n = hi - lo
-        if not n.sum():
+    for name, label, t in rows:
+        open_ones = (labels != label) & (names != name) & _allowed(len(t), size, 0, 0, cfg.percent)
+        for seed, postings in zip(cfg.orders, prefixes):
+            if open_ones.any():
+                open_ones &= _shared(order_prefix(t, seed, cfg.percent), postings, n) > 0
+        if not open_ones.any():
             continue
-        hit = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        shared = np.bincount(hit, minlength=len(cols))
-        near = (100 * shared >= cfg.percent * (len(t) + size - shared)) & (labels != label) & (names != name)
-        for k in np.flatnonzero(near):
+        shared = _shared(t, full, n)
+        for k in np.flatnonzero(open_ones & (100 * shared >= cfg.percent * (len(t) + size - shared))):
             x, y = find(label), find(int(labels[k]))
             if x != y:
                 root[x] = y
@@ -388,43 +413,58 @@ def compare_blocks(sets: list[tuple[int, int, int, np.ndarray]], i: int, j: int,
     return out
 
 
-def _compare_clusters(stars: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame | None:
-    """Links inside the clusters of stars whose sets do not all have one label."""
-    member = components(stars).select(F.col("node").alias("f1"), F.col("component").alias("cluster"))
-    member = durable(member.join(labels.select(F.col("node").alias("f1"), F.col("component").alias("label")), "f1", "left").select("f1", "cluster", F.coalesce("label", "f1").alias("label")).join(sets.groupBy("f1").agg(F.max("n").alias("n")), "f1"))
-    open_ones = member.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.sum("n") / cfg.block_tokens).cast("int").alias("blocks")).where("lo != hi").select("cluster", "blocks")
-    member = durable(member.join(open_ones, "cluster"))
+def _compare_stars(stars: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, cfg: JoinConfig) -> DataFrame | None:
+    """Links inside the stars (a, b) whose sets do not all have one label."""
+    own = stars.select(F.col("a").alias("star"), F.col("b").alias("f1")).unionByName(stars.select(F.col("a").alias("star"), F.col("a").alias("f1")).distinct())
+    named = own.join(labels.select(F.col("node").alias("f1"), F.col("component").alias("label")), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
+    member = durable(named.join(sets.groupBy("f1").agg(F.max("n").alias("n")), "f1"))
+    by_label = member.groupBy("star", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    parts = lambda c: F.ceil(F.col(c) / cfg.block_tokens).cast("int")
+    open_ones = by_label.groupBy("star").agg(F.max_by("label", "c").alias("most"), F.sum("n").alias("all"), (F.sum("n") - F.max_by("n", "c")).alias("beside"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = durable(member.join(open_ones.select("star", "most", parts("beside").alias("i_of"), parts("all").alias("j_of")), "star"))
     if member.isEmpty():
         return None
-    tokens = _fetch(docs, sets, member.select("f1"), cfg)
-    block = F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")
-    dealt = member.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", "f1", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(tokens, "f1")
+    tokens = _fetch(docs, sets, member.select("f1"), cfg).select("f1", "tokens")
+    own = F.pmod(F.xxhash64("f1"), F.col("i_of")).cast("int"), F.pmod(F.xxhash64("f1"), F.col("j_of")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = member.where("label != most").select("star", own[0].alias("i"), every("j_of").alias("j"), "f1", "label", F.lit(True).alias("left"))
+    right = member.select("star", every("i_of").alias("i"), own[1].alias("j"), "f1", "label", F.lit(False).alias("left"))
+    dealt = left.unionByName(right).join(tokens, "f1")
     schema = "a long, b long"
     out = arrow_schema(docs.sparkSession, schema)
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        sets_here = [(r["block"], r["f1"], r["label"], np.frombuffer(r["tokens"], np.uint64)) for r in table.select(["block", "f1", "label", "tokens"]).to_pylist()]
-        found = compare_blocks(sets_here, key[1].as_py(), key[2].as_py(), cfg)
+    def compare(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for r in table.select(["left", "f1", "label", "tokens"]).to_pylist():
+            sides[r["left"]].append((r["f1"], r["label"], np.frombuffer(r["tokens"], np.uint64)))
+        found = compare_blocks(sides[1], sides[0], cfg)
         return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=out)
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, schema)
+    return dealt.groupBy("star", "i", "j").applyInArrow(compare, schema)
+
+
+def _named_sets(docs: DataFrame, cfg: JoinConfig) -> tuple[DataFrame, JoinConfig]:
+    """The written sets of all rows, and the configuration with the salt that gives each set a name of its own."""
+    while True:
+        sets = durable(document_sets(docs, cfg))
+        if sets.groupBy("f1").agg(F.min("f2").alias("lo"), F.max("f2").alias("hi")).where("lo != hi").isEmpty():
+            return sets, cfg
+        cfg = replace(cfg, salt=cfg.salt + 1)
 
 
 def _classified(docs: DataFrame, cfg: JoinConfig) -> DataFrame:
     """doc_id, key, n of every row, and best (none, doc_id, key) of its component: the smallest doc_id, nulls last; null for empty sets."""
     spark = docs.sparkSession
-    sets = durable(document_sets(docs, cfg))
+    sets, cfg = _named_sets(docs, cfg)
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // cfg.bucket_tokens))
     frequent = frequent_shingles(docs, n_buckets, cfg)
     pairs = durable(candidate_pairs(docs, frequent, n_buckets, cfg))
-    both = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
-    tokens = durable(_fetch(docs, sets, both, cfg))
-    edges = durable(_verify(pairs, tokens, cfg))
+    wanted = pairs.where("fits").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tokens = durable(_fetch(docs, sets, wanted.select(F.explode(F.array("a", "b")).alias("f1")).distinct(), cfg))
+    edges = durable(_verify(wanted, tokens, cfg))
     labels = components(edges)
-    stars = pairs.where("star").select("a", "b")
-    more = _compare_clusters(stars, labels, sets, docs, cfg)
+    more = _compare_stars(pairs.where("star").select("a", "b"), labels, sets, docs, cfg)
     if more is not None:
         labels = components(edges.unionByName(more))
     # classes of equal sets, then components of classes: both are summed before rows meet again
