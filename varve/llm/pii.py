@@ -1,17 +1,19 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs before a digit, scheme marks and
-identifier cues. Deterministic local parsers expand each anchor and validate what they find. Digits
-runs are anchors of their own (a regular expression finds their starts). The base kinds email, ip,
-card and phone equal the leftmost non-overlapping matches of these patterns, failing matches dropped:
+One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, dots, digits, scheme marks and
+identifier cues. Deterministic local parsers expand each anchor and validate what they find: a dot between
+digits expands to its chain of numbers, a digit to its run of digits. No part of a text is read again by a
+parser of the same kind, so that the time grows with the length of the text and no faster. The base kinds
+email, ip, card and phone equal the leftmost non-overlapping matches of these patterns, failing matches
+dropped:
 
     email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
     ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)      parts at most 255
     card   [0-9]([\\x20-]?[0-9])+                       16 to 19 digits that pass Luhn's test
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 8 to 15 digits
 
-The method adds spans of kinds beyond these: ``account`` (an IBAN with valid check digits after its
-cue or standing alone, or digits after an account cue), ``secret`` (the value after a password, token
+The method adds spans of kinds beyond these: ``account`` (an IBAN with valid check digits, the longest that
+ends with a word, or digits after an account cue), ``secret`` (the value after a password, token
 or key cue) and ``login`` (user information before the at-sign of a URL). Added spans never replace
 base ones.
 
@@ -34,8 +36,8 @@ from .common import map_arrow
 KINDS = ("email", "ip", "card", "phone", "account", "login", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*")
 PHONE_REST = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 SEPARATORS = {ord(c): None for c in " -().+"}
 #: Cues of identifiers, in lower case.
@@ -45,11 +47,14 @@ AFTER_ACCOUNT = re.compile(r"(?i)(?: ?(?:no|nr|number|num|#))?\.?[ :=#]{1,3}([A-
 AFTER_SECRET = re.compile(r"""[ ]{0,2}[:=][ ]{0,2}["']?([A-Za-z0-9_\-./+]{8,})""")
 USER = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@)")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+DIGIT = frozenset("0123456789")
+LETTER_VALUES = {ord("A") + k: str(10 + k) for k in range(26)}
 
 
 def _machine() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for word, what in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((c, "account") for c in ACCOUNT_CUES), *((c, "secret") for c in SECRET_CUES)]:
+    for word, what in [("@", "at"), ("+", "plus"), (".", "dot"), ("://", "scheme"), *((c, "digit") for c in DIGIT), *((c, "account") for c in ACCOUNT_CUES), *((c, "secret") for c in SECRET_CUES)]:
         for form in {word, word.capitalize(), word.upper()}:
             machine.add_word(form, (len(form), what))
     machine.make_automaton()
@@ -70,7 +75,7 @@ def iban_valid(text: str) -> bool:
     t = text.replace(" ", "").upper()
     if not 15 <= len(t) <= 34:
         return False
-    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    return int((t[4:] + t[:4]).translate(LETTER_VALUES)) % 97 == 1
 
 
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
@@ -98,14 +103,58 @@ def _account(text: str, end: int) -> tuple[int, int] | None:
     return m.span(1)
 
 
+def _chain(text: str, dot: int, floor: int) -> tuple[list[tuple[int, int]], int]:
+    """Addresses in the chain of numbers joined by single dots around ``dot``, and the chain's end."""
+    start = dot
+    while start > floor and text[start - 1] in DIGIT:
+        start -= 1
+    m = NUMBERS.match(text, start)
+    numbers, found, at = m[0].split("."), [], start
+    for k in range(0, len(numbers) - 3, 4):
+        four = numbers[k : k + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(n.lstrip("0")) < 4 and int(n.lstrip("0") or "0") <= 255 for n in four):
+            found.append((at, end))
+        at = end + 1
+    return found, m.end()
+
+
+def _iban(text: str, digit: int) -> tuple[int, int] | None:
+    """An IBAN whose first check digit is at ``digit``: the longest valid one that ends with a word."""
+    start = digit - 2
+    if start < 0 or start and text[start - 1].isalnum():
+        return None
+    m = IBAN.match(text, start)
+    if not m:
+        return None
+    for end in sorted((e.start() for e in WORD_END.finditer(text, start, min(len(text), m.end() + 1))), reverse=True):
+        if end <= m.end() and iban_valid(text[start:end]):
+            return start, end
+    return None
+
+
 def find_spans(text: str | None, machine: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, in the order of their starts."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return out
-    email_floor = phone_floor = 0
+    email_floor = phone_floor = ip_floor = card_floor = 0
+    size = len(text)
     for last, (length, what) in machine.iter(text):
-        if what == "at":
+        if what == "digit":
+            if last < card_floor:
+                continue
+            m = DIGITS.match(text, last)
+            card_floor = m.end()
+            if card_floor - last >= 16 and 16 <= len(d := m[0].translate(SEPARATORS)) <= 19 and luhn(d):
+                out["card"].append((last, card_floor))
+            if s := _iban(text, last):
+                out["account"].append(s)
+        elif what == "dot":
+            if ip_floor <= last - 1 and text[last - 1] in DIGIT and last + 1 < size and text[last + 1] in DIGIT:
+                found, ip_floor = _chain(text, last, ip_floor)
+                out["ip"] += found
+        elif what == "at":
             if last >= email_floor and (s := _email(text, last, email_floor)):
                 out["email"].append(s)
                 email_floor = s[1]
@@ -127,16 +176,7 @@ def find_spans(text: str | None, machine: ahocorasick.Automaton) -> dict[str, li
             elif m := AFTER_SECRET.match(text, last + 1):
                 if any(c.isdigit() for c in m[1]):
                     out["secret"].append(m.span(1))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-            out["ip"].append(m.span())
-    for m in DIGITS.finditer(text):
-        if m.end() - m.start() >= 16 and 16 <= len(d := m[0].translate(SEPARATORS)) <= 19 and luhn(d):
-            out["card"].append(m.span())
-    for m in IBAN.finditer(text):
-        if (not m.start() or not text[m.start() - 1].isalnum()) and iban_valid(m[0]) and m.span() not in out["account"]:
-            out["account"].append(m.span())
-    out["account"].sort()
+    out["account"] = sorted(set(out["account"]))
     return out
 
 
