@@ -57,7 +57,7 @@ def added_brute(text):
             if any(c.isdigit() for c in m[1]):
                 out["secret"].add(m.span(1))
     for cue in (f for c in ACCOUNT_CUES for f in forms(c)):
-        for m in re.finditer(rf"(?=(?<![^\W_]){re.escape(cue)}{AFTER_ACCOUNT.pattern[4:]})", text, re.I):
+        for m in re.finditer(rf"(?=(?<![^\W_]){re.escape(cue)}{AFTER_ACCOUNT.pattern[5:]})", text, re.I | re.A):
             if text[m.start() : m.start() + len(cue)] == cue and (m[1][0].isdigit() or iban_valid(m[1])):
                 out["account"].add(m.span(1))
     for start in range(len(text)):

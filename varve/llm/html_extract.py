@@ -1,18 +1,26 @@
-"""Main text of web pages.
+"""Main text of web pages by a suffix array for each host.
 
-A tolerant tokenizer turns a page into blocks and settles what markup tells: blocks inside navigation,
-headers, footers, asides, forms, scripts, adverts, notices and reader comments go; blocks inside an
-article (or else main) element stay. On pages without such an element the other blocks are open. Those
-are judged by their host's suffix array: the token streams of the host's pages are concatenated, a
-suffix array sorted to the depth of the shortest counted repeat finds token runs that recur on
-several distinct pages of the host, covered runs are removed as boilerplate and unique runs are kept.
+A tolerant tokenizer turns a page into blocks, with what markup says of each: inside an article, inside
+the main element, elsewhere, or inside an element that markup marks as navigation, header, footer, aside,
+form, advert, notice or reader comments.
 
-A host with very many pages is dealt by a hash of page_id into blocks of bounded size, each with a
-suffix array of its own: boilerplate of a host recurs in every block.
+The token streams of all blocks of all pages of a host, whatever markup says of them, are concatenated, and
+a suffix array sorted to the depth of the shortest counted repeat finds the token runs that recur on
+several distinct pages of the host. Tokens in such runs are boilerplate and go, and unique runs stay. A run
+may go on over the borders of blocks, as menus do: then only the blocks go that it covers whole. Markup is a prior: what it marks never stays, and tokens in
+an article (or else main) element stay although other pages repeat them, as copies of articles are
+articles. If such an element has at least as many tokens as survive elsewhere, it is the text; otherwise
+it is a teaser, and the text is all that survives.
+
+Pages of equal blocks count as one page for the repeats. A host of more than ``block_chars`` characters is
+dealt by a hash of the blocks into parts with a suffix array each. A part counts its runs' pages, the
+counts are summed over the host's parts, and each part gets back which of its runs recur, so the result
+does not depend on the parts.
 
 Edge cases: a null or empty html gives the empty text; a page with an unclosed element is read to its
-end; repeated rows are each extracted, and each counts as a page; a page without an
-article, alone on its host, keeps all its open blocks. Extra columns are ignored.
+end; repeated rows are each extracted; a page without an article, alone on its host, keeps all its open
+blocks; pages without a host are a host; a sign < that no > follows is text; after ``BAD_TAGS`` tags whose
+quotes do not close, tags of that page end at the next >. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import durable, map_arrow
 from .url_rules import parsed
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -54,6 +63,10 @@ class ExtractConfig:
     block_chars: int = 4_000_000
 
 
+BAD_TAGS = 8
+ARTICLE, MAIN, ELSEWHERE, MARKED = 2, 1, 0, -1
+
+
 def _words(value: str) -> list[list[str]]:
     return [[w.lower() for w in PARTS.findall(name)] for name in value.split()]
 
@@ -86,15 +99,52 @@ def _container(tag: str, attributes: str) -> int:
     return int(tag == "main" or 'role="main"' in attributes)
 
 
+def _tags(page: str):
+    """(start, end, name, closing, attributes, text) of every piece of markup; name is None for comments, declarations and CDATA, whose text is given. Reading goes on at what is sent."""
+    at, size, bad = 0, len(page), 0
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        end, made = -1, None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            end, made = (end if end > 2 else size), (None, False, "", None)
+        elif page.startswith("<![CDATA[", start) and (close := page.find("]]>", start + 9)) >= 0:
+            end, made = close + 3, (None, False, "", page[start + 9 : close])
+        elif page.startswith(("<!", "<?"), start):
+            end, made = page.find(">", start + 2) + 1, (None, False, "", None)
+        elif m := NAME.match(page, start):
+            rest = REST.match(page, m.end()) if bad < BAD_TAGS else None
+            if rest:
+                end, attributes = rest.end(), rest[1]
+            else:
+                bad += 1
+                end = page.find(">", m.end()) + 1
+                attributes = page[m.end() : end - 1] if end else ""
+            made = (m[1].lower(), page[start + 1] == "/", attributes, None)
+        else:
+            at = start + 1
+            continue
+        if end <= 0:
+            # no > follows, so no tag does; a comment may
+            at = page.find("<!--", start + 1)
+            if at < 0:
+                return
+            continue
+        at = (yield (start, end, *made)) or end
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(level, text) of the page's blocks in order: 2 inside an article, 1 inside main, 0 elsewhere; dropped elements are left out."""
+    """(level, text) of the page's blocks in order; see the levels above. Scripts, styles and the like are left out."""
     if not page:
         return []
     out: list[tuple[int, str]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int]] = []  # open containers: tag, level
+    stack: list[tuple[str, int, int]] = []  # open containers: tag, level, depth
     dropping: list[str] = []  # nested elements of the name that is being dropped
     depth: dict[str, int] = {}
+    last_close: dict[str, int] = {}
     level = at = 0
     size = len(page)
     lowered = None
@@ -104,42 +154,54 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             text = SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                out.append((level, text))
-
-    while at < size:
-        m = TAG.search(page, at)
-        if m is None:
-            if not dropping:
-                buffer.append(page[at:])
+                out.append((MARKED if dropping else level, text))
+
+    def closes_later(name: str, after: int) -> bool:
+        if name not in last_close:
+            last_close[name] = max((m.start() for m in re.finditer(f"</{name}\\b", page, re.I)), default=-1)
+        return last_close[name] >= after
+
+    tags, skip = _tags(page), None
+    while True:
+        try:
+            start, end, tag, closing, attributes, literal = tags.send(skip)
+        except StopIteration:
             break
-        if m.start() > at and not dropping:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        skip = None
+        if start > at:
+            buffer.append(page[at:start])
+        at = end
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not dropping:
-                buffer.append(entities.unescape(m[0][9:-3]).replace("&", "&amp;").replace("<", "&lt;"))
+            if literal is not None and not dropping:
+                buffer.append(literal.replace("&", "&amp;").replace("<", "&lt;"))
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if not closing and tag in RAW:
             if lowered is None:
                 lowered = page.lower()
             end = lowered.find("</" + tag, at) if len(lowered) == size else page.find("</" + tag, at)
-            at = size if end < 0 else page.find(">", end) + 1 or size
+            at = skip = size if end < 0 else page.find(">", end) + 1 or size
             continue
         if dropping:
+            if tag in BLOCKS:
+                flush()
             if tag == dropping[-1]:
                 if closing:
+                    flush()
                     dropping.pop()
                 elif tag not in VOID:
                     dropping.append(tag)
-            elif not closing and _container(tag, attributes) and not _dropped(tag, attributes, False) and not re.search(f"</{dropping[0]}\\b", page[at:], re.I):
+            elif not closing and _container(tag, attributes) and not _dropped(tag, attributes, False) and not closes_later(dropping[0], at):
+                flush()
                 dropping.clear()  # an element that is never closed does not hide the article
             elif closing and (tag == "body" or dropping[0] == "head" and tag == "html"):
+                flush()
                 dropping.clear()
             elif dropping[0] == "head" and tag == "body":
+                flush()
                 dropping.clear()
             if dropping or closing:
+                if dropping and tag in SPACED:
+                    buffer.append(" ")
                 continue
         if tag in BLOCKS:
             flush()
@@ -163,95 +225,178 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             flush()
             level = max(level, kind)
             stack.append((tag, level, depth[tag]))
+    if at < size:
+        buffer.append(page[at:])
     flush()
     return out
 
 
-def settled(found: list[tuple[int, str]]) -> tuple[str, list[str]]:
-    """(text, open blocks): the text if a container settles it, else the blocks that stay open."""
-    best = max((k for k, _ in found), default=0)
-    if best:
-        return "\n\n".join(t for k, t in found if k == best), []
-    return "", [t for _, t in found]
+def main_text(found: list[tuple[int, str]], covered: list[np.ndarray]) -> str:
+    """The text of a page from its blocks and the masks of their tokens that recur on the host."""
+    best = max((k for k, _ in found), default=ELSEWHERE)
+    kept = []
+    inside = outside = 0
+    for (level, text), mask in zip(found, covered):
+        if level == MARKED:
+            continue
+        if best > ELSEWHERE and level == best:
+            kept.append((True, text))
+            inside += len(mask)
+        elif not mask.all():
+            kept.append((False, " ".join(t for t, c in zip(text.split(" "), mask) if not c)))
+            outside += int((~mask).sum())
+    settled = inside and inside >= outside
+    return "\n\n".join(t for own, t in kept if own or not settled)
 
 
-def repeated(pages: list[list[list[str]]], run: int, least: int) -> list[list[np.ndarray]]:
-    """For each page and block a mask of the tokens that lie in runs of ``run`` tokens recurring on ``least`` distinct pages.
+def _run_hashes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A 64-bit hash of the run of tokens at each place, the same in every part of a host."""
+    x = np.zeros(max(0, len(tokens) - run + 1), dtype=np.uint64)
+    for k in range(run):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(x)]
+    return x ^ (x >> np.uint64(32))
 
-    The suffix array of all pages' tokens, with a separator of its own after every block, is sorted by
-    prefix doubling to the depth of ``run``.
+
+def run_classes(pages: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of the pages' tokens, with a separator of its own after every page, by prefix doubling to the depth of ``run``.
+
+    Returns, for each token and separator of all pages in order, the class of the run that starts there;
+    the number of distinct pages of each class; and whether a whole run starts there.
     """
     ids: dict[str, int] = {}
-    stream: list[int] = []
-    owner: list[int] = []
-    separators = 0
-    for p, page in enumerate(pages):
-        for block in page:
-            stream += [ids.setdefault(t, len(ids)) for t in block]
-            separators -= 1
-            stream.append(separators)
-            owner += [p] * (len(block) + 1)
-    n = len(stream)
-    covered = np.zeros(n, dtype=bool)
-    if n > run:
-        rank = np.unique(np.array(stream, dtype=np.int64), return_inverse=True)[1].astype(np.int64)
-        own = np.array(owner)
-        depth = 1
-        while depth < run:
-            step = min(depth, run - depth)
-            shifted = np.full(n, -1, dtype=np.int64)
-            shifted[: n - step] = rank[step:]
-            key = rank * (n + 1) + shifted + 1
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            depth += step
-        order = np.lexsort((own, rank))  # the suffix array; suffixes with the same first tokens by page
-        same = rank[order][1:] == rank[order][:-1]
-        fresh = np.r_[True, ~(same & (own[order][1:] == own[order][:-1]))]
-        distinct = np.bincount(rank[order][fresh], minlength=n)
-        starts = np.flatnonzero(distinct[rank] >= least)
-        mark = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(mark, starts, 1)
-        np.add.at(mark, np.minimum(starts + run, n), -1)
-        covered = np.cumsum(mark[:n]) > 0
-    out, at = [], 0
-    for page in pages:
-        own_masks = []
-        for block in page:
-            own_masks.append(covered[at : at + len(block)])
-            at += len(block) + 1
-        out.append(own_masks)
+    lengths = np.array([len(p) for p in pages], dtype=np.int64)
+    n = int(lengths.sum()) + len(pages)
+    stream = np.fromiter((x for k, page in enumerate(pages) for x in (*(ids.setdefault(t, len(ids)) for t in page), -1 - k)), dtype=np.int64, count=n)
+    owner = np.repeat(np.arange(len(pages)), lengths + 1)
+    rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
+    depth = 1
+    while depth < run and n:
+        step = min(depth, run - depth)
+        shifted = np.full(n, -1, dtype=np.int64)
+        shifted[: n - step] = rank[step:]
+        rank = np.unique(rank * (n + 1) + shifted + 1, return_inverse=True)[1].astype(np.int64)
+        depth += step
+    order = np.lexsort((owner, rank))  # suffixes with the same first tokens by page
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = (rank[order][1:] != rank[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    distinct = np.bincount(rank[order][fresh], minlength=n)
+    left = np.cumsum(lengths + 1)[owner] - 1 - np.arange(n)  # tokens of the page from here on
+    return rank, distinct, left >= run
+
+
+def covered_masks(pages: list[list[str]], starts: np.ndarray, run: int) -> list[np.ndarray]:
+    """For each page a mask of the tokens in runs that start where ``starts`` is true."""
+    n = len(starts)
+    mark = np.zeros(n + run, dtype=np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + run, -1)
+    covered = np.cumsum(mark[:n]) > 0
+    ends = np.cumsum([len(p) + 1 for p in pages])
+    return [covered[e - len(p) - 1 : e - 1] for e, p in zip(ends, pages)]
+
+
+def repeated(pages: list[list[str]], run: int, least: int) -> np.ndarray:
+    """Where the runs of ``run`` tokens start that recur on ``least`` distinct pages."""
+    rank, distinct, whole = run_classes(pages, run)
+    return whole & (distinct[rank] >= least)
+
+
+def _streams(group: pd.DataFrame) -> tuple[list[list[tuple[int, str]]], list[list[str]]]:
+    """Blocks and token streams of the distinct contents of a part."""
+    found = [[(k, t) for k, t in json.loads(b)] for b in group["blocks"]]
+    return found, [[t for _, text in page for t in text.split(" ")] for page in found]
+
+
+def removed_tokens(found: list[list[tuple[int, str]]], streams: list[list[str]], starts: np.ndarray, run: int) -> list[list[np.ndarray]]:
+    """For each page and block a mask of what recurs: tokens in runs within the block, and blocks that runs cover whole, also over borders."""
+    sizes = [[len(t.split(" ")) for _, t in page] for page in found]
+    left = np.array([x for page in sizes for x in (*(k for n in page for k in range(n, 0, -1)), 0)], dtype=np.int64)
+    within, any_run = covered_masks(streams, starts & (left >= run), run), covered_masks(streams, starts, run)
+    out = []
+    for page, own, other in zip(sizes, within, any_run):
+        ends = np.cumsum(page)[:-1]
+        out.append([np.ones_like(a) if b.all() else a for a, b in zip(np.split(own, ends), np.split(other, ends))] if page else [])
     return out
 
 
+def _texts(group: pd.DataFrame, run: int, starts_of) -> pd.DataFrame:
+    """page_id, url, text of the pages of a part; ``starts_of`` tells where the runs that recur start in its distinct contents."""
+    content = group.drop_duplicates("blocks").sort_values("blocks", kind="stable")
+    found, streams = _streams(content)
+    masks = removed_tokens(found, streams, starts_of(streams), run)
+    texts = {c: main_text(page, own) for c, page, own in zip(content["blocks"], found, masks)}
+    return pd.DataFrame({"page_id": group["page_id"].to_numpy(), "url": group["url"].to_numpy(), "text": group["blocks"].map(texts).to_numpy()})
+
+
+RESULT = "page_id string, url string, text string"
+
+
+def _by_summed_counts(dealt: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    """Texts of the pages of hosts of several parts (host, part, parts, page_id, url, blocks)."""
+    run, least = cfg.run_tokens, cfg.min_pages
+    pages = durable(dealt)
+
+    def hashes(streams: list[list[str]]) -> np.ndarray:
+        """The hash of the run that starts at each token and separator; of no meaning where no whole run does."""
+        codes = [np.append(pd.util.hash_array(np.array(s, dtype=object), categorize=False), np.uint64(0)) if s else np.zeros(1, np.uint64) for s in streams]
+        flat = np.concatenate([*codes, np.zeros(run - 1, np.uint64)])
+        return _run_hashes(flat, run)
+
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, streams = _streams(group.drop_duplicates("blocks").sort_values("blocks", kind="stable"))
+        rank, distinct, whole = run_classes(streams, run)
+        at = np.flatnonzero(whole)
+        _, one = np.unique(rank[at], return_index=True)
+        at = at[one]
+        h, n = hashes(streams)[at], distinct[rank[at]].astype(np.uint32)
+        bucket = (h % np.uint64(group["parts"].iloc[0])).astype(np.int64)
+        rows = [(b, h[bucket == b].tobytes(), n[bucket == b].tobytes()) for b in np.unique(bucket)]
+        return pd.DataFrame({"host": key[0], "part": key[1], "bucket": [r[0] for r in rows], "runs": [r[1] for r in rows], "pages": [r[2] for r in rows]})
+
+    counted = pages.groupBy("host", "part").applyInPandas(count, "host string, part long, bucket long, runs binary, pages binary")
+
+    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        runs = [np.frombuffer(r, np.uint64) for r in group["runs"]]
+        name, place = np.unique(np.concatenate(runs), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([np.frombuffer(p, np.uint32) for p in group["pages"]]))
+        often = (n >= least)[place]
+        kept = [r[o] for r, o in zip(runs, np.split(often, np.cumsum([len(r) for r in runs])[:-1]))]
+        return pd.DataFrame({"host": key[0], "part": group["part"].to_numpy(), "often": [k.tobytes() for k in kept]})
+
+    often = counted.groupBy("host", "bucket").applyInPandas(total, "host string, part long, often binary")
+
+    def judge(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        names = np.concatenate([np.frombuffer(o, np.uint64) for o in known["often"]] or [np.empty(0, np.uint64)])
+
+        def starts(streams: list[list[str]]) -> np.ndarray:
+            left = np.concatenate([np.arange(len(s), -1, -1) for s in streams])
+            return (left >= run) & np.isin(hashes(streams), names)
+
+        return _texts(group, run, starts)
+
+    return pages.groupBy("host", "part").cogroup(often.groupBy("host", "part")).applyInPandas(judge, RESULT)
+
+
 def extract_pages(pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    run, least = cfg.run_tokens, cfg.min_pages
+    rows = pages.select("page_id", "url", parsed(F.col("url"))[0].alias("host"), "html")
+    loads = rows.groupBy("host").agg(F.ceil(F.coalesce(F.sum(F.length("html")), F.lit(0)) / cfg.block_chars).alias("parts")).where("parts > 1")
+    large = durable(loads)
+    # a host name and a number; beyond this count of large hosts the join shuffles instead
+    side = F.broadcast(large) if large.count() <= 100_000 else large
 
     def parsing():
-        def work(rows: list[dict]) -> list[dict]:
-            out = []
-            for r in rows:
-                text, open_blocks = settled(blocks(r["html"]))
-                out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "open": json.dumps(open_blocks) if open_blocks else None, "host": r["host"]})
-            return out
+        return lambda some: [{"page_id": r["page_id"], "url": r["url"], "host": r["host"], "parts": r["parts"], "blocks": json.dumps(blocks(r["html"]), ensure_ascii=False)} for r in some]
 
-        return work
-
-    rows = pages.select("page_id", "url", parsed(F.col("url"))[0].alias("host"), "html")
-    found = durable(map_arrow(rows, parsing, "page_id long, url string, text string, open string, host string", rows=64))
-    done = found.where("open is null").select("page_id", "url", "text")
-    opened = found.where("open is not null")
-    loads = opened.groupBy("host").agg(F.ceil(F.sum(F.length("open")) / cfg.block_chars).alias("parts"))
-    dealt = opened.join(loads, "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("parts"))).select(F.col("page_id").cast("string").alias("page_id"), "url", "open", "host", "part")
-    run, least = cfg.run_tokens, cfg.min_pages
+    dealt = rows.join(side, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "host", F.coalesce("parts", F.lit(1)).alias("parts"), "html")
+    found = map_arrow(dealt, parsing, "page_id string, url string, host string, parts long, blocks string", rows=64).withColumn("part", F.pmod(F.xxhash64("blocks"), F.col("parts")))
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page_id", "url"], kind="stable")
-        streams = [[b.split(" ") for b in json.loads(o)] for o in group["open"]]
-        texts = []
-        for page, masks in zip(streams, repeated(streams, run, least)):
-            kept = [" ".join(t for t, c in zip(block, mask) if not c) for block, mask in zip(page, masks)]
-            texts.append("\n\n".join(t for t in kept if t))
-        return pd.DataFrame({"page_id": group["page_id"].to_numpy(), "url": group["url"].to_numpy(), "text": texts})
-
-    judged = dealt.groupBy("host", "part").applyInPandas(judge, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast("long"))
-    return done.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+        return _texts(group, run, lambda streams: repeated(streams, run, least))
+
+    judged = found.where("parts = 1").groupBy("host").applyInPandas(judge, RESULT)
+    if not large.isEmpty():
+        judged = judged.unionByName(_by_summed_counts(found.where("parts > 1"), cfg))
+    return judged.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -43,7 +43,7 @@ SEPARATORS = {ord(c): None for c in " -().+"}
 #: Cues of identifiers, in lower case.
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
 SECRET_CUES = ("password", "passwort", "secret", "token", "api_key", "apikey", "api key", "private key")
-AFTER_ACCOUNT = re.compile(r"(?i)(?: ?(?:no|nr|number|num|#))?\.?[ :=#]{1,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){8,30}|[0-9](?:[ -]?[0-9]){6,17})(?![A-Za-z0-9])")
+AFTER_ACCOUNT = re.compile(r"(?ai)(?: ?(?:no|nr|number|num|#))?\.?[ :=#]{1,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){8,30}|[0-9](?:[ -]?[0-9]){6,17})(?![A-Za-z0-9])")
 AFTER_SECRET = re.compile(r"""[ ]{0,2}[:=][ ]{0,2}["']?([A-Za-z0-9_\-./+]{8,})""")
 USER = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@)")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
