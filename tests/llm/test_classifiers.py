@@ -1,11 +1,13 @@
 """Toxicity and language identification: held-out accuracy and defined results."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+import zstandard
 
-from varve.llm.langid import identify_language, train_language_id
+from varve.llm.langid import LangIdConfig, identify_language, train_language_id
 from varve.llm.toxicity import LabelModel, fit_linear, reject_toxic, score_toxicity, train_toxicity
 
 
@@ -81,3 +83,32 @@ def test_language_on_held_out_rows(spark, make_docs):
     empty = train_language_id(make_docs([]))
     assert identify_language(make_docs([(1, "abc")]), empty).first().lang_pred == "und"
     assert identify_language(make_docs([]), empty).count() == 0
+
+
+def test_languages_of_long_documents_and_rows_without_ids_are_learned(spark, make_docs):
+    rng = random.Random(4)
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    here, there = "the of and ing tion er re".split(), "zu sch ich heit ge ver en".split()
+    rows = [(None, text(here, 40), "aa") for _ in range(30)] + [(1, text(there, 4000), "bb") for _ in range(30)] + [(8, "", "cc")]
+    cfg = LangIdConfig(docs_per_language=10, max_chars=900)
+    model = train_language_id(make_docs(rows), cfg)
+    assert list(model.contents) == ["aa", "bb"]
+    assert all(len(c) <= 10 * (cfg.max_chars + 1) for c in model.contents.values())
+    got = [r.lang_pred for r in identify_language(make_docs([(1, text(here, 30)), (2, text(there, 30))]), model).collect()]
+    assert sorted(got) == ["aa", "bb"]
+
+
+def test_language_equals_plain_compression(spark, make_docs):
+    docs, _ = corpus(6, 200)
+    model = train_language_id(make_docs(docs), LangIdConfig(docs_per_language=50))
+    cfg = model.config
+    want = {}
+    for i, text, _ in docs:
+        letters = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = {}
+        for lang, content in model.contents.items():
+            of = lambda piece: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters.from_level(1, source_size=cfg.piece, dict_size=len(content), strategy=zstandard.STRATEGY_FAST, min_match=cfg.min_match, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)).compress(piece)  # noqa: E731, B023
+            sizes[lang] = sum(len(of(letters[k : k + cfg.piece])) for k in range(0, len(letters), cfg.piece))
+        want[i] = min(model.contents, key=lambda g: (sizes[g], list(model.contents).index(g)))
+    got = {r.doc_id: r.lang_pred for r in identify_language(make_docs(docs), model).collect()}
+    assert got == want

@@ -8,7 +8,10 @@ leaves literals as they are: so the size tells how much of a piece its dictionar
 whose compressed sizes add up to the least wins; the margin to the runner-up gives the score, and
 narrow margins are marked in ``rejected``.
 
-Training reads a bounded sample of documents: about ``docs_per_language`` each, by a hash of doc_id.
+Training reads a bounded sample: of each of the ``max_languages`` most frequent languages at most
+``docs_per_language`` distinct documents, by a hash of doc_id and text, and of each a piece of at most
+``max_chars`` characters from a place that the hash gives. So languages with none but long documents are
+learned too, and rows that repeat a doc_id, or lack it, are sampled like others.
 
 Edge cases: a null text, or one without any letter, gets ``und`` with score 0; a null lang is not learned
 from; ties go to the language with the most training rows, then to the one that sorts first; without anything to learn from all rows get ``und``.
@@ -22,7 +25,7 @@ import re
 from dataclasses import dataclass
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow
@@ -37,8 +40,9 @@ def folded(text: str) -> bytes:
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """``docs_per_language`` and ``max_chars`` bound the training sample."""
+    """``max_languages``, ``docs_per_language`` and ``max_chars`` bound the training sample."""
 
+    max_languages: int = 200
     docs_per_language: int = 600
     max_chars: int = 6000
     dictionary_bytes: int = 128 << 10
@@ -80,14 +84,17 @@ class LangIdModel:
 
 def train_language_id(docs: DataFrame, cfg: LangIdConfig = LangIdConfig()) -> LangIdModel:
     """Fill the dictionaries from a bounded, hash-chosen sample of the rows that are not held out."""
-    known = docs.where("lang is not null and text is not null").where(~held_out("doc_id", 4, 2)).where(F.length("text").between(1, cfg.max_chars))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = docs.where("lang is not null and text != ''").where(~held_out("doc_id", 4, 2)).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("place"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_languages).collect()}
     if not counts:
         return LangIdModel({}, cfg)
-    # each language has its own share of the hash space, so that about as many rows of each are taken
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, cfg.docs_per_language / n))])
-    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(place < F.element_at(share, F.col("lang"))).select("lang", "text").distinct().collect()
+    # twice the wanted share of the hash space first, so that few rows move; then the bound itself
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * cfg.docs_per_language / n))])
+    some = known.where(F.pmod("place", F.lit(1 << 20)) / float(1 << 20) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    start = 1 + F.pmod(F.shiftrightunsigned("place", 20), F.greatest(F.lit(1), F.length("text") - cfg.max_chars + 1))
+    pieces = some.select("lang", "place", F.col("text").substr(start.cast("int"), F.lit(cfg.max_chars)).alias("text")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 20)), "place", "text")
+    rows = pieces.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cfg.docs_per_language).collect()
     contents = {}
     for lang in sorted(counts, key=lambda g: (-counts[g], g)):
         texts = sorted((folded(r["text"]) for r in rows if r["lang"] == lang), key=lambda t: hashlib.md5(t).digest())
