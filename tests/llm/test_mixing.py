@@ -11,7 +11,7 @@ from varve.llm.mixing import MixConfig, leaf_shares, mix_sources, mix_sql
 
 def corpus(seed):
     rng = random.Random(seed)
-    rows = [(k, "w " * rng.randint(0, 60), rng.choice(["en", "de", None]), rng.choice(["src1", "src11", "src12", "src2", None]) if k % 3 else "src0") for k in range(700)]
+    rows = [(k, "w " * rng.randint(0, 60), rng.choice(["en", "de", "null", None]), rng.choice(["src1", "src11", "src12", "src2", "null", None]) if k % 3 else "src0") for k in range(700)]
     return rows + [(900, None, "en", "src1"), (5, "a b", "en", "src1"), (None, "x y z", "en", "src1"), (None, "x", "en", "src1")]
 
 
@@ -40,7 +40,10 @@ def test_shortage_goes_to_siblings_first(spark):
 
 def test_odd_tables(spark, make_docs):
     assert mix_sources(make_docs([])).count() == 0
-    assert mix_sources(make_docs([(1, None), (2, "")])).count() >= 0
+    # no tokens: no budget, and the places before its end are all of them
+    assert {(r.doc_id, r.n_tokens, r.copies) for r in mix_sources(make_docs([(1, None), (2, "")])).collect()} == {(1, 0, 1), (2, 0, 1)}
+    same = mix_sources(make_docs([(None, "a b")] * 300 + [(None, "c")] * 300), MixConfig(rows_per_digit=4, budget_percent=100, max_epochs=1))
+    assert same.count() == 600
     clash = make_docs(corpus(2)).withColumnRenamed("extra", "copies")
     out = mix_sources(clash)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "domain", "n_tokens", "copies"]

@@ -14,7 +14,7 @@ order of a seeded hash of that epoch. The prefix is found without sorting a leaf
 summed by leaf and leading hash digits, the digits where the share ends are found from those sums, and
 only the documents with these digits are ordered.
 
-Edge cases: null domain, language or source is a node of its own (``null``); a null or empty text has no
+Edge cases: null domain, language or source is a node of its own, apart from one named ``null``; a null or empty text has no
 tokens, fits any prefix and is taken if its place in the order lies before the end of the share; rows that
 repeat a doc_id have one place in the order and are taken or left together; a budget beyond the supply
 is cut to it; weights of 0 give nothing; an empty table gives an empty result. Other columns stay, and
@@ -36,7 +36,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class MixConfig:
-    """Weights are whole numbers by node name; a name that is not listed has ``other``."""
+    """Weights are whole numbers by node name; a name that is not listed has ``other``. ``domain`` is an SQL expression over the table's columns, such as the name of a column that holds the domain."""
 
     domain: str = "CASE WHEN source IS NULL THEN NULL WHEN length(source) <= 4 THEN 'web' ELSE 'books' END"
     weights: dict[str, dict[str, int]] = field(default_factory=lambda: {"domain": {"web": 3, "books": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}})
@@ -49,12 +49,13 @@ class MixConfig:
 
 
 LEVELS = ("domain", "lang", "source")
+NAMED = "="  # stands before the names of nodes; a null is the empty name
 
 
 def _weight(level: str, cfg: MixConfig) -> Column:
     out = F.lit(cfg.other)
     for name, w in cfg.weights.get(level, {}).items():
-        out = F.when(F.col(level) == name, w).otherwise(out)
+        out = F.when(F.col(level) == NAMED + name, w).otherwise(out)
     return out.cast("decimal(38,0)")
 
 
@@ -94,7 +95,8 @@ def _place(cfg: MixConfig, epoch: Column) -> Column:
 
 def _named(docs: DataFrame, cfg: MixConfig) -> DataFrame:
     """docs with the leaf's names, never null, in columns whose names no table has."""
-    return docs.withColumns({"__domain": F.coalesce(F.expr(cfg.domain), F.lit("null")), "__lang": F.coalesce("lang", F.lit("null")), "__source": F.coalesce("source", F.lit("null"))})
+    name = lambda c: F.coalesce(F.concat(F.lit(NAMED), c.cast("string")), F.lit(""))
+    return docs.withColumns({"__domain": name(F.expr(cfg.domain)), "__lang": name(F.col("lang")), "__source": name(F.col("source"))})
 
 
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
@@ -106,13 +108,15 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     n, leaf_count = shares.agg(F.coalesce(F.max("docs"), F.lit(0)), F.count(F.lit(1))).first()
     # at most some 100 bytes a leaf: beyond this count the joins shuffle instead
     small = F.broadcast if leaf_count <= cfg.broadcast_leaves else (lambda df: df)
-    digits = max(1, min(4, math.ceil(math.log(max(2, n / cfg.rows_per_digit), 16))))
+    digits = max(1, min(8, math.ceil(math.log(max(2, n / cfg.rows_per_digit), 16))))
     placed = slim.join(small(shares.select(*LEVELS, "epochs", "rest")), list(LEVELS)).withColumn("place", _place(cfg, F.col("epochs"))).withColumn("lead", F.substring("place", 1, digits))
     leaf = ", ".join(LEVELS)
     sums = placed.groupBy(*LEVELS, "rest", "lead").agg(F.sum("n_tokens").alias("n"))
     until = sums.selectExpr("*", f"sum(n) OVER (PARTITION BY {leaf} ORDER BY lead) AS through")
     edge = durable(until.where("through > rest").groupBy(*LEVELS).agg(F.min(F.struct("lead", (F.col("through") - F.col("n")).alias("before"))).alias("e")).select(*LEVELS, F.col("e.lead").alias("edge"), F.col("e.before").alias("before")), 1)
-    last = placed.join(small(edge), list(LEVELS)).where("lead = edge").selectExpr(*LEVELS, "place", "rest", f"before + sum(n_tokens) OVER (PARTITION BY {leaf}, edge ORDER BY place) AS through")
+    # rows of one place, as of null or repeated doc_ids, are summed before they are ordered
+    at_edge = placed.join(small(edge), list(LEVELS)).where("lead = edge").groupBy(*LEVELS, "edge", "before", "rest", "place").agg(F.sum("n_tokens").alias("n"))
+    last = at_edge.selectExpr(*LEVELS, "place", "rest", f"before + sum(n) OVER (PARTITION BY {leaf}, edge ORDER BY place) AS through")
     cut = last.where("through <= rest").groupBy(*LEVELS).agg(F.max("place").alias("cut"))
     ends = shares.select(*LEVELS, "epochs").join(edge.select(*LEVELS, "edge"), list(LEVELS), "left").join(cut, list(LEVELS), "left")
     ends = ends.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("epochs").alias("__epochs"), F.col("edge").alias("__edge"), F.col("cut").alias("__cut"))
@@ -122,14 +126,14 @@ def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     full = _named(docs, cfg).join(small(ends), [f"__{c}" for c in LEVELS])
     full = full.withColumn("__copies", (F.col("__epochs") + taken.cast("long")).cast("long")).where("__copies > 0")
     kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
-    return full.select(*kept, F.col("__domain").alias("domain"), tokens.alias("n_tokens"), F.col("__copies").alias("copies"))
+    return full.select(*kept, F.when(F.col("__domain") != "", F.substring("__domain", 1 + len(NAMED), 1 << 30)).alias("domain"), tokens.alias("n_tokens"), F.col("__copies").alias("copies"))
 
 
 def mix_sql(cfg: MixConfig = MixConfig()) -> str:
     """DuckDB SQL for doc_id, domain, lang, source, n_tokens, copies of what ``mix_sources`` takes."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     parts = [
-        f"d AS (SELECT doc_id, coalesce({cfg.domain}, 'null') AS domain, coalesce(lang, 'null') AS lang, coalesce(source, 'null') AS source, lang AS own_lang, source AS own_source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",
+        f"d AS (SELECT doc_id, coalesce('{NAMED}' || ({cfg.domain}), '') AS domain, coalesce('{NAMED}' || lang, '') AS lang, coalesce('{NAMED}' || source, '') AS source, ({cfg.domain}) AS own_domain, lang AS own_lang, source AS own_source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)",
         f"leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(n_tokens) * {cfg.max_epochs} AS HUGEINT) AS supply FROM d GROUP BY ALL)",
         f"total AS (SELECT CAST(least(sum(supply), floor(sum(tokens) * {cfg.budget_percent} / 100)) AS HUGEINT) AS budget FROM leaf)",
     ]
@@ -140,7 +144,7 @@ def mix_sql(cfg: MixConfig = MixConfig()) -> str:
         above = f"s_{parents[-1]}" if parents else "total"
         join = f"JOIN {above} USING ({', '.join(parents)})" if parents else "CROSS JOIN total"
         share = "share AS budget" if parents else "budget"
-        w = "CASE " + " ".join(f"WHEN {level} = {quoted(n)} THEN {v}" for n, v in cfg.weights.get(level, {}).items()) + f" ELSE {cfg.other} END" if cfg.weights.get(level) else str(cfg.other)
+        w = "CASE " + " ".join(f"WHEN {level} = {quoted(NAMED + n)} THEN {v}" for n, v in cfg.weights.get(level, {}).items()) + f" ELSE {cfg.other} END" if cfg.weights.get(level) else str(cfg.other)
         order = f"{by} ORDER BY CASE WHEN w > 0 THEN CAST(supply AS DOUBLE) / CAST(w AS DOUBLE) ELSE -1 END, {level}"
         parts += [
             f"n_{level} AS (SELECT {k}, CASE WHEN w > 0 THEN supply ELSE 0 END AS supply, w, {share} FROM (SELECT {k}, CAST(sum(supply) AS HUGEINT) AS supply, CAST({w} AS HUGEINT) AS w FROM leaf GROUP BY {k}) {join})",
@@ -155,4 +159,4 @@ def mix_sql(cfg: MixConfig = MixConfig()) -> str:
         f"p AS (SELECT d.*, epochs, rest, md5(concat_ws(':', '{cfg.seed}', CAST(epochs AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS place FROM d JOIN e USING (domain, lang, source))",
         "q AS (SELECT *, CAST(epochs AS BIGINT) + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS copies FROM p)",
     ]
-    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, domain, own_lang AS lang, own_source AS source, n_tokens, CAST(copies AS BIGINT) AS copies FROM q WHERE copies > 0"
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, own_domain AS domain, own_lang AS lang, own_source AS source, n_tokens, CAST(copies AS BIGINT) AS copies FROM q WHERE copies > 0"
