@@ -51,7 +51,7 @@ def case():
     return docs + [(500, None), (501, ""), (None, "w1é w2é"), (7, docs[7][1])], items
 
 
-@pytest.mark.parametrize("block", [2_000_000, 60])
+@pytest.mark.parametrize("block", [2_000_000, 60, 7])
 def test_equals_brute_force(spark, make_docs, case, block):
     docs, items = case
     bench = spark.createDataFrame(items, "item_id long, text string")
