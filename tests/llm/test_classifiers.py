@@ -1,5 +1,6 @@
 """Toxicity and language identification: held-out accuracy and defined results."""
 
+import math
 import random
 import re
 import zlib
@@ -60,14 +61,84 @@ def test_label_model_weighs_copies_as_one():
     gold = (rng.random(800) < 0.3).astype(int)
     vote = lambda right: np.where(rng.random(800) < right, np.where(gold, 1, -1), np.where(gold, -1, 1))
     good, other, weak = vote(0.9), vote(0.85), vote(0.6)
-    model = LabelModel()
-    q = model.fit(np.stack([good, other, weak, weak, weak, weak], axis=1).astype(np.int8), gold)
-    assert ((q > 0.5) == gold).mean() > 0.9
-    assert model.discount[2] < 0.5 < model.discount[0]
-    beta = fit_linear(np.column_stack([np.ones(800), good]), q, 0.1)
+    one, four = LabelModel(), LabelModel()
+    q1 = one.fit(np.stack([good, other, weak], axis=1).astype(np.int8), gold)
+    q4 = four.fit(np.stack([good, other, weak, weak, weak, weak], axis=1).astype(np.int8), gold)
+    assert ((q4 > 0.5) == gold).mean() > 0.9 and np.abs(q1 - q4).mean() < 0.03
+    # each copy but one depends on a copy
+    assert sum(four.parent[j] in (2, 3, 4, 5) for j in (2, 3, 4, 5)) == 3
+    beta = fit_linear(np.column_stack([np.ones(800), good]), q4, 0.1)
     assert beta[1] > 1
 
 
+def test_label_model_finds_accuracies_beyond_its_labels():
+    rng = np.random.default_rng(2)
+    truth = (rng.random(4000) < 0.5).astype(int)
+    gold = np.where(rng.random(4000) < 0.1, 1 - truth, truth)  # a tenth of the labels is wrong
+    right = (0.95, 0.9, 0.9, 0.85, 0.8)
+    votes = np.stack([np.where(rng.random(4000) < 0.2, 0, np.where(rng.random(4000) < r, 2 * truth - 1, 1 - 2 * truth)) for r in right], axis=1).astype(np.int8)
+    model = LabelModel(annotator=0.9)
+    q = model.fit(votes, gold)
+    assert ((q > 0.5) == truth).mean() > ((gold == truth).mean() + 0.04)
+    assert np.abs(model.rates[1][2] - 0.8 * np.array(right)).max() < 0.05
+
+
+def test_label_model_posterior_is_the_product_of_its_tables():
+    rng = np.random.default_rng(3)
+    gold = (rng.random(300) < 0.4).astype(int)
+    votes = np.stack([np.where(rng.random(300) < 0.3, 0, np.where(rng.random(300) < 0.8, 2 * gold - 1, 1 - 2 * gold)) for _ in range(4)], axis=1).astype(np.int8)
+    votes = np.column_stack([votes, votes[:, 0]])
+    model = LabelModel()
+    q = model.fit(votes, gold)
+    for row in range(20):
+        joint = [1 - model.prior, model.prior]
+        for y in (0, 1):
+            joint[y] *= model.annotator if gold[row] == y else 1 - model.annotator
+            for j, v in enumerate(votes[row]):
+                p = model.parent[j]
+                joint[y] *= model.rates[y][v + 1, j] if p < 0 else model.given[y][votes[row, p] + 1, v + 1, j]
+        assert abs(joint[1] / sum(joint) - q[row]) < 1e-9
+
+
+def plain_score(text, model):
+    """The classifier's score by word lists and loops."""
+    low = (text or "").lower()
+    words = re.findall(r"[^\W\d_]+", low)
+    hits, places = [], set()
+    for k, term in enumerate(model.terms):
+        least, body = int(term[0]), term[2:]
+        at = [i for i, w in enumerate(words) if (w == body[1:] if body[0] == "=" else w.startswith(body))]
+        places |= set(at)
+        if len(at) >= least:
+            hits.append(k)
+    n = max(1, low.count(" ") + low.count("\n") + 1)
+    marks = (text or "").count("!")
+    upper = sum(c.isupper() for c in text or "") if marks > 4 else 0
+    share = len(places) / n
+    x = [float(k in hits) for k in range(len(model.terms))]
+    x += [1.0, float(len(hits) > 0), math.log1p(len(places)), min(1.0, share / 0.01), min(1.0, share / 0.003), float(len(places) >= 2), min(1.0, marks / n), upper / max(1, len(text or ""))]
+    z = sum(a * b for a, b in zip(x, model.beta))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_equal_a_plain_reading(spark, make_docs):
+    docs, labels = corpus(7, 300)
+    docs += [(900, "IDIOT!!!!!! You, blorp-blorp idiots", "en"), (900, "idiot", "en"), (None, None, "en"), (901, "", "en")]
+    d = make_docs(docs)
+    model = train_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = sorted((str(r.doc_id), round(r.score, 9)) for r in score_toxicity(d, model).collect())
+    assert got == sorted((str(i), round(plain_score(t, model), 9)) for i, t, _ in docs)
+
+
+def test_rejecting_keeps_columns_that_clash(spark, make_docs):
+    docs, labels = corpus(8, 200)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    clash = make_docs(docs).withColumnsRenamed({"extra": "score", "source": "toxic"})
+    model = train_toxicity(clash, table)
+    clean = reject_toxic(clash, model)
+    assert clean.columns == clash.columns and 0 < clean.count() < 200
+
+
 def test_language_on_held_out_rows(spark, make_docs):
     docs, _ = corpus(2)
     extra = [(7000, None, "en"), (7001, "123 ... !", "xx"), (7002, "", "en"), (7003, "theing oftion ander", None), (None, "schich heitge veren zusch", "xx")]

@@ -1,9 +1,8 @@
 """Toxicity by weak supervision.
 
 Many lexicon and pattern voters, mined from a bounded sample of labelled rows, vote on documents. A
-generative label model estimates the voters' accuracies by expectation-maximisation and their
-correlations from the residuals, and discounts voters that repeat each other. A linear classifier is
-trained on the posterior labels; it alone scores documents.
+generative label model estimates the voters' accuracies and correlations by expectation and maximisation.
+A linear classifier is trained on the posterior labels; it alone scores documents.
 
 Edge cases: a null or empty text is scored like a text without words (low); a null doc_id is kept and
 counts as the empty text for the split; repeated rows are scored alike; a label that is null is no
@@ -34,7 +33,7 @@ SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pa
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``max_positive`` and ``max_negative`` bound the labelled rows that the model is fitted on."""
+    """``max_positive`` and ``max_negative`` bound the labelled rows that the model is fitted on, ``max_voters`` the number of mined voters, which is the number of the classifier's features."""
 
     max_positive: int = 4000
     max_negative: int = 8000
@@ -42,7 +41,6 @@ class ToxicityConfig:
     min_share: float = 0.01
     min_precision: tuple[float, ...] = (0.92, 0.8, 0.8)
     prefix_lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
-    max_candidates: int = 60000
     max_voters: int = 300
     threshold: float = 0.7
     l2: float = 0.1
@@ -122,37 +120,77 @@ def features(hits: list[int], m: list[float], n_terms: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Class-conditional vote rates by EM; correlated voters share their weight."""
+    """A generative model of the votes: given the class, each voter depends on at most one other.
 
-    def __init__(self, rounds: int = 25, correlated: float = 0.4):
-        self.rounds, self.correlated = rounds, correlated
+    The dependences are the maximum spanning forest over the mutual information of voters within the
+    classes; P(vote | class, vote of the voter it depends on) are the voters' accuracies and correlations,
+    estimated by expectation and maximisation. A vote that a correlated voter has already cast is expected
+    in both classes and so says little more. An abstention is a vote of its own. The labels are the votes of
+    one more, independent voter whose accuracy is given (``annotator``), so that many voters can outvote a
+    label but cannot give the classes another meaning. The share of toxic rows stays that of the labels.
+    """
+
+    def __init__(self, rounds: int = 8, annotator: float = 0.95, least_information: float = 0.01, strength: float = 2.0):
+        self.rounds, self.annotator, self.least_information, self.strength = rounds, annotator, least_information, strength
 
     def fit(self, votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
-        """Posterior probability of toxicity of each row. ``gold`` (0 or 1) starts and steadies the estimate."""
+        """Posterior probability of toxicity of each row with label ``gold`` (0 or 1)."""
         n, k = votes.shape
-        plus, minus = (votes == 1).astype(float), (votes == -1).astype(float)
-        q = np.where(gold == 1, 0.95, 0.05)
-        self.discount = np.ones(k)
-        for _ in range(self.rounds):
-            q = 0.5 * q + 0.5 * np.where(gold == 1, 0.95, 0.05)
-            self.prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-            w1, w0 = q.sum(), (1 - q).sum()
-            self.p1 = np.stack([(plus.T @ q + 0.1) / (w1 + 1), (minus.T @ q + 0.1) / (w1 + 1)])
-            self.p0 = np.stack([(plus.T @ (1 - q) + 0.01) / (w0 + 1), (minus.T @ (1 - q) + 0.1) / (w0 + 1)])
-            resid = votes - (q[:, None] * (self.p1[0] - self.p1[1]) + (1 - q)[:, None] * (self.p0[0] - self.p0[1]))
-            sd = np.sqrt((resid**2).mean(0)) + 1e-9
-            self.correlation = (resid.T @ resid) / n / np.outer(sd, sd)
-            strong = np.where(np.abs(self.correlation) > self.correlated, np.abs(self.correlation), 0.0)
-            self.discount = 1.0 / np.maximum(1.0, strong.sum(1))
-            q = self.posterior(votes)
-        self.accuracy = self.p1[0] * self.prior / (self.p1[0] * self.prior + self.p0[0] * (1 - self.prior))
+        seen = np.concatenate([votes == v for v in (-1, 0, 1)], axis=1).astype(float)  # column v * k + j: voter j cast v
+        q = np.where(gold == 1, self.annotator, 1 - self.annotator)
+        self.prior = float(np.clip(gold.mean(), 1e-4, 1 - 1e-4))
+        for r in range(self.rounds):
+            together = [(seen.T @ (seen * w[:, None])).reshape(3, k, 3, k) for w in (1 - q, q)]
+            alone = [np.einsum("vjvj->vj", t) for t in together]
+            weight = [float((1 - q).sum()), float(q.sum())]
+            # few rows of a class shrink its rates to even odds against never, so that no vote is taken as proof
+            self.rates = [(a + np.array([[0.1], [1.0], [0.1]])) / (w + 1.2) for a, w in zip(alone, weight)]
+            if r < 2:
+                self.parent = self._forest(together, alone, weight)
+            self.given = [self._conditional(t, a, rate) for t, a, rate in zip(together, alone, self.rates)]
+            q = self.posterior(votes, gold)
+        up0, up1 = self.rates[0][2], self.rates[1][2]
+        self.accuracy = up1 * self.prior / (up1 * self.prior + up0 * (1 - self.prior))
         return q
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Only cast votes count; an abstention says nothing."""
-        up = np.log(self.p1[0] / self.p0[0]) * self.discount
-        down = np.log(self.p1[1] / self.p0[1]) * self.discount
-        score = math.log(self.prior / (1 - self.prior)) + (votes == 1) @ up + (votes == -1) @ down
+    def _forest(self, together: list[np.ndarray], alone: list[np.ndarray], weight: list[float]) -> np.ndarray:
+        """For each voter the one it depends on, or -1."""
+        k = alone[0].shape[1]
+        information = np.zeros((k, k))
+        for t, a, w in zip(together, alone, weight):
+            if w > 0:
+                expected = a[:, :, None, None] * a[None, None, :, :] / w
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    information += np.where(t > 0, t * np.log(t / expected), 0.0).sum(axis=(0, 2)) / sum(weight)
+        np.fill_diagonal(information, 0)
+        parent = np.full(k, -1)
+        best, by, left = np.zeros(k), np.full(k, -1), np.ones(k, dtype=bool)
+        while left.any():
+            j = int(np.argmax(np.where(left, best, -1.0)))
+            left[j] = False
+            parent[j] = by[j] if best[j] >= self.least_information else -1
+            closer = left & (information[j] > best)
+            best[closer], by[closer] = information[j][closer], j
+        return parent
+
+    def _conditional(self, together: np.ndarray, alone: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """P(vote v of voter j | vote u of the voter it depends on) at [u, v, j], drawn to P(v) by some votes' strength."""
+        k = rate.shape[1]
+        own = np.arange(k)
+        pa = np.where(self.parent < 0, own, self.parent)
+        both = together[:, pa, :, own].transpose(1, 2, 0)
+        given = (both + self.strength * rate[None]) / (alone[:, pa][:, None, :] + self.strength)
+        return np.where(self.parent[None, None, :] < 0, rate[None], given)
+
+    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """Every vote counts given the vote of the voter it depends on, abstentions too; labels count if given."""
+        own = np.arange(votes.shape[1])
+        pa = np.where(self.parent < 0, own, self.parent)
+        weigh = np.log(self.given[1]) - np.log(self.given[0])
+        said = weigh[votes[:, pa] + 1, votes + 1, own[None, :]]
+        score = math.log(self.prior / (1 - self.prior)) + said.sum(axis=1)
+        if gold is not None:
+            score = score + np.where(gold == 1, 1, -1) * math.log(self.annotator / (1 - self.annotator))
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -219,7 +257,7 @@ def _mine(sample: DataFrame, cfg: ToxicityConfig) -> list[str]:
         return map_arrow(rows.select("text"), counting(keep), "term string, n long", rows=1024).groupBy("term").agg(F.sum("n").alias("n"))
 
     least = max(cfg.min_support, cfg.min_share * sample.where("toxic = 1").count())
-    top = counted(sample.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(cfg.max_candidates).collect()
+    top = counted(sample.where("toxic = 1"), None).where(F.col("n") >= least).collect()
     yes = {r["term"]: r["n"] for r in top}
     no = {r["term"]: r["n"] for r in counted(sample.where("toxic = 0"), frozenset(yes)).collect()} if yes else {}
     good = {t: c for t, c in yes.items() if c / (c + no.get(t, 0)) >= cfg.min_precision[int(t[0]) - 1]}
