@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from varve.llm.html_extract import MARKED, ExtractConfig, blocks, covered_masks, extract_pages, main_text, repeated
+from varve.llm.html_extract import MARKED, ExtractConfig, blocks, covered_masks, extract_pages, main_text, prepared, repeated
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> --><div class="ad">Buy</div>
@@ -17,7 +17,10 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 def alone(page):
     """Text of a page that is alone on its host."""
     found = blocks(page)
-    return main_text(found, [np.zeros(len(t.split(" ")), dtype=bool) for _, t in found])
+    text, needed = prepared(found)
+    whole = main_text(found, [np.zeros(len(t.split(" ")), dtype=bool) for _, t in found])
+    assert text is None or text == whole
+    return whole
 
 
 def test_article_of_a_page():

@@ -4,13 +4,15 @@ A tolerant tokenizer turns a page into blocks, with what markup says of each: in
 the main element, elsewhere, or inside an element that markup marks as navigation, header, footer, aside,
 form, advert, notice or reader comments.
 
-The token streams of all blocks of all pages of a host, whatever markup says of them, are concatenated, and
-a suffix array sorted to the depth of the shortest counted repeat finds the token runs that recur on
-several distinct pages of the host. Tokens in such runs are boilerplate and go, and unique runs stay. A run
-may go on over the borders of blocks, as menus do: then only the blocks go that it covers whole. Markup is a prior: what it marks never stays, and tokens in
-an article (or else main) element stay although other pages repeat them, as copies of articles are
-articles. If such an element has at least as many tokens as survive elsewhere, it is the text; otherwise
-it is a teaser, and the text is all that survives.
+The token streams of all pages of a host, without the blocks in an article (or else main) element, are
+concatenated, and a suffix array sorted to the depth of the shortest counted repeat finds the token runs
+that recur on several distinct pages of the host. Tokens in such runs are boilerplate and go, and unique
+runs stay. A run may go on over the borders of blocks, as menus do: then only the blocks go that it covers
+whole. Markup is a prior: what it marks never stays, and blocks in an article (or else main) element stay
+although other pages repeat them, as copies of articles are articles. If such an element has at least as
+many tokens as survive elsewhere, it is the text; otherwise it is a teaser, and the text is all that
+survives. An element that outweighs all other blocks before any run goes is the text whatever survives:
+such a page's text does not move, its stream only counts for the host's other pages.
 
 Pages of equal blocks count as one page for the repeats. A host of more than ``block_chars`` characters is
 dealt by a hash of the blocks into parts with a suffix array each. A part counts its runs' pages, the
@@ -25,6 +27,7 @@ quotes do not close, tags of that page end at the next >. Extra columns are igno
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -231,18 +234,37 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def main_text(found: list[tuple[int, str]], covered: list[np.ndarray]) -> str:
-    """The text of a page from its blocks and the masks of their tokens that recur on the host."""
-    best = max((k for k, _ in found), default=ELSEWHERE)
+def _best(found: list[tuple[int, str]]) -> int:
+    """The level of the page's article, or else main element; ELSEWHERE if it has none."""
+    return max((k for k, _ in found), default=ELSEWHERE)
+
+
+def _sizes(found: list[tuple[int, str]]) -> list[int]:
+    """Tokens of each block in the host's stream: none of an article."""
+    best = max(ELSEWHERE, _best(found))
+    return [0 if level == best > ELSEWHERE else text.count(" ") + 1 for level, text in found]
+
+
+def prepared(found: list[tuple[int, str]]) -> tuple[str | None, list[tuple[int, str]]]:
+    """(text, blocks): the text if an article outweighs all other blocks, else None, and the blocks that the host's array needs."""
+    best = max(ELSEWHERE, _best(found))
+    own = [t for k, t in found if k == best > ELSEWHERE]
+    outside = sum(n for (k, _), n in zip(found, _sizes(found)) if k != MARKED)
+    if sum(t.count(" ") + 1 for t in own) >= outside:
+        return "\n\n".join(own), [(k, t) for k, t in found if k != best or best == ELSEWHERE]
+    return None, found
+
+
+def main_text(found: list[tuple[int, str]], removed: list[np.ndarray]) -> str:
+    """The text of a page from its blocks and, for those that are in the stream, the masks of what recurs on the host."""
+    best = max(ELSEWHERE, _best(found))
     kept = []
     inside = outside = 0
-    for (level, text), mask in zip(found, covered):
-        if level == MARKED:
-            continue
-        if best > ELSEWHERE and level == best:
+    for (level, text), mask in zip(found, removed):
+        if level == best > ELSEWHERE:
             kept.append((True, text))
-            inside += len(mask)
-        elif not mask.all():
+            inside += text.count(" ") + 1
+        elif level != MARKED and not mask.all():
             kept.append((False, " ".join(t for t, c in zip(text.split(" "), mask) if not c)))
             outside += int((~mask).sum())
     settled = inside and inside >= outside
@@ -302,15 +324,16 @@ def repeated(pages: list[list[str]], run: int, least: int) -> np.ndarray:
     return whole & (distinct[rank] >= least)
 
 
-def _streams(group: pd.DataFrame) -> tuple[list[list[tuple[int, str]]], list[list[str]]]:
-    """Blocks and token streams of the distinct contents of a part."""
-    found = [[(k, t) for k, t in json.loads(b)] for b in group["blocks"]]
-    return found, [[t for _, text in page for t in text.split(" ")] for page in found]
+def _contents(group: pd.DataFrame) -> tuple[pd.DataFrame, list[list[tuple[int, str]]], list[list[str]]]:
+    """The distinct contents of a part, their blocks and their token streams."""
+    content = group.drop_duplicates("content").sort_values("content", kind="stable")
+    found = [[(k, t) for k, t in json.loads(b)] for b in content["blocks"]]
+    return content, found, [[t for (_, text), n in zip(page, _sizes(page)) if n for t in text.split(" ")] for page in found]
 
 
 def removed_tokens(found: list[list[tuple[int, str]]], streams: list[list[str]], starts: np.ndarray, run: int) -> list[list[np.ndarray]]:
     """For each page and block a mask of what recurs: tokens in runs within the block, and blocks that runs cover whole, also over borders."""
-    sizes = [[len(t.split(" ")) for _, t in page] for page in found]
+    sizes = [_sizes(page) for page in found]
     left = np.array([x for page in sizes for x in (*(k for n in page for k in range(n, 0, -1)), 0)], dtype=np.int64)
     within, any_run = covered_masks(streams, starts & (left >= run), run), covered_masks(streams, starts, run)
     out = []
@@ -321,21 +344,22 @@ def removed_tokens(found: list[list[tuple[int, str]]], streams: list[list[str]],
 
 
 def _texts(group: pd.DataFrame, run: int, starts_of) -> pd.DataFrame:
-    """page_id, url, text of the pages of a part; ``starts_of`` tells where the runs that recur start in its distinct contents."""
-    content = group.drop_duplicates("blocks").sort_values("blocks", kind="stable")
-    found, streams = _streams(content)
+    """page_id, url, text of the open pages of a part; ``starts_of`` tells where the runs that recur start in its distinct contents."""
+    open_ones = group[group["open"]]
+    if not len(open_ones):
+        return pd.DataFrame({"page_id": [], "url": [], "text": []}, dtype=object)
+    content, found, streams = _contents(group)
     masks = removed_tokens(found, streams, starts_of(streams), run)
-    texts = {c: main_text(page, own) for c, page, own in zip(content["blocks"], found, masks)}
-    return pd.DataFrame({"page_id": group["page_id"].to_numpy(), "url": group["url"].to_numpy(), "text": group["blocks"].map(texts).to_numpy()})
+    texts = {c: main_text(page, own) for c, is_open, page, own in zip(content["content"], content["open"], found, masks) if is_open}
+    return pd.DataFrame({"page_id": open_ones["page_id"].to_numpy(), "url": open_ones["url"].to_numpy(), "text": open_ones["content"].map(texts).to_numpy()})
 
 
 RESULT = "page_id string, url string, text string"
 
 
-def _by_summed_counts(dealt: DataFrame, cfg: ExtractConfig) -> DataFrame:
-    """Texts of the pages of hosts of several parts (host, part, parts, page_id, url, blocks)."""
+def _by_summed_counts(pages: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    """Texts of the open pages of hosts of several parts."""
     run, least = cfg.run_tokens, cfg.min_pages
-    pages = durable(dealt)
 
     def hashes(streams: list[list[str]]) -> np.ndarray:
         """The hash of the run that starts at each token and separator; of no meaning where no whole run does."""
@@ -344,7 +368,7 @@ def _by_summed_counts(dealt: DataFrame, cfg: ExtractConfig) -> DataFrame:
         return _run_hashes(flat, run)
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, streams = _streams(group.drop_duplicates("blocks").sort_values("blocks", kind="stable"))
+        _, _, streams = _contents(group)
         rank, distinct, whole = run_classes(streams, run)
         at = np.flatnonzero(whole)
         _, one = np.unique(rank[at], return_index=True)
@@ -381,22 +405,28 @@ def _by_summed_counts(dealt: DataFrame, cfg: ExtractConfig) -> DataFrame:
 def extract_pages(pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     run, least = cfg.run_tokens, cfg.min_pages
-    rows = pages.select("page_id", "url", parsed(F.col("url"))[0].alias("host"), "html")
-    loads = rows.groupBy("host").agg(F.ceil(F.coalesce(F.sum(F.length("html")), F.lit(0)) / cfg.block_chars).alias("parts")).where("parts > 1")
-    large = durable(loads)
-    # a host name and a number; beyond this count of large hosts the join shuffles instead
-    side = F.broadcast(large) if large.count() <= 100_000 else large
 
     def parsing():
-        return lambda some: [{"page_id": r["page_id"], "url": r["url"], "host": r["host"], "parts": r["parts"], "blocks": json.dumps(blocks(r["html"]), ensure_ascii=False)} for r in some]
+        def work(some: list[dict]) -> list[dict]:
+            out = []
+            for r in some:
+                found = blocks(r["html"])
+                text, needed = prepared(found)
+                name = hashlib.blake2b(json.dumps(found).encode(), digest_size=8).digest()
+                out.append({"page_id": r["page_id"], "url": r["url"], "host": r["host"], "text": text, "open": text is None, "blocks": json.dumps(needed, ensure_ascii=False), "content": int.from_bytes(name, "little", signed=True)})
+            return out
 
-    dealt = rows.join(side, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "host", F.coalesce("parts", F.lit(1)).alias("parts"), "html")
-    found = map_arrow(dealt, parsing, "page_id string, url string, host string, parts long, blocks string", rows=64).withColumn("part", F.pmod(F.xxhash64("blocks"), F.col("parts")))
+        return work
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        return _texts(group, run, lambda streams: repeated(streams, run, least))
-
-    judged = found.where("parts = 1").groupBy("host").applyInPandas(judge, RESULT)
-    if not large.isEmpty():
-        judged = judged.unionByName(_by_summed_counts(found.where("parts > 1"), cfg))
-    return judged.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rows = pages.select("page_id", "url", parsed(F.col("url"))[0].alias("host"), "html")
+    found = durable(map_arrow(rows, parsing, "page_id long, url string, host string, text string, open boolean, blocks string, content long", rows=64))
+    done = found.where("not open").select("page_id", "url", "text")
+    # hosts without an open page need no array
+    loads = durable(found.groupBy("host").agg(F.ceil(F.sum(F.length("blocks")) / cfg.block_chars).alias("parts"), F.max("open").alias("open")).where("open").drop("open"))
+    if loads.isEmpty():
+        judged = done.limit(0)
+    else:
+        streams = found.where("blocks != '[]' or open").join(loads, found["host"].eqNullSafe(loads["host"])).select(F.col("page_id").cast("string").alias("page_id"), "url", found["host"], "parts", F.pmod("content", "parts").alias("part"), "open", "blocks", "content")
+        whole = streams.where("parts = 1").groupBy("host").applyInPandas(lambda group: _texts(group, run, lambda tokens: repeated(tokens, run, least)), RESULT)
+        judged = whole.unionByName(_by_summed_counts(streams.where("parts > 1"), cfg)).withColumn("page_id", F.col("page_id").cast("long"))
+    return done.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
