@@ -255,6 +255,53 @@ def test_moving_blocks_are_runs():
     assert len(sample) == 100 and (np.diff(sample.reshape(-1, 5), axis=1) == 1).all()
 
 
+def test_replicates_refit_everything_but_the_selection():
+    x, years, names, y, train, cfg = nest(min_ce=-5.0, min_re=-5.0, members=6, bootstrap="moving_block", auto_tune=False, nest=NestConfig(minimum_windows=8))
+    slow = np.array([np.nanmean(y[i : i + 3]) if np.isfinite(y[i : i + 3]).any() else 0.0 for i in range(0, 120, 3)])
+    native = {"slow": (years[::3].astype(float) + 1, slow, 3.0)}
+    got = model.fit_nest(x, years, names, native, y, train, PCAConfig(), cfg)
+    fit = model.fit_model(x, years, names, y, train, PCAConfig(), cfg)
+    layers, _ = model.window_layers(x, years, names, native, y, train, PCAConfig(), cfg)
+    assert len(layers) == 1 and got["members"].shape == (120, 6)
+
+    def plain(x, years, y, rows, fit):
+        basis = linear.fit_basis(x[rows], years[rows], np.ones(len(rows), bool), PCAConfig())
+        s = linear.scores(basis, x, years, fit.k, PCAConfig())
+        line = linear.fit_regression(fit.regression, s[rows], y[rows], fit.alpha, cfg)
+        raw = line.predict(s)
+        slope = fit.amplitude_settings
+        return model.fit_amplitude(y[rows], raw[rows], slope, basis.available(x)[rows], basis.effective(x)[rows]).apply(raw, basis.effective(x))
+
+    for k, seed in enumerate(model.nest_seed(names, train, cfg.seed).spawn(6)):
+        rng = np.random.default_rng(seed)
+        rows = model.moving_blocks(train, 5, rng) - 1880
+        annual = plain(x, years, y, rows, fit)
+        layer = layers[0]
+        windows = model.moving_blocks(np.flatnonzero(layer["learn"]), 1, rng)
+        coarse = plain(layer["x"], layer["starts"], layer["y"], windows, layer["fit"])
+        means = [(int(a), int(b), np.array([v])) for a, b, seen, v in zip(layer["starts"], layer["ends"], layer["seen"], coarse) if seen and np.isfinite(v)]
+        want, _ = smooth.fuse(years, annual, means, cfg.nest.constraint_weight, cfg.nest.smoothness)
+        assert got["members"][:, k] == pytest.approx(want[:, 0])
+
+
+@pytest.mark.parametrize("amplitude", [AmplitudeConfig(method="ols"), AmplitudeConfig(method="variance"), AmplitudeConfig(method="variance", reference="max_proxy_nest"), AmplitudeConfig(method="variance", minimum_overlap=1000), AmplitudeConfig(method="dynamic_variance")])
+def test_all_runs_at_once_equal_one_by_one(amplitude):
+    x, years, names, y, train, cfg = nest()
+    rng = np.random.default_rng(3)
+    s = rng.normal(size=(120, 3))
+    usable = np.flatnonzero(np.isfinite(y))
+    learn = np.array([rng.permutation(usable)[:60] for _ in range(7)])
+    intercepts, betas = model._all_lines(s, y, learn)
+    raw = s @ betas.T + intercepts
+    for run, t in enumerate(learn):
+        assert raw[:, run] == pytest.approx(linear.fit_regression("ols", s[t], y[t], 0.0, cfg).predict(s))
+    available, effective = rng.integers(2, 7, 120).astype(float), rng.random(120)
+    got = model._all_amplitudes(raw, y, learn, amplitude, available, effective)
+    for run, t in enumerate(learn):
+        assert got[:, run] == pytest.approx(model.fit_amplitude(y[t], raw[t, run], amplitude, available[t], effective[t]).apply(raw[:, run], effective))
+    assert model._all_lines(np.ones((120, 2)), y, learn) is None
+
+
 def test_bucket_means_use_a_boundary_sample_once():
     got = model.bucket_means(np.array([1902.5]), np.array([7.0]), 1900, 1908, 3)
     assert np.isnan(got[0]) and got[1] == 7 and np.isnan(got[2])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.config import FilterConfig, MultiresolutionConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, TargetConfig
 from varve.plans.pipeline import audit_violations, paired_difference, prepare_target, primary_summary, run_pipeline
+from varve.operators.nests import within_replicates
 from varve.plans.reconstruct import outer_validation, reconstruct, tune_slow_layer
 from varve.sources import sinks
 from varve.streaming.windows import merged_means, streaming_window_means
@@ -77,6 +78,9 @@ def test_variants_agree_with_themselves(spark, world):
     assert paired_difference(value(one), value(two)).first().equal
     blocks = reconstruct(*args, cfg=ReconstructionConfig(members=10, bootstrap="moving_block", nest=NestConfig(combination="densest"))).series
     assert blocks.where("ensemble_n = 10").count() > 0
+    table = args[0].sparkSession.createDataFrame([("m", "a", 1900, [1.0, 5.0, None], 3, 1, 9), ("m", "b", 1900, [3.0, float("nan"), None], 2, 1, 9), ("m", "c", 1900, [8.0, 7.0, 2.0], 1, 1, 9)], "run string, nest_id string, year int, runs array<double>, core_count int, start int, end int")
+    of = lambda how: sorted(within_replicates(table, how, ["run"]).first().runs)
+    assert of("median") == [2.0, 3.0, 6.0] and of("densest") == [1.0, 2.0, 5.0]
     single = reconstruct(*args, cfg=ReconstructionConfig(method="native_missing", members=0, nest=NestConfig(subnests=False))).series
     assert single.count() > 100
 

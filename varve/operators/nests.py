@@ -78,6 +78,17 @@ def pool_members(members: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return pooled.select(*keys, "year", *[sorted_quantile(F.col("v"), q).alias(n) for n, q in QUANTILES.items()], F.size("v").cast("long").alias("ensemble_n"))
 
 
+def within_replicates(members: DataFrame, combination: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, year, runs): each replicate's nests combined, by median or by taking the densest nest that has the year.
+
+    members: (keys, nest_id, year, runs, core_count, start, end) where place k of ``runs`` is replicate k, missing where its fit failed.
+    """
+    one = members.select(*keys, "year", "nest_id", "core_count", "start", "end", F.posexplode("runs").alias("replicate", "v")).where("v is not null and not isnan(v)")
+    first = F.struct(-F.col("core_count"), F.col("start"), -F.col("end"), F.col("nest_id"))
+    value = F.median("v") if combination == "median" else F.min_by("v", first)
+    return one.groupBy(*keys, "year", "replicate").agg(value.alias("v")).groupBy(*keys, "year").agg(F.collect_list("v").alias("runs"))
+
+
 def pool_densest(members: DataFrame) -> DataFrame:
     """As ``pool_members``, each year from its densest nest only. members need core_count, start, end."""
     order = Window.partitionBy("year").orderBy(F.desc("core_count"), "start", F.desc("end"), "nest_id")

@@ -129,9 +129,6 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
         weigh = (lambda fit_rows, columns: nest_weights(fit_rows, [facts[names[c]] for c in columns if c < len(names)], cfg.weights)) if cfg.weights.enabled else None
         try:
             got = models.fit_nest(x, years, names, native, y, learn, pca, cfg, weigh)
-            if got["accepted"] and got["members"] is None and cfg.members > 0 and cfg.bootstrap == "moving_block":
-                again = models.fit_model(x, years, names, y, learn, pca, cfg, weigh)
-                got["members"] = models.block_members(x, years, names, y, learn, again, pca, cfg)
         except (RuntimeError, ValueError, np.linalg.LinAlgError) as e:
             got = {"accepted": False, "reason": f"{type(e).__name__}: {e}", "layers": []}
         base = {"run": head["run"], "nest_id": head["nest_id"], "core_count": len(names), "start": start, "end": end}
@@ -145,7 +142,8 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
         if got["accepted"]:
             for k in np.flatnonzero(np.isfinite(got["point"])):
                 m = got["members"]
-                runs_here = None if m is None else m[k][np.isfinite(m[k])]
+                # replicates of moving blocks keep their places, as nests are combined within each
+                runs_here = None if m is None else m[k] if cfg.bootstrap == "moving_block" else m[k][np.isfinite(m[k])]
                 rows.append(base | {"kind": "point", "year": int(years[k]), "value": float(got["point"][k]), "raw": float(got["raw"][k]) if np.isfinite(got["raw"][k]) else None, "runs": runs_here})
         names_out = [c.split()[0] for c in TAGGED.split(", ")]
         frame = pd.DataFrame(rows).reindex(columns=names_out)
@@ -174,6 +172,12 @@ def combine(tagged: DataFrame, cfg: ReconstructionConfig, n_members: int) -> Dat
         if cfg.nest.combination == "densest":
             order = Window.partitionBy("run", "year").orderBy(F.desc("core_count"), "start", F.desc("end"), "nest_id")
             rows = points.withColumn("place", F.row_number().over(order)).where("place = 1")
+        if cfg.bootstrap == "moving_block":
+            rows = nest_ops.within_replicates(points, cfg.nest.combination, ["run"])
+            good = rows.groupBy("run").agg(F.max(F.size(F.filter("runs", lambda v: v.isNotNull()))).alias("n"))
+            short = good.where(F.col("n") < int(np.ceil(n_members * cfg.success_fraction))).first()
+            if short:
+                raise RuntimeError(f"only {short['n']} of {n_members} replicates of {short['run']} succeeded")
         out = out.join(nest_ops.pool_members(rows, ["run"]), ["run", "year"], "left")
         out = out.withColumn("median_full_fit", F.col("point"))
     else:
