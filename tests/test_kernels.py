@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from varve.config import AmplitudeConfig, MultiresolutionConfig, NestConfig, PCAConfig, ReconstructionConfig
+from varve.config import AmplitudeConfig, MultiresolutionConfig, PCAConfig, ReconstructionConfig, having
 from varve.functions.stats import incomplete_beta, two_sided_p
 from varve.kernels import linear, model, skill, smooth
 
@@ -63,7 +63,7 @@ def test_component_rules():
 
 def test_regressions_agree_with_their_normal_equations():
     rng = np.random.default_rng(3)
-    x, cfg = rng.normal(size=(60, 3)), ReconstructionConfig(pls_components=3, trees=30)
+    x, cfg = rng.normal(size=(60, 3)), having(ReconstructionConfig(), {"regression.pls_components": 3, "regression.trees": 30})
     y = 2 + x @ [1.0, -0.5, 0.2] + rng.normal(scale=0.1, size=60)
     design = np.column_stack([np.ones(60), x])
     ols = linear.fit_regression("ols", x, y, 0, cfg)
@@ -211,11 +211,11 @@ def test_butterworth_passes_slow_and_stops_fast_waves():
     assert np.abs(smooth.butterworth(np.sin(2 * np.pi * t / 4), 20)[50:250]).max() < 0.02
 
 
-def nest(seed=8, **options):
+def nest(seed=8, options=None):
     x, y = gappy(seed, 120, 6, 0.15)
     years = np.arange(1880, 2000)
     target = np.where(years >= 1900, y, np.nan)
-    return x, years, list("abcdef"), target, years[years >= 1900], ReconstructionConfig(**({"members": 40} | options))
+    return x, years, list("abcdef"), target, years[years >= 1900], having(ReconstructionConfig(), {"ensemble.members": 40} | (options or {}))
 
 
 def test_ensemble_shares_a_basis_and_beats_the_gate():
@@ -230,7 +230,7 @@ def test_ensemble_shares_a_basis_and_beats_the_gate():
 
 
 def test_blocked_selection_and_gate():
-    x, years, names, y, train, cfg = nest(members=0, regression="auto", regression_candidates=("ridge", "pls", "ols"))
+    x, years, names, y, train, cfg = nest(options={"ensemble.members": 0, "regression.family": "auto", "regression.families": ("ridge", "pls", "ols")})
     fit = model.fit_model(x, years, names, y, train, PCAConfig(selection="kaiser_cv"), cfg)
     assert fit.members is None and fit.selected["passes"]
     noise = np.random.default_rng(1).normal(size=len(y))
@@ -241,7 +241,7 @@ def test_blocked_selection_and_gate():
 
 
 def test_window_layer_is_fitted_and_fused():
-    x, years, names, y, train, cfg = nest(min_ce=-5.0, min_re=-5.0, nest=NestConfig(minimum_windows=8))
+    x, years, names, y, train, cfg = nest(options={"gates.ce": -5.0, "gates.re": -5.0, "nest.minimum_windows": 8})
     slow = np.array([np.nanmean(y[i : i + 3]) if np.isfinite(y[i : i + 3]).any() else 0.0 for i in range(0, 120, 3)])
     native = {"slow": (years[::3].astype(float) + 1, slow, 3.0)}
     got = model.fit_nest(x, years, names, native, y, train, PCAConfig(), cfg)
@@ -256,7 +256,7 @@ def test_moving_blocks_are_runs():
 
 
 def test_replicates_refit_everything_but_the_selection():
-    x, years, names, y, train, cfg = nest(min_ce=-5.0, min_re=-5.0, members=6, bootstrap="moving_block", auto_tune=False, nest=NestConfig(minimum_windows=8))
+    x, years, names, y, train, cfg = nest(options={"gates.ce": -5.0, "gates.re": -5.0, "ensemble.members": 6, "ensemble.scheme": "moving_block", "auto_tune": False, "nest.minimum_windows": 8})
     slow = np.array([np.nanmean(y[i : i + 3]) if np.isfinite(y[i : i + 3]).any() else 0.0 for i in range(0, 120, 3)])
     native = {"slow": (years[::3].astype(float) + 1, slow, 3.0)}
     got = model.fit_nest(x, years, names, native, y, train, PCAConfig(), cfg)
@@ -272,7 +272,7 @@ def test_replicates_refit_everything_but_the_selection():
         slope = fit.amplitude_settings
         return model.fit_amplitude(y[rows], raw[rows], slope, basis.available(x)[rows], basis.effective(x)[rows]).apply(raw, basis.effective(x))
 
-    for k, seed in enumerate(model.nest_seed(names, train, cfg.seed).spawn(6)):
+    for k, seed in enumerate(model.nest_seed(names, train, cfg.ensemble.seed).spawn(6)):
         rng = np.random.default_rng(seed)
         rows = model.moving_blocks(train, 5, rng) - 1880
         annual = plain(x, years, y, rows, fit)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from varve.config import FilterConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, WeightConfig, from_dict
+from varve.config import FilterConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, WeightConfig, from_json, having, to_json
 from varve.functions import stats
 from varve.operators import amplitude, dedup, filters, graph, nests, screening, temporal, validation, weights
 from varve.sources import series
@@ -269,10 +269,13 @@ def test_config():
     with pytest.raises(ValueError):
         ScreeningConfig(native_window_bins=(3, 2))
     with pytest.raises(ValueError):
-        ReconstructionConfig(regression="magic")
+        having(ReconstructionConfig(), {"regression.family": "magic"})
     with pytest.raises(ValueError):
         NestConfig(bins=(2, 20))
-    got = from_dict(PipelineConfig, {"screening": {"period": [1900, 2000], "archive_max_counts": [["Wood", 3]]}, "reconstruction": {"members": 10, "amplitude": {"method": "ols"}}})
+    got = from_json({"screening": {"period": [1900, 2000], "archive_max_counts": [["Wood", 3]]}, "reconstruction": {"n_bootstrap": 10, "amplitude": {"method": "ols"}}, "output": {"figure_format": "png"}})
     assert got.screening.period == (1900, 2000) and got.reconstruction.amplitude.method == "ols" and got.screening.archive_max_counts == (("Wood", 3),)
+    assert got.reconstruction.ensemble.members == 10 and from_json(to_json(got)) == got
+    with pytest.raises(ValueError, match="no settings"):
+        from_json({"screen": {"period": None}})
     with pytest.raises(ValueError, match="has no"):
-        from_dict(PipelineConfig, {"screen": {}})
+        having(PipelineConfig(), {"screen.period": None})

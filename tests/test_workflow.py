@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.config import FilterConfig, MultiresolutionConfig, NestConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, TargetConfig
+from varve.config import FilterConfig, MultiresolutionConfig, PipelineConfig, ReconstructionConfig, SensitivityConfig, TargetConfig, having
 from varve.plans.pipeline import audit_violations, paired_difference, prepare_target, primary_summary, run_pipeline
 from varve.operators.nests import within_replicates
 from varve.plans.reconstruct import outer_validation, reconstruct, tune_slow_layer
@@ -33,7 +33,7 @@ def world(spark):
     return source, observed, dict(zip(years.tolist(), signal.tolist()))
 
 
-CONFIG = PipelineConfig(reconstruction=ReconstructionConfig(members=40, nest=NestConfig(span=50)), sensitivity=SensitivityConfig(delete_repeats=1, split_periods=(((1900, 1950), (1951, 2000)),)))
+CONFIG = PipelineConfig(reconstruction=having(ReconstructionConfig(), {"ensemble.members": 40, "nest.span": 50}), sensitivity=SensitivityConfig(delete_repeats=1, split_periods=(((1900, 1950), (1951, 2000)),)))
 
 
 def test_whole_workflow(spark, world, tmp_path):
@@ -57,7 +57,7 @@ def test_whole_workflow(spark, world, tmp_path):
     manifest = sinks.save(result, str(tmp_path / "out"))
     assert manifest["tables"]["reconstruction"] == len(series)
     assert spark.read.option("header", True).csv(str(tmp_path / "out/nest_summary")).count() == manifest["tables"]["nest_summary"]
-    assert json.loads(spark.read.text(str(tmp_path / "out/manifest")).first()[0])["config"]["reconstruction"]["members"] == 40
+    assert json.loads(spark.read.text(str(tmp_path / "out/manifest")).first()[0])["config"]["reconstruction"]["n_bootstrap"] == 40
 
 
 def inputs(spark, world):
@@ -72,36 +72,36 @@ def inputs(spark, world):
 
 def test_variants_agree_with_themselves(spark, world):
     args = inputs(spark, world)
-    cfg = ReconstructionConfig(members=20)
+    cfg = having(ReconstructionConfig(), {"ensemble.members": 20})
     one, two = (reconstruct(*args, cfg=cfg).series for _ in range(2))
     value = lambda df: df.select("year", F.col("median").alias("value"))
     assert paired_difference(value(one), value(two)).first().equal
-    blocks = reconstruct(*args, cfg=ReconstructionConfig(members=10, bootstrap="moving_block", nest=NestConfig(combination="densest"))).series
+    blocks = reconstruct(*args, cfg=having(ReconstructionConfig(), {"ensemble.members": 10, "ensemble.scheme": "moving_block", "nest.combination": "densest"})).series
     assert blocks.where("ensemble_n = 10").count() > 0
     table = args[0].sparkSession.createDataFrame([("m", "a", 1900, [1.0, 5.0, None], 3, 1, 9), ("m", "b", 1900, [3.0, float("nan"), None], 2, 1, 9), ("m", "c", 1900, [8.0, 7.0, 2.0], 1, 1, 9)], "run string, nest_id string, year int, runs array<double>, core_count int, start int, end int")
     of = lambda how: sorted(within_replicates(table, how, ["run"]).first().runs)
     assert of("median") == [2.0, 3.0, 6.0] and of("densest") == [1.0, 2.0, 5.0]
-    single = reconstruct(*args, cfg=ReconstructionConfig(method="native_missing", members=0, nest=NestConfig(subnests=False))).series
+    single = reconstruct(*args, cfg=having(ReconstructionConfig(), {"method": "native_missing", "ensemble.members": 0, "nest.subnests": False})).series
     assert single.count() > 100
 
 
 def test_hopeless_target_is_rejected_not_tuned(spark, world):
     obs, records, selected, target = inputs(spark, world)
     noise = target.withColumn("y", F.sin(F.col("year") * 12.9898) * 43758.5453 % 1)
-    got = reconstruct(obs, records, selected, noise, cfg=ReconstructionConfig(members=10))
+    got = reconstruct(obs, records, selected, noise, cfg=having(ReconstructionConfig(), {"ensemble.members": 10}))
     assert got.series.count() == 0 and {r.reason for r in got.nests.collect()} <= {"internal_ce_re", "insufficient_calibration"}
     assert got.nests.count() > 0
 
 
 def test_outer_folds_and_slow_layer(spark, world):
     obs, records, selected, target = inputs(spark, world)
-    cfg = ReconstructionConfig(members=0)
+    cfg = having(ReconstructionConfig(), {"ensemble.members": 0})
     for rescreen in (False, True):
         got = {(r.run, r.metric): r.value for r in outer_validation(obs, records, selected, target, cfg=cfg, rescreen=rescreen).collect()}
         assert {k for k, _ in got} == {"early", "late"} and got["early", "r"] > 0.7 and got["late", "n"] == 34
     slow = MultiresolutionConfig(enabled=True, weight_candidates=(1.0, 10.0), period_candidates=(10.0,))
     few = records.withColumn("resolution", F.when(F.col("pid") == "slow", 11.0).otherwise(F.col("resolution")))
-    tuned, grid = tune_slow_layer(obs, few, selected, target, cfg=ReconstructionConfig(members=0, multiresolution=slow))
+    tuned, grid = tune_slow_layer(obs, few, selected, target, cfg=having(ReconstructionConfig(), {"ensemble.members": 0, "multiresolution": slow}))
     table = {r.weight: r.objective for r in grid.collect()}
     assert set(table) == {0.0, 1.0, 10.0} and not tuned.multiresolution.auto_tune
     assert table[tuned.multiresolution.constraint_weight] == max(table.values())

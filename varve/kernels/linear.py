@@ -228,7 +228,7 @@ class Forest:
 def fit_regression(name: str, x: np.ndarray, y: np.ndarray, alpha: float, cfg) -> Linear | Forest:
     """A regression family on scores; the intercept is never penalized."""
     if name == "random_forest":
-        return Forest(cfg.trees, cfg.min_leaf, cfg.max_features, cfg.seed).fit(x, y)
+        return Forest(cfg.regression.trees, cfg.regression.min_leaf, cfg.regression.max_features, cfg.ensemble.seed).fit(x, y)
     mx, my = x.mean(0), y.mean()
     a, b = x - mx, y - my
     if name == "ols" or (name == "ridge" and alpha == 0):
@@ -236,7 +236,7 @@ def fit_regression(name: str, x: np.ndarray, y: np.ndarray, alpha: float, cfg) -
     elif name == "ridge":
         beta = np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ b)
     elif name == "pls":
-        beta = _pls(a, b, max(1, min(cfg.pls_components, a.shape[1])))
+        beta = _pls(a, b, max(1, min(cfg.regression.pls_components, a.shape[1])))
     elif name == "elasticnet":
         beta = _elastic(a, b, max(alpha, 1e-8))
     else:

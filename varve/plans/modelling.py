@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..config import AmplitudeConfig, NestConfig, PCAConfig, PipelineConfig, ReconstructionConfig, SensitivityConfig
+from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, SensitivityConfig, having
 from ..kernels import skill, smooth
 from ..operators import temporal
 from ..sources import supplied
@@ -15,7 +13,7 @@ from . import reconstruct as rec
 from .catalogue import annual_of, pairs_of, query, r6
 
 #: Small ensembles over weeks as years; signals are weak, so the gate is open.
-DEMO = ReconstructionConfig(members=50, min_ce=-10.0, min_re=-10.0, nest=NestConfig(span=200, minimum_start=0), amplitude=AmplitudeConfig(method="auto", candidates=("variance_observation", "variance_max_proxy_nest")))
+DEMO = having(ReconstructionConfig(), {"ensemble.members": 50, "gates.ce": -10.0, "gates.re": -10.0, "nest.span": 200, "nest.minimum_start": 0})
 
 
 def _inputs(spark, d):
@@ -38,7 +36,7 @@ def nest_ensemble_500(spark, d):
     obs, records, selected, target = _inputs(spark, d)
     k = F.regexp_extract("pid", "([0-9]+)", 1).cast("int")
     obs = obs.where(F.col("time").between(k * 3 % 40, 300 + k * 7 % 45))
-    got = rec.reconstruct(obs, records, selected, target, PCAConfig(), replace(DEMO, members=500))
+    got = rec.reconstruct(obs, records, selected, target, PCAConfig(), having(DEMO, {"ensemble.members": 500}))
     points = got.members.where("runs is not null").groupBy("nest_id").agg(F.max(F.size("runs")).alias("k"))
     return points.agg(F.count(F.lit(1)).alias("nests"), F.sum("k").cast("long").alias("regressions"))
 
@@ -55,12 +53,12 @@ def resolution_layers(spark, d):
 
 @query()
 def native_missing_series(spark, d):
-    return rec.reconstruct(*_inputs(spark, d), PCAConfig(), replace(DEMO, method="native_missing", nest=replace(DEMO.nest, subnests=False))).series
+    return rec.reconstruct(*_inputs(spark, d), PCAConfig(), having(DEMO, {"method": "native_missing", "nest.subnests": False})).series
 
 
 @query()
 def outer_fold_skill(spark, d):
-    return rec.outer_validation(*_inputs(spark, d), PCAConfig(), replace(DEMO, members=0))
+    return rec.outer_validation(*_inputs(spark, d), PCAConfig(), having(DEMO, {"ensemble.members": 0}))
 
 
 @query()
@@ -125,5 +123,5 @@ def full_pipeline(spark, d):
     obs, records, _, target = _inputs(spark, d)
     packed = obs.join(records, "pid").groupBy("pid", "lat", "lon", "archive", "proxy").agg(F.collect_list("time").alias("year"), F.collect_list("value").alias("paleoData_values"))
     source = packed.select(F.col("pid").alias("datasetId"), "year", "paleoData_values", F.lit("AD").alias("yearUnits"), F.col("lat").alias("geo_meanLat"), F.col("lon").alias("geo_meanLon"), F.col("archive").alias("archiveType"), F.col("proxy").alias("paleoData_proxy"))
-    config = PipelineConfig(screening=ScreeningConfig(p_threshold=1.0, r_threshold=0.05), reconstruction=replace(DEMO, members=30))
+    config = PipelineConfig(screening=ScreeningConfig(p_threshold=1.0, r_threshold=0.05), reconstruction=having(DEMO, {"ensemble.members": 30}))
     return run_pipeline(source, target.select(F.col("year").alias("Year"), F.col("y").alias("value")), config).reconstruction.series

@@ -79,7 +79,7 @@ def run_pipeline(source: DataFrame, observations: DataFrame, config: PipelineCon
     values = target_years(target)
     years = list(values)
     fit = score_runs(made.series, values, {"main": years}, {"main": years}, cfg)
-    outer = outer_validation(obs, records, selected, target, config.pca, cfg, config.screening, cfg.rescreen_folds) if cfg.outer_validation else None
+    outer = outer_validation(obs, records, selected, target, config.pca, cfg, config.screening, cfg.evaluation.rescreen) if cfg.evaluation.outer else None
     sens = config.sensitivity
     more = sensitivities(obs, records, selected, target, config) if sens.single or sens.leave_one_out or sens.delete_repeats or sens.split_periods else None
     return PipelineResult(config, facts, decisions, read.rejects, dropped, groups, target, table, made, fit, outer, more)
@@ -98,10 +98,10 @@ def audit_violations(result: PipelineResult) -> DataFrame:
     made = result.reconstruction
     cfg = result.config.reconstruction
     nets = made.nests.groupBy("run", "pids").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    gate = made.nests.where("accepted").where(~filters.passes_gate(F.col("median_ce"), F.col("median_re"), cfg.skill_floor if cfg.min_ce is None else cfg.min_ce, cfg.skill_floor if cfg.min_re is None else cfg.min_re, cfg.comparison))
+    gate = made.nests.where("accepted").where(~filters.passes_gate(F.col("median_ce"), F.col("median_re"), cfg.gates.floor if cfg.gates.ce is None else cfg.gates.ce, cfg.gates.floor if cfg.gates.re is None else cfg.gates.re, cfg.gates.comparison))
     run = made.series.groupBy("run").agg((F.max("year") - F.min("year") + 1 - F.count(F.lit(1))).alias("k")).where("k != 0")
     filled = made.annual.where("is_native and is_interpolated")
-    checks = [("networks_repeat", nets), ("gate_not_passed", gate if cfg.nest.require_gate and cfg.auto_tune else gate.limit(0)), ("series_broken", run if cfg.retain_longest_segment else run.limit(0)), ("native_and_interpolated", filled)]
+    checks = [("networks_repeat", nets), ("gate_not_passed", gate if cfg.nest.require_gate and cfg.auto_tune else gate.limit(0)), ("series_broken", run if cfg.gaps.longest_only else run.limit(0)), ("native_and_interpolated", filled)]
     out = None
     for name, bad in checks:
         part = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n").where("n > 0")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig
+from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, having
 from ..functions.stats import number
 from ..functions.storage import kept
 from ..kernels import model as models
@@ -63,11 +63,11 @@ def prepared_matrix(annual: DataFrame, records: DataFrame, cfg: ReconstructionCo
     bounds = annual.groupBy("pid").agg(F.min("year").alias("a"), F.max("year").alias("b"))
     grid = bounds.select("pid", F.explode(F.sequence("a", "b")).alias("year"))
     dense = grid.join(annual, ["pid", "year"], "left")
-    if cfg.interpolation == "none":
+    if cfg.gaps.fill == "none":
         filled = dense.withColumns({"is_native": F.col("value").isNotNull(), "is_interpolated": F.lit(False)})
     else:
-        facts = records.select("pid", F.coalesce(F.lower(F.trim("archive")).isin(*[a.strip().lower() for a in cfg.interpolation_archives]) & (F.col("resolution") <= cfg.interpolation_max_resolution), F.lit(False)).alias("fits"))
-        filled = temporal.fill_short_gaps(dense.join(facts, "pid"), cfg.interpolation_max_gap, F.col("fits")).drop("fits")
+        facts = records.select("pid", F.coalesce(F.lower(F.trim("archive")).isin(*[a.strip().lower() for a in cfg.gaps.archives]) & (F.col("resolution") <= cfg.gaps.coarsest), F.lit(False)).alias("fits"))
+        filled = temporal.fill_short_gaps(dense.join(facts, "pid"), cfg.gaps.most_years, F.col("fits")).drop("fits")
     if cfg.standardization_period:
         z = temporal.reference_zscore(filled.select("pid", "year", "value"), *cfg.standardization_period, train)
         filled = filled.drop("value").join(z.select("pid", "year", "value"), ["pid", "year"])
@@ -143,7 +143,7 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
             for k in np.flatnonzero(np.isfinite(got["point"])):
                 m = got["members"]
                 # replicates of moving blocks keep their places, as nests are combined within each
-                runs_here = None if m is None else m[k] if cfg.bootstrap == "moving_block" else m[k][np.isfinite(m[k])]
+                runs_here = None if m is None else m[k] if cfg.ensemble.scheme == "moving_block" else m[k][np.isfinite(m[k])]
                 rows.append(base | {"kind": "point", "year": int(years[k]), "value": float(got["point"][k]), "raw": float(got["raw"][k]) if np.isfinite(got["raw"][k]) else None, "runs": runs_here})
         names_out = [c.split()[0] for c in TAGGED.split(", ")]
         frame = pd.DataFrame(rows).reindex(columns=names_out)
@@ -172,10 +172,10 @@ def combine(tagged: DataFrame, cfg: ReconstructionConfig, n_members: int) -> Dat
         if cfg.nest.combination == "densest":
             order = Window.partitionBy("run", "year").orderBy(F.desc("core_count"), "start", F.desc("end"), "nest_id")
             rows = points.withColumn("place", F.row_number().over(order)).where("place = 1")
-        if cfg.bootstrap == "moving_block":
+        if cfg.ensemble.scheme == "moving_block":
             rows = nest_ops.within_replicates(points, cfg.nest.combination, ["run"])
             good = rows.groupBy("run").agg(F.max(F.size(F.filter("runs", lambda v: v.isNotNull()))).alias("n"))
-            short = good.where(F.col("n") < int(np.ceil(n_members * cfg.success_fraction))).first()
+            short = good.where(F.col("n") < int(np.ceil(n_members * cfg.ensemble.success_fraction))).first()
             if short:
                 raise RuntimeError(f"only {short['n']} of {n_members} replicates of {short['run']} succeeded")
         out = out.join(nest_ops.pool_members(rows, ["run"]), ["run", "year"], "left")
@@ -232,8 +232,8 @@ def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target:
     runs = kept(run_nests(annual.where("value is not null and is_native"), records, cfg, networks))
     names = [r["run"] for r in runs.select("run").distinct().collect()]
     tagged = fit_nests(runs, annual, obs, records, values, {n: train.get(n, years) for n in names}, pca, cfg)
-    series = kept(combine(tagged, cfg, cfg.members))
-    if cfg.retain_longest_segment:
+    series = kept(combine(tagged, cfg, cfg.ensemble.members))
+    if cfg.gaps.longest_only:
         best = temporal.longest_run(series.select("run", "year", F.col("point").alias("value")), ["run"])
         series = series.join(best.drop("years"), "run").where(F.col("year").between(F.col("start"), F.col("end"))).drop("start", "end")
     points = tagged.where("kind = 'point'")
@@ -257,7 +257,7 @@ def score_runs(series: DataFrame, target: dict[int, float], held: dict[str, Sequ
         for prefix, column in (("", "point"), ("raw_", "point_raw")):
             out |= {prefix + k: v for k, v in skills.skill(o, group[column].to_numpy(dtype=float), years, mean).items()}
         p = group["point"].to_numpy(dtype=float)
-        out |= skills.multiscale(o, p, years, cfg.lowpass_periods, mean) | skills.spectral(o, p, years, cfg.period_bands)
+        out |= skills.multiscale(o, p, years, cfg.evaluation.lowpass_periods, mean) | skills.spectral(o, p, years, cfg.evaluation.period_bands)
         return pd.DataFrame({"run": run, "metric": list(out), "value": [float(v) if np.isfinite(v) else None for v in out.values()]})
 
     return series.select("run", "year", "point", "point_raw").groupBy("run").applyInPandas(score, "run string, metric string, value double")
@@ -272,11 +272,11 @@ def outer_validation(obs, records, selected, target, pca=PCAConfig(), cfg=Recons
     values = target_years(target)
     years = sorted(values)
     spark = obs.sparkSession
-    table = edge_folds(spark.createDataFrame([(y,) for y in years], "year int"), cfg.external_fraction, least_train=max(20, pca.max_components + 3)).collect()
+    table = edge_folds(spark.createDataFrame([(y,) for y in years], "year int"), cfg.evaluation.external_fraction, least_train=max(20, pca.max_components + 3)).collect()
     held = {f"{name}": sorted(r["year"] for r in table if r["fold"] == k) for k, name in enumerate(("early", "late"))}
     held = {k: v for k, v in held.items() if v}
     train = {k: [y for y in years if y not in set(v)] for k, v in held.items()}
-    inner = replace(cfg, members=0 if cfg.method == "explicit_nest" else cfg.members, retain_longest_segment=False)
+    inner = having(cfg, {"ensemble.members": 0 if cfg.method == "explicit_nest" else cfg.ensemble.members, "gaps.longest_only": False})
     if not rescreen:
         runs = spark.createDataFrame([(n,) for n in train], "run string")
         got = reconstruct(obs, records, selected, target, pca, inner, scr, selected.select("pid").crossJoin(runs).select("run", "pid"), train)
@@ -302,7 +302,7 @@ def _rescreened(obs, records, target, pca, inner, scr, train, held, values, cfg)
 
 def sensitivities(obs, records, selected, target, config: PipelineConfig) -> DataFrame:
     """(run, metric, value) of refits with single series, one left out, random deletions, and split periods screened anew."""
-    cfg, sens = replace(config.reconstruction, retain_longest_segment=False), config.sensitivity
+    cfg, sens = having(config.reconstruction, {"gaps.longest_only": False}), config.sensitivity
     values = target_years(target)
     years = sorted(values)
     pids = [r["pid"] for r in selected.select("pid").orderBy("pid").collect()]
@@ -320,10 +320,10 @@ def sensitivities(obs, records, selected, target, config: PipelineConfig) -> Dat
         for p in pids:
             add(f"without:{p}", [q for q in pids if q != p])
     for k in range(sens.delete_repeats):
-        rng = np.random.default_rng(np.random.SeedSequence([cfg.seed, k]))
+        rng = np.random.default_rng(np.random.SeedSequence([cfg.ensemble.seed, k]))
         keep = max(2, int(np.ceil(len(pids) * (1 - sens.delete_fraction))))
         add(f"deletion:{k}", sorted(rng.choice(pids, min(keep, len(pids)), replace=False).tolist()))
-    small = replace(cfg, nest=replace(cfg.nest, minimum_members=1, minimum_core=1), members=0)
+    small = having(cfg, {"nest.minimum_members": 1, "nest.minimum_core": 1, "ensemble.members": 0})
     pca = replace(config.pca, min_series_per_year=1)
     out = obs.sparkSession.createDataFrame([], "run string, metric string, value double")
     if networks:
@@ -347,18 +347,18 @@ def tune_slow_layer(obs, records, selected, target, pca=PCAConfig(), cfg=Reconst
     """
     slow_cfg = cfg.multiresolution
     values = target_years(target)
-    folds = skills.blocked_folds(np.array(sorted(values)), cfg.block_years, cfg.minimum_train)
+    folds = skills.blocked_folds(np.array(sorted(values)), cfg.evaluation.block_years, cfg.evaluation.minimum_train)
     train = {f"fold_{k}": t.tolist() for k, (t, _) in enumerate(folds)}
     held = {f"fold_{k}": h.tolist() for k, (_, h) in enumerate(folds)}
     limit = cfg.nest.subnest_max_resolution if cfg.nest.subnests else slow_cfg.regression_max_resolution
     slow = records.where(F.col("resolution") > limit).select("pid")
     samples = obs.join(slow, "pid", "left_semi").join(selected.select("pid"), "pid", "left_semi")
-    none = replace(cfg, multiresolution=replace(slow_cfg, constraint_weight=0.0, auto_tune=False))
+    none = having(cfg, {"multiresolution.constraint_weight": 0.0, "multiresolution.auto_tune": False})
     schema = "run string, weight double, period double, used int, annual_ce double, annual_r double, lowpass_ce double, lowpass_r double"
     if len(folds) < slow_cfg.minimum_folds:
         return none, obs.sparkSession.createDataFrame([], schema)
     runs = obs.sparkSession.createDataFrame([(n,) for n in train], "run string")
-    core_cfg = replace(cfg, members=0, retain_longest_segment=False, multiresolution=replace(slow_cfg, enabled=False))
+    core_cfg = having(cfg, {"ensemble.members": 0, "gaps.longest_only": False, "multiresolution.enabled": False})
     core = reconstruct(obs, records, selected.join(slow, "pid", "left_anti"), target, pca, core_cfg, scr, selected.join(slow, "pid", "left_anti").select("pid").crossJoin(runs).select("run", "pid"), train).series
     rows = core.select("run", F.lit(None).cast("string").alias("pid"), F.col("year").cast("double").alias("x"), F.col("point").alias("y")).unionByName(samples.crossJoin(runs).select("run", "pid", F.col("time").alias("x"), F.col("value").alias("y")))
 
@@ -394,7 +394,7 @@ def tune_slow_layer(obs, records, selected, target, pca=PCAConfig(), cfg=Reconst
     best = grid.where("objective is not null and folds >= " + str(slow_cfg.minimum_folds)).orderBy(F.desc("objective"), "weight", "period").first()
     if best is None:
         return none, grid
-    return replace(cfg, multiresolution=replace(slow_cfg, constraint_weight=best["weight"], lowpass_period=best["period"], auto_tune=False)), grid
+    return having(cfg, {"multiresolution.constraint_weight": best["weight"], "multiresolution.lowpass_period": best["period"], "multiresolution.auto_tune": False}), grid
 
 
 def lowpass_states(annual: DataFrame, period: float) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType
 
+from ..config import to_json
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays and maps as text, for CSV."""
@@ -66,7 +67,7 @@ def save(result, directory: str, inputs: dict[str, str] | None = None) -> dict:
     if result.validation is not None and out.show_external:
         flat(result.validation).write.mode("overwrite").partitionBy("run").option("header", True).csv(f"{directory}/validation_by_run")
     spark = made.series.sparkSession
-    manifest = {"tables": counts, "inputs": {k: [r.asDict() for r in source_digest(spark, p).collect()] for k, p in (inputs or {}).items()}, "config": asdict(result.config)}
+    manifest = {"tables": counts, "inputs": {k: [r.asDict() for r in source_digest(spark, p).collect()] for k, p in (inputs or {}).items()}, "config": to_json(result.config)}
     spark.createDataFrame([(json.dumps(manifest, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/manifest")
     return manifest
 
