@@ -50,3 +50,30 @@ def test_likeness():
     assert likeness(fa, fb) > 0.8 > likeness(fa, fc) >= 0
     big = a * 800
     assert bucket_counts(big).sum() == 3 * (len(big) - 3)
+
+
+def plain_digest(data):
+    """The digest by loops over byte windows."""
+    data = data + b"\0" * (4 - len(data)) if len(data) < 4 else data
+    counts = [0] * 128
+    for i in range(3, len(data)):
+        p, q, r, s = data[i - 3 : i + 1]
+        for salt, (x, y) in enumerate(((r, q), (r, p), (q, p)), 1):
+            h = ((x << 16 | y << 8 | s) + salt * 0x2545F491) * 0x9E3779B1 % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
+            counts[h >> 25] += 1
+    return counts
+
+
+def test_digest_equals_loops():
+    rng = random.Random(11)
+    for text in ["", "a", "abc", "abcd", "é漢" * 40, *("".join(rng.choice("abc dé漢\n") for _ in range(n)) for n in (5, 60, 700))]:
+        data = text.encode()
+        counts = plain_digest(data)
+        assert bucket_counts(data).tolist() == counts
+        ordered = sorted(counts)
+        quartiles = ordered[31], ordered[63], ordered[95]
+        bits = "".join(f"{sum(c > q for q in quartiles):02b}" for c in counts)
+        made = fingerprint(data)
+        assert made[6:] == f"{int(bits, 2):064x}"
+        assert int(made[2:4], 16) == min(15, 16 * quartiles[0] // (quartiles[2] + 1)) * 16 + min(15, 16 * quartiles[1] // (quartiles[2] + 1))
