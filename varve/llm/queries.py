@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import input_table
 from .decontam import find_contamination
+from .divergence import audit_divergence, divergence_sql
 from .fingerprint import fingerprint_documents
 from .html_extract import extract_pages
 from .langid import identify_language, train_language_id
@@ -61,10 +62,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, train_language_id(docs))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_divergence(input_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op6_line_dedup, op7_ngram_jaccard_join, op8_pii, op9_source_mixing, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op6_line_dedup, op7_ngram_jaccard_join, op8_pii, op9_source_mixing, op10_language_id, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses."""
-    return {"op9_source_mixing": mix_sql()}
+    return {"op9_source_mixing": mix_sql(), "op12_source_divergence": divergence_sql()}
