@@ -15,6 +15,7 @@ from .langid import identify_language, train_language_id
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources, mix_sql
 from .ngram_join import similarity_classes
+from .perplexity import judge_quality
 from .pii import find_personal_data
 from .toxicity import score_toxicity, train_toxicity
 from .url_rules import judge_urls
@@ -62,12 +63,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, train_language_id(docs))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(input_table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_divergence(input_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op6_line_dedup, op7_ngram_jaccard_join, op8_pii, op9_source_mixing, op10_language_id, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_document_fingerprints, op4_benchmark_decontamination, op5_html_extraction, op6_line_dedup, op7_ngram_jaccard_join, op8_pii, op9_source_mixing, op10_language_id, op11_quality_rules, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
