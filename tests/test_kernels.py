@@ -305,3 +305,60 @@ def test_all_runs_at_once_equal_one_by_one(amplitude):
 def test_bucket_means_use_a_boundary_sample_once():
     got = model.bucket_means(np.array([1902.5]), np.array([7.0]), 1900, 1908, 3)
     assert np.isnan(got[0]) and got[1] == 7 and np.isnan(got[2])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5, 8])
+def test_zero_phase_filter_by_its_definition(order):
+    """Against one high-order recurrence per direction, begun by a long past that is constant."""
+    rng = np.random.default_rng(order)
+    x, period, m = np.cumsum(rng.normal(size=90)), 9.0, 3 * (order + 1)
+    w = np.tan(np.pi / period)
+    poles = w * np.exp(1j * np.pi * (2 * np.arange(order) + 1 + order) / (2 * order))  # s, in the left half plane
+    a = np.poly((1 + poles) / (1 - poles)).real
+    b = np.poly(-np.ones(order))
+    b = b * a.sum() / b.sum()
+
+    def once(v):
+        past = 4000
+        v = np.concatenate([np.full(past, v[0]), v])
+        y = np.full(len(v), v[0])
+        for k in range(order, len(v)):
+            y[k] = sum(b[i] * v[k - i] for i in range(order + 1)) - sum(a[i] * y[k - i] for i in range(1, order + 1))
+        return y[past:]
+
+    longer = np.concatenate([2 * x[0] - x[m:0:-1], x, 2 * x[-1] - x[-2 : -m - 2 : -1]])
+    want = once(once(longer)[::-1])[::-1][m : m + len(x)]
+    assert np.abs(smooth.butterworth(x, period, order) - want).max() < (1e-8 if order < 8 else 1e-5)
+    assert smooth.butterworth(np.full(60, 3.5), period, order) == pytest.approx(np.full(60, 3.5), abs=1e-12)
+
+
+def test_zero_phase_filter_gain_and_shortest_series():
+    t = np.arange(2000)
+    for period in (6.0, 10.0, 25.0):
+        gain = 1 / (1 + (np.tan(np.pi / period) / np.tan(np.pi / 10)) ** 8)
+        wave = np.cos(2 * np.pi * t / period)
+        assert smooth.butterworth(wave, 10.0, 4)[500:1500] == pytest.approx(gain * wave[500:1500], abs=1e-9)
+    assert len(smooth.butterworth(np.arange(16.0), 10.0, 4)) == 16
+    for n in (11, 15):
+        with pytest.raises(ValueError):
+            smooth.butterworth(np.arange(float(n)), 10.0, 4)
+
+
+def test_slow_samples_are_told():
+    years = np.arange(1800, 2001)
+    truth = np.sin(years / 15.0)
+    core = truth + 0.3
+    times = years[::10].astype(float) + 4.5
+    values = 2 * np.array([truth[i : i + 10].mean() for i in range(0, 201, 10)]) + 1
+    rows: list[dict] = []
+    cfg = MultiresolutionConfig(enabled=True, constraint_weight=4)
+    got, audit = smooth.assimilate(years, core, [("a", times, values), ("b", times[:1], values[:1])], years[100:], truth[100:], cfg, rows)
+    assert [a["status"] for a in audit] == ["used", "excluded_no_calibration"]
+    one = audit[0]
+    assert one["constraint_count"] == len(rows) and one["minimum_support_years"] <= one["median_support_years"] <= one["maximum_support_years"]
+    for r in rows:
+        assert r["pid"] == "a" and r["mapped_lowpass_value"] == pytest.approx(one["psm_intercept"] + one["psm_slope"] * r["proxy_value"])
+        assert r["innovation"] == pytest.approx(r["mapped_lowpass_value"] - r["core_lowpass_window_mean"])
+        assert r["support_end"] - r["support_start"] == pytest.approx(r["support_width_years"]) and r["annual_state_count"] == r["annual_state_end"] - r["annual_state_start"] + 1
+        assert r["constraint_weight"] == pytest.approx((4 / one["psm_residual_variance"]) ** 0.5)
+    assert smooth.assimilate(years, core, [("a", times, values)], years[100:], truth[100:], cfg)[0] == pytest.approx(got, nan_ok=True)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -279,3 +280,16 @@ def test_config():
         from_json({"screen": {"period": None}})
     with pytest.raises(ValueError, match="has no"):
         having(PipelineConfig(), {"screen.period": None})
+
+
+def test_student_tail_in_the_jvm(spark):
+    """Two-sided tails of Student's distribution, closed forms for 1, 2 and 4 degrees of freedom; any others against the numpy form."""
+    cases = [(float(t), float(n)) for t in (0, 1e-6, 0.01, 0.5, 1, 2.5, 12, 1e5) for n in (1, 1.5, 2, 3.3, 4, 10, 57.2, 300, 5000)]
+    df = spark.createDataFrame([*cases, (None, 3.0), (1.0, None), (float("nan"), 2.0), (float("inf"), 2.0), (2.0, 0.2)], "t double, n double")
+    got = {(r.t, r.n): r.p for r in df.select("t", "n", stats.student_p(F.col("t"), F.col("n")).alias("p")).collect()}
+    closed = {1.0: lambda t: 1 - 2 / math.pi * math.atan(t), 2.0: lambda t: 1 - t / math.sqrt(2 + t * t), 4.0: lambda t: 1 - (t / math.sqrt(4 + t * t)) * (1 + 2 / (4 + t * t))}
+    for t, n in cases:
+        want = closed[n](t) if n in closed else float(stats.two_sided_p(np.array([t]), np.array([n]))[0])
+        assert got[t, n] == pytest.approx(want, abs=1e-6 if n not in closed and t == 1e-6 else 1e-9), (t, n)
+    assert got[12.0, 57.2] == pytest.approx(float(stats.two_sided_p(np.array([12.0]), np.array([57.2]))[0]), rel=1e-8)
+    assert got[None, 3.0] is None and got[1.0, None] is None and got[float("inf"), 2.0] is None and got[2.0, 0.2] == pytest.approx(closed[1.0](2.0))

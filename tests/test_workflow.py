@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.config import FilterConfig, MultiresolutionConfig, PipelineConfig, ReconstructionConfig, SensitivityConfig, TargetConfig, having
+from varve.config import FilterConfig, MultiresolutionConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, TargetConfig, having
 from varve.plans.pipeline import audit_violations, paired_difference, prepare_target, primary_summary, run_pipeline
 from varve.operators.nests import within_replicates
+from varve.operators import validation
+from varve.plans.outer import FULL, RESCREENED, external_validation
 from varve.plans.reconstruct import outer_validation, reconstruct, tune_slow_layer
 from varve.sources import sinks
 from varve.streaming.windows import merged_means, streaming_window_means
@@ -105,6 +107,14 @@ def test_outer_folds_and_slow_layer(spark, world):
     table = {r.weight: r.objective for r in grid.collect()}
     assert set(table) == {0.0, 1.0, 10.0} and not tuned.multiresolution.auto_tune
     assert table[tuned.multiresolution.constraint_weight] == max(table.values())
+    # what slow series and their samples say, and the grid, are tables of the reconstruction
+    made = reconstruct(obs, few, selected, target, cfg=having(ReconstructionConfig(), {"ensemble.members": 0, "multiresolution": MultiresolutionConfig(enabled=True, auto_tune=False, constraint_weight=5.0)}))
+    used = made.constraints.where("status = 'used'").collect()
+    assert used and {r.pid for r in used} == {"slow"} and made.slow_selection is None
+    rows = made.observations.groupBy("nest_id").count().collect()
+    assert {r.nest_id: r["count"] for r in rows} == {r.nest_id: r.constraint_count for r in used}
+    tuned_run = reconstruct(obs, few, selected, target, cfg=having(ReconstructionConfig(), {"ensemble.members": 0, "multiresolution": slow}))
+    assert {r.weight for r in tuned_run.slow_selection.where("selected").collect()} == {tuned.multiresolution.constraint_weight}
 
 
 def test_target_and_empty_selection(spark, world):
@@ -127,3 +137,57 @@ def test_stream_of_samples(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.window_id: r.value for r in merged_means(spark.table("parts")).collect()}
     assert got == {1900: 2.0, 1905: 7.0, 1910: 12.0, 1915: 17.0}
+
+
+def test_external_validation_in_both_modes(spark, world):
+    obs, records, selected, target = inputs(spark, world)
+    cfg = having(ReconstructionConfig(), {"ensemble.members": 0, "evaluation.outer_folds": "blocks", "standardization_period": (1900, 2000)})
+    folds = external_validation(obs, records, selected, target, cfg=cfg, modes=[FULL, RESCREENED])
+    rows = folds.collect()
+    assert [(r.validation_mode, r.fold, r.holdout_position, r.held_years, r.train_years) for r in rows] == [(m, k, p, n, 101 - n) for m in (FULL, RESCREENED) for k, p, n in ((1, "early", 34), (2, "middle", 34), (3, "late", 33))]
+    assert all(r.fit_status == "completed" and r.fit_error is None and r.n == r.held_years and r.r > 0.6 and r.accepted_nest_count > 0 for r in rows)
+    assert {r.selected_proxy_count for r in rows if r.validation_mode == FULL} == {selected.count()}
+    summary = {r.validation_mode: r for r in validation.summarize_modes(folds).collect()}
+    own = sorted(r.r for r in rows if r.validation_mode == FULL)
+    assert summary[FULL].median_r == pytest.approx(own[1]) and summary[FULL].minimum_r == pytest.approx(own[0]) and summary[FULL].fold_count == 3
+    assert summary[FULL].early_holdout_ce == pytest.approx(rows[0].ce) and "median_lowpass_10y_r" in summary[FULL].asDict() and "median_raw_r" in summary[FULL].asDict()
+
+
+def test_held_out_years_are_never_seen(spark, world):
+    """Other values in a fold's held-out years change neither its reconstruction nor its selection, only its skill."""
+    obs, records, selected, target = inputs(spark, world)
+    cfg = having(ReconstructionConfig(), {"ensemble.members": 0, "standardization_period": (1900, 2000)})
+    late = F.col("year") > 2000 - 34
+    other = target.withColumn("y", F.when(late, -F.col("y") * 3 + 1).otherwise(F.col("y")))
+    a, b = (external_validation(obs, records, selected, t, cfg=cfg, modes=[RESCREENED]).where("fold = 2").first() for t in (target, other))
+    assert a.validation_start == 1967 and a.predicted_sd == pytest.approx(b.predicted_sd, abs=1e-12) and a.selected_proxy_count == b.selected_proxy_count
+    assert a.observed_sd != pytest.approx(b.observed_sd)
+
+
+def test_folds_that_fail_are_rows(spark, world):
+    obs, records, selected, target = inputs(spark, world)
+    cfg = having(ReconstructionConfig(), {"ensemble.members": 0})
+    noise = F.sin(F.col("year") * 12.9898) * 43758.5453 % 1
+    # without the early part there is nothing to learn but noise, so that no series is selected then
+    half = target.withColumn("y", F.when(F.col("year") > 1900 + 33, noise).otherwise(F.col("y")))
+    strict = ScreeningConfig(r_threshold=0.5)
+    rows = {r.fold: r for r in external_validation(obs, records, selected, half, cfg=cfg, scr=strict, modes=[RESCREENED]).collect()}
+    assert set(rows) == {1, 2} and rows[1].fit_status == "unavailable" and rows[1].fit_error == "no series is selected"
+    assert rows[1].n == 0 and rows[1].r is None and rows[1].held_years == 34 and rows[1].train_years == 67 and rows[1].validation_start == 1900
+    hopeless = having(cfg, {"gates.ce": 0.999, "gates.re": 0.999})
+    failed = external_validation(obs, records, selected, target, cfg=hopeless, modes=[FULL]).collect()
+    assert [r.fit_status for r in failed] == ["unavailable"] * 2 and all(r.fit_error.startswith("no nest was accepted: ") and r.candidate_nest_count > 0 for r in failed)
+    short = external_validation(obs, records, selected, target.where("year < 1915"), cfg=cfg, modes=[FULL])
+    assert short.count() == 0 and "fit_status" in short.columns
+    summary = validation.summarize_modes(spark.createDataFrame(failed, external_validation(obs, records, selected, target.where("year < 1915"), cfg=cfg).schema)).first()
+    assert summary.fold_count == 2 and summary.completed_count == 0 and summary.median_r is None
+
+
+def test_external_tables_are_written(spark, world, tmp_path):
+    source, observed, _ = world
+    result = run_pipeline(source, observed, having(CONFIG, {"reconstruction.ensemble.members": 0, "reconstruction.evaluation.outer": True, "reconstruction.evaluation.rescreen": True, "output.show_external": True, "sensitivity": SensitivityConfig()}))
+    sinks.save(result, str(tmp_path / "out"))
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / "out" / name))
+    assert {(r.validation_mode, r.fold) for r in read("validation_folds").collect()} == {(m, str(k)) for m in (FULL, RESCREENED) for k in (1, 2)}
+    assert read("validation_by_mode").where(F.col("validation_mode") == FULL).count() == 2
+    assert {r.validation_mode for r in read("validation_summary").collect()} == {FULL, RESCREENED}

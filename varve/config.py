@@ -200,6 +200,7 @@ SETTINGS: tuple[tuple[str, str, Any, Rule], ...] = (
     ("reconstruction.evaluation.lowpass_periods", "reconstruction.evaluation_lowpass_periods", (10.0, 20.0), each(over(2))),
     ("reconstruction.evaluation.period_bands", "reconstruction.evaluation_period_bands", ((10.0, 30.0),), BANDS),
     ("reconstruction.evaluation.external_fraction", "reconstruction.external_validation_fraction", 1.0 / 3.0, MINOR_SHARE),
+    ("reconstruction.evaluation.outer_folds", "reconstruction.outer_folds", "edges", among("edges", "blocks")),
     ("reconstruction.evaluation.outer", "reconstruction.full_network_outer_validation", False, FLAG),
     ("reconstruction.evaluation.rescreen", "reconstruction.rescreen_outer_folds", False, FLAG),
     ("sensitivity.single", "sensitivity.single_proxy", False, FLAG),

@@ -125,12 +125,13 @@ def inside(years: np.ndarray, center: float, width: float) -> np.ndarray:
     return np.flatnonzero((years >= center - half) & (years < center + half))
 
 
-def assimilate(years: np.ndarray, core: np.ndarray, slow: list[tuple[str, np.ndarray, np.ndarray]], target_years: np.ndarray, target: np.ndarray, cfg) -> tuple[np.ndarray, list[dict]]:
+def assimilate(years: np.ndarray, core: np.ndarray, slow: list[tuple[str, np.ndarray, np.ndarray]], target_years: np.ndarray, target: np.ndarray, cfg, samples: list[dict] | None = None) -> tuple[np.ndarray, list[dict]]:
     """Let slow series (pid, times, values) correct the low-pass part of an annual state; its high-pass part is kept.
 
     Each series is mapped to the low-pass target by a line over its samples' windows; the windows' misfits,
     weighted by the line's residual variance, meet the size and the roughness of the increment. The
-    increment is smoothed, centred on the calibration years and bounded.
+    increment is smoothed, centred on the calibration years and bounded. Returns the state and an audit of
+    the series; ``samples`` takes a row for each sample that has a say.
     """
     n = len(years)
     grid, low = lowpass(years, core, cfg.lowpass_period, cfg.smoothness)
@@ -152,7 +153,7 @@ def assimilate(years: np.ndarray, core: np.ndarray, slow: list[tuple[str, np.nda
                 pairs.append((v, t_low[at].mean()))
         p = np.array(pairs).reshape(-1, 2)
         if not np.isfinite(resolution) or len(p) < cfg.minimum_overlap or p[:, 0].std() == 0:
-            audit.append({"pid": pid, "status": "excluded_no_calibration", "resolution": resolution})
+            audit.append({"pid": pid, "status": "excluded_no_calibration", "native_resolution": resolution})
             continue
         slope, intercept = np.polyfit(p[:, 0], p[:, 1], 1)
         variance = max(float((p[:, 1] - intercept - slope * p[:, 0]).var(ddof=2 if len(p) > 2 else 0)), 1e-6)
@@ -161,10 +162,17 @@ def assimilate(years: np.ndarray, core: np.ndarray, slow: list[tuple[str, np.nda
             at = inside(years, t, w)
             known = at[np.isfinite(core_low[at])]
             if len(known):
-                rows.append((at, cfg.constraint_weight / variance, intercept + slope * v - core_low[known].mean()))
+                mapped, before = intercept + slope * v, core_low[known].mean()
+                rows.append((at, cfg.constraint_weight / variance, mapped - before))
+                if samples is not None:
+                    half = max(float(w), 1.0) / 2
+                    own = {"pid": pid, "native_time": float(t), "proxy_value": float(v), "support_width_years": float(w), "support_start": t - half, "support_end": t + half, "annual_state_start": int(years[at[0]]), "annual_state_end": int(years[at[-1]]), "annual_state_count": len(at)}
+                    samples.append(own | {"mapped_lowpass_value": float(mapped), "core_lowpass_window_mean": float(before), "innovation": float(mapped - before), "constraint_weight": float(np.sqrt(cfg.constraint_weight / variance))})
                 width = max(width, int(at[-1] - at[0]) + 1)
                 used += 1
-        audit.append({"pid": pid, "status": "used", "resolution": resolution, "calibration_overlap": len(p), "constraints": used, "slope": float(slope), "intercept": float(intercept), "residual_variance": variance})
+        if used:
+            support = {f"{name}_support_years": float(f(spans)) for name, f in (("minimum", np.min), ("median", np.median), ("maximum", np.max))}
+            audit.append({"pid": pid, "status": "used", "native_resolution": resolution, **support, "calibration_overlap": len(p), "constraint_count": used, "psm_slope": float(slope), "psm_intercept": float(intercept), "psm_residual_variance": variance, "lowpass_period_years": cfg.lowpass_period, "increment_reference_scale": scale})
     if not rows:
         return core.copy(), audit
     d, right = np.zeros((min(width, n), n)), np.zeros(n)
@@ -184,15 +192,40 @@ def assimilate(years: np.ndarray, core: np.ndarray, slow: list[tuple[str, np.nda
     return high + core_low + step, audit
 
 
+def lowpass_sections(period: float, order: int) -> list[tuple[float, float, float, float, float]]:
+    """(b0, b1, b2, a1, a2) of a Butterworth low-pass as sections of second order, the last of first order if need be.
+
+    Poles lie on a circle whose radius is the cutoff warped for the bilinear transform; each section passes
+    a constant unchanged.
+    """
+    w = np.tan(np.pi / period)
+    out = []
+    for k in range(order // 2):
+        damping = 2 * np.sin(np.pi * (2 * k + 1) / (2 * order)) * w
+        a0 = 1 + damping + w * w
+        out.append((w * w / a0, 2 * w * w / a0, w * w / a0, 2 * (w * w - 1) / a0, (1 - damping + w * w) / a0))
+    if order % 2:
+        out.append((w / (1 + w), w / (1 + w), 0.0, (w - 1) / (1 + w), 0.0))
+    return out
+
+
+def through(sections: list[tuple[float, float, float, float, float]], x: np.ndarray) -> np.ndarray:
+    """x through the sections one after another, each begun as if the first value had always been there."""
+    for b0, b1, b2, a1, a2 in sections:
+        s1, s2 = (1 - b0) * x[0], (b2 - a2) * x[0]
+        y = np.empty(len(x))
+        for k, v in enumerate(x):
+            y[k] = u = b0 * v + s1
+            s1, s2 = b1 * v - a1 * u + s2, b2 * v - a2 * u
+        x = y
+    return x
+
+
 def butterworth(values: np.ndarray, period: float, order: int = 4) -> np.ndarray:
-    """Zero-phase low-pass in the frequency domain: the squared Butterworth response on the series continued by its mirror images."""
-    n = len(values)
-    if n < max(12, 3 * order):
+    """Zero-phase Butterworth low-pass: forward and backward over the series, continued by odd reflection at both ends."""
+    n, m = len(values), 3 * (order + 1)
+    if n < max(12, 3 * order) or n <= m:
         raise ValueError("too few values for the filter")
-    m = min(n - 1, 3 * (order + 1) * 2)
-    ends = 2 * values[0] - values[m:0:-1], 2 * values[-1] - values[-2 : -m - 2 : -1]
-    x = np.concatenate([ends[0], values, ends[1]])
-    f = np.tan(np.pi * np.fft.rfftfreq(len(x))[:-1] if len(x) % 2 == 0 else np.pi * np.fft.rfftfreq(len(x)))
-    gain = 1 / (1 + (f / np.tan(np.pi / period)) ** (2 * order))
-    gain = np.r_[gain, 0.0] if len(x) % 2 == 0 else gain
-    return np.fft.irfft(np.fft.rfft(x) * gain, len(x))[m : m + n]
+    x = np.concatenate([2 * values[0] - values[m:0:-1], values, 2 * values[-1] - values[-2 : -m - 2 : -1]])
+    sections = lowpass_sections(period, order)
+    return through(sections, through(sections, x)[::-1])[::-1][m : m + n]

@@ -127,13 +127,13 @@ def gap_audit(filled: DataFrame) -> DataFrame:
 
 
 def reference_zscore(annual: DataFrame, start: int, end: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(pid, year, value, reference_mean, reference_sd, reference_n): scaled over the reference period and allowed years.
+    """(pid, year, value, reference_mean, reference_sd, reference_n): scaled over the reference period and allowed years, which have a pid where series differ in them.
 
     A series with fewer than two reference values, or without variation there, has a NULL value.
     """
     reference = annual.where(F.col("year").between(start, end) & F.col("value").isNotNull())
     if allowed is not None:
-        reference = reference.join(allowed.select("year").distinct(), "year", "left_semi")
+        reference = reference.join(allowed, [c for c in ("pid", "year") if c in allowed.columns], "left_semi")
     facts = reference.groupBy("pid").agg(F.avg("value").alias("reference_mean"), F.stddev_samp("value").alias("reference_sd"), F.count("value").alias("reference_n"))
     rows = annual.join(facts, "pid", "left")
     scaled = F.when((F.col("reference_n") >= 2) & (F.col("reference_sd") > 0), (F.col("value") - F.col("reference_mean")) / F.col("reference_sd"))

@@ -53,6 +53,15 @@ def training_years(years: DataFrame, folds: DataFrame) -> DataFrame:
     return years.select("year").distinct().crossJoin(folds.select("fold").distinct()).join(folds.select("fold", "year"), ["fold", "year"], "left_anti")
 
 
+def outer_fold_table(years: DataFrame, folds: DataFrame) -> DataFrame:
+    """(fold, validation_start, validation_end, holdout_position, held_years, train_years) of folds (fold, year)."""
+    span = years.agg(F.min("year").alias("lo"), F.max("year").alias("hi"), F.count_distinct("year").alias("n"))
+    rows = folds.groupBy("fold").agg(F.min("year").alias("validation_start"), F.max("year").alias("validation_end"), F.count(F.lit(1)).alias("held_years"))
+    position = holdout_position(F.col("validation_start"), F.col("validation_end"), F.col("lo"), F.col("hi"))
+    # the span is one row
+    return rows.join(F.broadcast(span)).select("fold", "validation_start", "validation_end", position.alias("holdout_position"), "held_years", (F.col("n") - F.col("held_years")).alias("train_years"))
+
+
 def holdout_position(first: Column, last: Column, lo: Column, hi: Column) -> Column:
     return F.when(first == lo, "early").when(last == hi, "late").otherwise("middle")
 
@@ -95,6 +104,35 @@ def summarize_folds(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return folds.groupBy(*keys).agg(*parts)
 
 
+#: The skill columns that summaries of outer folds tell, and those they tell at the edges.
+FOLD_METRICS = ("r", "p_effective", "n_eff", "rmse", "re", "ce", "sd_ratio", "variance_ratio")
+EDGE_METRICS = ("r", "p_effective", "rmse", "re", "ce")
+
+
+def summarize_modes(folds: DataFrame, keys: Sequence[str] = ("validation_mode",)) -> DataFrame:
+    """One row a mode of outer folds: medians, means, extremes and 5 and 95 per cent quantiles of their skill.
+
+    Columns that begin with lowpass_ or spectral_ have a median and quantiles, those that begin with raw_
+    or core_ a median; the early and the late fold stand apart too. Folds without skill count as folds only.
+    """
+    agg = [F.count(F.lit(1)).alias("fold_count"), F.count("r").alias("completed_count")]
+    low, high = (lambda c, q=q: F.percentile(c, F.lit(q)) for q in (0.05, 0.95))
+    for c in folds.columns:
+        base = c.split("_", 1)[1] if c.startswith(("raw_", "core_")) else c
+        scaled = base.startswith(("lowpass_", "spectral_"))
+        if base not in FOLD_METRICS and not scaled:
+            continue
+        agg.append(F.median(c).alias(f"median_{c}"))
+        if base == c:
+            agg += [low(c).alias(f"q05_{c}"), high(c).alias(f"q95_{c}")]
+            if not scaled:
+                agg += [F.avg(c).alias(f"mean_{c}"), F.min(c).alias(f"minimum_{c}"), F.max(c).alias(f"maximum_{c}")]
+    agg += [F.median(F.when(F.col("holdout_position") == side, F.col(c))).alias(f"{side}_holdout_{c}") for side in ("early", "late") for c in EDGE_METRICS if c in folds.columns]
+    got = folds.groupBy(*keys).agg(*agg)
+    told = {"validation_role": "sensitivity_only", "assessment_metric": "correlation", "ce_re_role": "reported_not_used_for_external_judgment"}
+    return got.select(*keys, *[F.lit(v).alias(k) for k, v in told.items()], *[c for c in got.columns if c not in keys])
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(n, r, rmse, bias, sd_ratio, largest) of two reconstructions on their common years."""
     x, y = F.col("x"), F.col("y")

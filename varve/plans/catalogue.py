@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FilterConfig, NestConfig, ScreeningConfig, WeightConfig
+from ..config import FilterConfig, NestConfig, PCAConfig, ReconstructionConfig, ScreeningConfig, WeightConfig, having
 from ..functions import stats
 from ..operators import amplitude, dedup, filters, nests, screening, temporal, validation, weights
 from ..sources import series, supplied
@@ -386,9 +386,15 @@ def effective_dof_screen(spark, d):
     return got.select("pid", "n", r6("r").alias("r"), r6("n_eff").alias("n_eff"), r6("t").alias("t"), "adjacent")
 
 
-@query()
+TAIL = """, q AS (SELECT pid, n, r, greatest(n_eff - 2, 1) AS nu, r * r * greatest(n_eff - 2, 0) / greatest(1 - r * r, 2.220446049250313e-16) AS tt FROM e),
+g AS (SELECT *, asin(sqrt(nu / (nu + tt))) AS top FROM q),
+p AS (SELECT pid, any_value(n) AS n, any_value(r) AS r, any_value(2 * exp(lgamma(nu / 2 + 0.5) - lgamma(nu / 2) - lgamma(0.5)) * top / 6000) * sum(CASE WHEN k % 2000 = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(sin(top * k / 2000), nu - 1)) AS p FROM g, range(0, 2001) s(k) GROUP BY pid)
+"""
+
+
+@query(LAG + TAIL + "SELECT pid, n, round(r, 6) AS r, round(p, 6) AS p FROM p", "pairs")
 def effective_dof_p(spark, d):
-    """The same with p values; they are tested against tables of Student's distribution."""
+    """The same with p values; the SQL integrates Student's tail by Simpson's rule over an angle."""
     return screening.effective_correlation(pairs_of(spark, d)).select("pid", "n", r6("r").alias("r"), r6("p").alias("p"))
 
 
@@ -440,11 +446,20 @@ def best_season(spark, d):
     return screening.best_season(tests, cfg, names).select("pid", place.alias("season"), "n", r6("r").alias("r"))
 
 
-@query()
+SCREENED = """, s AS (SELECT p.pid, archive, p.n, p.r, n_eff, p.r * sqrt(greatest(n_eff - 2, 0) / greatest(1 - p.r * p.r, 2.220446049250313e-16)) AS t, adjacent, p, resolution FROM p JOIN e USING (pid) JOIN places USING (pid) JOIN res USING (pid)),
+k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, pid) AS i FROM s),
+b AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS p_proxy, n >= 20 AND abs(r) >= 0.05 AND p <= 1 AS passes FROM k),
+c AS (SELECT *, CASE WHEN passes AND archive = 'Wood' THEN row_number() OVER (PARTITION BY archive, passes ORDER BY p_proxy, abs(r) DESC, n_eff DESC, pid) END AS archive_rank FROM b)
+SELECT pid, archive, '1,2,3,4,5,6,7,8,9,10,11,12' AS season, 'annual' AS pairing, CAST(1 AS INTEGER) AS step, n, round(r, 6) AS r, round(n_eff, 6) AS n_eff, round(t, 6) AS t, adjacent, round(p, 6) AS p, resolution, CAST(20 AS INTEGER) AS required, round(p, 6) AS p_adjusted, CAST(1 AS BIGINT) AS seasons_tested, passes, round(p_proxy, 6) AS p_proxy,
+passes AND coalesce(archive_rank <= 3, true) AS selected, CAST(archive_rank AS INTEGER) AS archive_rank, coalesce(archive_rank > 3, false) AS excluded_by_cap, passes AS selected_before_cap FROM c"""
+
+
+@query(LAG + TAIL + SCREENED, "pairs", "places", "res")
 def screening_table(spark, d):
     """The whole screening of brands by week against all sales."""
     cfg = ScreeningConfig(p_threshold=1.0, r_threshold=0.05, archive_max_counts=(("Wood", 3),))
-    return screening.screen(supplied.weekly(spark, d), supplied.records(spark, d), supplied.weekly_target(spark, d), cfg)
+    got = screening.screen(supplied.weekly(spark, d), supplied.records(spark, d), supplied.weekly_target(spark, d), cfg)
+    return got.withColumns({c: r6(c) for c in ("r", "n_eff", "t", "p", "p_adjusted", "p_proxy")}).drop("proxy", "lat", "lon")
 
 
 # pairs and weights
@@ -610,6 +625,57 @@ def edge_folds(spark, d):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("years"), F.min("year").alias("first"), F.max("year").alias("last"))
 
 
+#: Held-out years of both kinds of outer folds, and how they lie among all years.
+OUTER = """WITH y AS (SELECT year, row_number() OVER (ORDER BY year) AS i, count(*) OVER () AS n FROM target), b AS (SELECT year, i - 1 AS i, n, least(34, greatest(2, (n + 2) // 3)) AS w FROM y),
+h AS (SELECT 'blocks' AS kind, CAST(CASE WHEN n % w = 1 AND n > w AND i // w = (n - 1) // w THEN i // w ELSE i // w + 1 END AS INTEGER) AS fold, year FROM b
+UNION ALL SELECT 'edges', 1, year FROM y WHERE i <= ceil(n / 3.0) UNION ALL SELECT 'edges', 2, year FROM y WHERE i > n - ceil(n / 3.0)),
+o AS (SELECT kind, fold, min(year) AS validation_start, max(year) AS validation_end, CASE WHEN min(year) = (SELECT min(year) FROM y) THEN 'early' WHEN max(year) = (SELECT max(year) FROM y) THEN 'late' ELSE 'middle' END AS holdout_position, count(*) AS held_years, (SELECT count(*) FROM y) - count(*) AS train_years FROM h GROUP BY ALL)
+"""
+
+
+def _outer_folds(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    from .outer import outer_folds
+
+    years = supplied.weekly_target(spark, d).select("year")
+    return {kind: outer_folds(years, PCAConfig(), having(ReconstructionConfig(), {"evaluation.outer_folds": kind})) for kind in ("blocks", "edges")}
+
+
+@query(OUTER + "SELECT * FROM o", "target")
+def outer_fold_facts(spark, d):
+    """Both kinds of outer folds: what they hold out, where it lies, and what is left to learn from."""
+    years = supplied.weekly_target(spark, d).select("year")
+    blocks, edges = (validation.outer_fold_table(years, folds).select(F.lit(kind).alias("kind"), "*") for kind, folds in _outer_folds(spark, d).items())
+    return blocks.unionByName(edges)
+
+
+OUTER_SKILL = """, t AS (SELECT kind, fold, pid, regr_slope(p.y, p.x) AS slope, regr_intercept(p.y, p.x) AS intercept, avg(p.y) AS train_mean FROM o, pairs p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.kind = o.kind AND h.fold = o.fold AND h.year = p.year) GROUP BY ALL),
+m AS (SELECT h.kind, h.fold, p.pid, p.y, intercept + slope * p.x AS value, train_mean FROM h JOIN pairs p ON p.year = h.year JOIN t ON t.kind = h.kind AND t.fold = h.fold AND t.pid = p.pid),
+f AS (SELECT kind, fold, pid, corr(y, value) AS r, sqrt(avg((y - value) ** 2)) AS rmse, 1 - sum((y - value) ** 2) / sum((y - train_mean) ** 2) AS re, 1 - sum((y - value) ** 2) / (var_samp(y) * (count(*) - 1)) AS ce FROM m GROUP BY ALL)
+SELECT kind AS validation_mode, pid, count(*) AS fold_count, round(median(r), 6) AS median_r, round(avg(r), 6) AS mean_r, round(min(r), 6) AS minimum_r, round(max(r), 6) AS maximum_r, round(quantile_cont(r, 0.05), 6) AS q05_r, round(quantile_cont(r, 0.95), 6) AS q95_r,
+round(median(rmse), 6) AS median_rmse, round(median(re), 6) AS median_re, round(median(ce), 6) AS median_ce, round(median(ce) FILTER (holdout_position = 'early'), 6) AS early_holdout_ce, round(median(r) FILTER (holdout_position = 'late'), 6) AS late_holdout_r FROM f JOIN o USING (kind, fold) GROUP BY ALL"""
+
+
+@query(OUTER + OUTER_SKILL, "pairs", "target")
+def outer_mode_summary(spark, d):
+    """Each brand's line judged on outer folds of both kinds; what a fold may learn from is the sums of all years less its own."""
+    pairs = pairs_of(spark, d)
+    one = [F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(e)).alias(name) for name, e in (("x", "x"), ("y", "y"), ("xx", "x * x"), ("xy", "x * y"))]]
+    whole = pairs.groupBy("pid").agg(*one)
+    folds = None
+    for kind, held in _outer_folds(spark, d).items():
+        rows = held.join(pairs, "year")
+        own = rows.groupBy("pid", "fold").agg(*[c.alias(f"own_{k}") for c, k in zip(one, ("n", "x", "y", "xx", "xy"), strict=True)])
+        left = {k: F.col(k) - F.col(f"own_{k}") for k in ("n", "x", "y", "xx", "xy")}
+        lines = own.join(whole, "pid").select("pid", "fold", *[c.alias(f"t_{k}") for k, c in left.items()])
+        lines = lines.withColumn("slope", F.expr("(t_n * t_xy - t_x * t_y) / nullif(t_n * t_xx - t_x * t_x, 0)")).withColumns({"intercept": F.expr("(t_y - slope * t_x) / t_n"), "calibration_mean": F.expr("t_y / t_n")})
+        told = rows.join(lines, ["pid", "fold"]).select("pid", "fold", F.col("y").alias("observed"), F.expr("intercept + slope * x").alias("predicted"), "calibration_mean")
+        facts = validation.outer_fold_table(supplied.weekly_target(spark, d).select("year"), held)
+        part = validation.skill(told, ["pid", "fold"]).join(facts, "fold").select(F.lit(kind).alias("validation_mode"), "pid", "fold", "holdout_position", "r", "rmse", "re", "ce")
+        folds = part if folds is None else folds.unionByName(part)
+    got = validation.summarize_modes(folds, ["validation_mode", "pid"])
+    return got.select("validation_mode", "pid", "fold_count", *[r6(c).alias(c) for c in ("median_r", "mean_r", "minimum_r", "maximum_r", "q05_r", "q95_r", "median_rmse", "median_re", "median_ce", "early_holdout_ce", "late_holdout_r")])
+
+
 @query("""SELECT pid AS nest_id, count(*) AS n, round(sqrt(avg((y - x) * (y - x))), 6) AS rmse, round(avg(abs(y - x)), 6) AS mae, round(avg(x - y), 6) AS bias, round(stddev_samp(y), 6) AS observed_sd, round(stddev_samp(x), 6) AS predicted_sd,
 round(1 - sum((y - x) ** 2) / (var_samp(y) * (count(*) - 1)), 6) AS ce, round(corr(x, y), 6) AS r FROM pairs GROUP BY pid""", "pairs")
 def skill_metrics(spark, d):

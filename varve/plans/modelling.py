@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, SensitivityConfig, having
+from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, having
 from ..kernels import skill, smooth
 from ..operators import temporal
 from ..sources import supplied
@@ -61,6 +61,16 @@ def outer_fold_skill(spark, d):
     return rec.outer_validation(*_inputs(spark, d), PCAConfig(), having(DEMO, {"ensemble.members": 0}))
 
 
+@query()
+def external_validation_folds(spark, d):
+    """Contiguous outer blocks in both modes, one row a fold."""
+    from . import outer
+
+    cfg = having(DEMO, {"ensemble.members": 0, "evaluation.outer_folds": "blocks", "evaluation.block_years": 120})
+    scr = ScreeningConfig(p_threshold=1.0, r_threshold=0.05)
+    return outer.external_validation(*_inputs(spark, d), PCAConfig(), cfg, scr, (outer.FULL, outer.RESCREENED))
+
+
 @query()
 def deletion_sensitivity(spark, d):
     config = PipelineConfig(reconstruction=DEMO, sensitivity=SensitivityConfig(delete_repeats=2, split_periods=(((0, 200), (201, 340)),)))

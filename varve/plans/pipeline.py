@@ -13,7 +13,8 @@ from ..functions.storage import kept
 from ..kernels.smooth import butterworth
 from ..operators import dedup, filters, screening, temporal, validation
 from ..sources import series as sources
-from .reconstruct import Reconstruction, outer_validation, reconstruct, score_runs, sensitivities, target_years
+from .outer import FULL, RESCREENED, external_validation
+from .reconstruct import Reconstruction, reconstruct, score_runs, sensitivities, target_years
 
 
 @dataclass
@@ -28,7 +29,8 @@ class PipelineResult:
     screening: DataFrame
     reconstruction: Reconstruction
     observation_fit: DataFrame
-    validation: DataFrame | None = None
+    validation_folds: DataFrame | None = None
+    validation_summary: DataFrame | None = None
     sensitivity: DataFrame | None = None
     summary: dict = field(default_factory=dict)
 
@@ -79,10 +81,11 @@ def run_pipeline(source: DataFrame, observations: DataFrame, config: PipelineCon
     values = target_years(target)
     years = list(values)
     fit = score_runs(made.series, values, {"main": years}, {"main": years}, cfg)
-    outer = outer_validation(obs, records, selected, target, config.pca, cfg, config.screening, cfg.evaluation.rescreen) if cfg.evaluation.outer else None
+    modes = [FULL] * cfg.evaluation.outer + [RESCREENED] * cfg.evaluation.rescreen
+    folds = external_validation(obs, records, selected, target, config.pca, cfg, config.screening, modes) if modes else None
     sens = config.sensitivity
     more = sensitivities(obs, records, selected, target, config) if sens.single or sens.leave_one_out or sens.delete_repeats or sens.split_periods else None
-    return PipelineResult(config, facts, decisions, read.rejects, dropped, groups, target, table, made, fit, outer, more)
+    return PipelineResult(config, facts, decisions, read.rejects, dropped, groups, target, table, made, fit, folds, None if folds is None else validation.summarize_modes(folds), more)
 
 
 def primary_summary(result: PipelineResult) -> DataFrame:

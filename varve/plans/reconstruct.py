@@ -42,6 +42,9 @@ class Reconstruction:
     availability: DataFrame
     members: DataFrame
     annual: DataFrame
+    constraints: DataFrame
+    observations: DataFrame
+    slow_selection: DataFrame | None = None
 
 
 def selected_annual(obs: DataFrame, selected: DataFrame, scr: ScreeningConfig) -> DataFrame:
@@ -137,7 +140,7 @@ def fit_nests(runs: DataFrame, matrix: DataFrame, obs: DataFrame, records: DataF
         chosen = next((r for r in reversed(got.get("selection", [])) if r["selected"]), {})
         audit |= {k: chosen.get(k) for k in ("median_ce", "median_re", "median_r", "median_sd_ratio")}
         rows = [base | {"kind": "nest", "payload": json.dumps(_clean(audit))}]
-        rows += [base | {"kind": kind, "payload": json.dumps(_clean(r))} for kind, many in (("selection", got.get("selection", [])), ("layer", got["layers"]), ("slow", got.get("slow", []))) for r in many]
+        rows += [base | {"kind": kind, "payload": json.dumps(_clean(r))} for kind, many in (("selection", got.get("selection", [])), ("layer", got["layers"]), ("slow", got.get("slow", [])), ("slow_sample", got.get("slow_sample", []))) for r in many]
         rows += [base | {"kind": "weight", "payload": json.dumps({"pid": p, "weight": w})} for p, w in got.get("weights", {}).items()]
         if got["accepted"]:
             for k in np.flatnonzero(np.isfinite(got["point"])):
@@ -193,6 +196,10 @@ NEST_FACTS = "accepted boolean, reason string, span_years int, pids string, core
 SELECTION = "stage string, selected boolean, regression string, n_components int, alpha double, amplitude string, folds int, median_ce double, median_re double, minimum_ce double, minimum_re double, median_r double, median_rmse double, median_sd_ratio double, robust_skill double, passes boolean, objective double"
 LAYERS = "resolution_years int, pids string, windows int, calibration_windows int, accepted boolean, reason string, n_components int, median_ce double, median_re double"
 
+#: The columns of the audits of slow series and of their samples.
+CONSTRAINTS = "pid string, status string, native_resolution double, minimum_support_years double, median_support_years double, maximum_support_years double, calibration_overlap int, constraint_count int, psm_intercept double, psm_slope double, psm_residual_variance double, lowpass_period_years double, increment_reference_scale double"
+OBSERVATIONS = "pid string, native_time double, support_width_years double, support_start double, support_end double, annual_state_start int, annual_state_end int, annual_state_count int, proxy_value double, mapped_lowpass_value double, core_lowpass_window_mean double, innovation double, constraint_weight double"
+
 
 def run_nests(annual: DataFrame, records: DataFrame, cfg: ReconstructionConfig, networks: DataFrame | None = None) -> DataFrame:
     """(run, nest_id, start, end, pids) of the coverage nests, of each network (run, pid) if given. One network in all for the native_missing method."""
@@ -218,15 +225,25 @@ def target_years(target: DataFrame) -> dict[int, float]:
     return {r["year"]: r["y"] for r in target.where("y is not null").collect()}
 
 
-def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target: DataFrame, pca: PCAConfig = PCAConfig(), cfg: ReconstructionConfig = ReconstructionConfig(), scr: ScreeningConfig = ScreeningConfig(), networks: DataFrame | None = None, train: dict[str, Sequence[int]] | None = None) -> Reconstruction:
-    """Reconstruct the target. records: pid, archive, proxy, lat, lon, metadata, resolution; selected: pid, season."""
+def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target: DataFrame, pca: PCAConfig = PCAConfig(), cfg: ReconstructionConfig = ReconstructionConfig(), scr: ScreeningConfig = ScreeningConfig(), networks: DataFrame | None = None, train: dict[str, Sequence[int]] | None = None, scale_years: DataFrame | None = None) -> Reconstruction:
+    """Reconstruct the target. records: pid, archive, proxy, lat, lon, metadata, resolution; selected: pid, season.
+
+    ``train`` has the years that each run may learn from, ``scale_years`` (pid, year) those that a series may be scaled by.
+    """
+    grid = None
     if cfg.multiresolution.enabled and cfg.multiresolution.auto_tune:
-        cfg, _ = tune_slow_layer(obs, records, selected, target, pca, cfg, scr)
+        cfg, grid = tune_slow_layer(obs, records, selected, target, pca, cfg, scr)
+        chosen = F.col("weight").eqNullSafe(cfg.multiresolution.constraint_weight)
+        if cfg.multiresolution.constraint_weight > 0:
+            chosen = chosen & F.col("period").eqNullSafe(cfg.multiresolution.lowpass_period)
+        grid = grid.withColumn("selected", chosen)
     values = target_years(target)
     period = cfg.calibration_period
     years = sorted(t for t in values if period is None or period[0] <= t <= period[1])
     train = train or {}
-    learn = obs.sparkSession.createDataFrame([(y,) for y in years], "year int") if cfg.standardization_period else None
+    learn = scale_years
+    if learn is None and cfg.standardization_period:
+        learn = obs.sparkSession.createDataFrame([(y,) for y in years], "year int")
     obs = kept(obs.join(selected.select("pid"), "pid", "left_semi"))
     annual = kept(prepared_matrix(selected_annual(obs, selected, scr), records, cfg, learn))
     runs = kept(run_nests(annual.where("value is not null and is_native"), records, cfg, networks))
@@ -239,7 +256,14 @@ def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target:
     points = tagged.where("kind = 'point'")
     support = points.groupBy("run", "year").agg(F.count(F.lit(1)).alias("contributing_nests"), F.max("core_count").alias("maximum_core_count"))
     weights = payloads(tagged, "weight", "pid string, weight double")
-    return Reconstruction(series, payloads(tagged, "nest", NEST_FACTS), payloads(tagged, "selection", SELECTION), payloads(tagged, "layer", LAYERS), weights, support, points.select("run", "nest_id", "year", "runs", "core_count", "start", "end"), annual)
+    return Reconstruction(series, payloads(tagged, "nest", NEST_FACTS), payloads(tagged, "selection", SELECTION), payloads(tagged, "layer", LAYERS), weights, support, points.select("run", "nest_id", "year", "runs", "core_count", "start", "end"), annual, payloads(tagged, "slow", CONSTRAINTS), payloads(tagged, "slow_sample", OBSERVATIONS), grid)
+
+
+def score_names(cfg: ReconstructionConfig) -> list[str]:
+    """The metrics of ``score_runs``, in their order."""
+    none = np.array([])
+    one = skills.skill(none, none, none)
+    return [*one, *[f"raw_{k}" for k in one], *skills.multiscale(none, none, none, cfg.evaluation.lowpass_periods), *skills.spectral(none, none, none, cfg.evaluation.period_bands)]
 
 
 def score_runs(series: DataFrame, target: dict[int, float], held: dict[str, Sequence[int]], train: dict[str, Sequence[int]], cfg: ReconstructionConfig) -> DataFrame:

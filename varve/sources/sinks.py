@@ -56,16 +56,16 @@ def save(result, directory: str, inputs: dict[str, str] | None = None) -> dict:
     if out.save_metrics:
         tables |= {"observation_fit": result.observation_fit, "primary_summary": primary_summary(result), "nest_summary": made.nests.orderBy(F.col("median_ce").asc_nulls_first()), "model_selection": made.selection, "resolution_layers": made.layers, "series_weights": made.weights, "availability": made.availability, "sensitivity": result.sensitivity}
         filled = made.annual.groupBy("pid").agg(F.sum(F.col("is_native").cast("long")).alias("native_years"), F.sum(F.col("is_interpolated").cast("long")).alias("interpolated_years"))
-        tables |= {"interpolation_audit": filled}
+        tables |= {"interpolation_audit": filled, "low_frequency_constraints": made.constraints, "low_frequency_observations": made.observations, "multiresolution_selection": made.slow_selection}
         if out.show_external:
-            tables |= {"validation": result.validation}
+            tables |= {"validation_folds": result.validation_folds, "validation_summary": result.validation_summary}
     counts = {}
     for name, df in tables.items():
         if df is not None and not df.isEmpty():
             write_table(df, f"{directory}/{name}")
             counts[name] = df.count()
-    if result.validation is not None and out.show_external:
-        flat(result.validation).write.mode("overwrite").partitionBy("run").option("header", True).csv(f"{directory}/validation_by_run")
+    if result.validation_folds is not None and out.show_external:
+        flat(result.validation_folds).write.mode("overwrite").partitionBy("validation_mode").option("header", True).csv(f"{directory}/validation_by_mode")
     spark = made.series.sparkSession
     manifest = {"tables": counts, "inputs": {k: [r.asDict() for r in source_digest(spark, p).collect()] for k, p in (inputs or {}).items()}, "config": to_json(result.config)}
     spark.createDataFrame([(json.dumps(manifest, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/manifest")
