@@ -293,3 +293,64 @@ def test_student_tail_in_the_jvm(spark):
         assert got[t, n] == pytest.approx(want, abs=1e-6 if n not in closed and t == 1e-6 else 1e-9), (t, n)
     assert got[12.0, 57.2] == pytest.approx(float(stats.two_sided_p(np.array([12.0]), np.array([57.2]))[0]), rel=1e-8)
     assert got[None, 3.0] is None and got[1.0, None] is None and got[float("inf"), 2.0] is None and got[2.0, 0.2] == pytest.approx(closed[1.0](2.0))
+
+
+@pytest.mark.parametrize("radius", [30.0, 400.0, 2500.0, 9000.0, 19000.0])
+def test_cells_on_the_sphere_find_all_near_pairs(spark, radius):
+    """Against all pairs, at the date line, at both poles and in any convention of longitudes; few candidates are far."""
+    rng = np.random.default_rng(int(radius))
+    lat = np.degrees(np.arcsin(rng.uniform(-1, 1, 250)))
+    lon = rng.uniform(-180, 360, 250)
+    spots = [(90.0, 0.0), (90.0, 77.0), (-90.0, 10.0), (89.9, 190.0), (-89.95, -3.0), (0.0, 180.0), (0.0, -180.0), (0.1, 179.9), (0.05, -179.95), (60.0, 359.99), (60.0, 0.01), (None, 5.0), (3.0, None)]
+    near = [(float(a) + d, float(o) + e) for a, o in zip(lat[:40], lon[:40]) if abs(a) < 85 for d, e in ((0.1, 0.1), (2.0, -3.0))]
+    rows = [(f"p{k:03d}", a, o) for k, (a, o) in enumerate([*zip(lat.tolist(), lon.tolist()), *near, *spots])]
+    df = spark.createDataFrame(rows, "pid string, lat double, lon double")
+    a, b = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for side in "ab")
+    candidates = weights.cell_pairs(a, b, radius, F.col("pid_a") < F.col("pid_b")).select("pid_a", "pid_b", stats.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("km")).collect()
+    got = {(r.pid_a, r.pid_b) for r in candidates if r.km <= radius}
+    place = {p: (math.radians(y), math.radians(x)) for p, y, x in rows if y is not None and x is not None}
+
+    def km(p, q):
+        (y1, x1), (y2, x2) = place[p], place[q]
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+
+    want = {(p, q) for p in place for q in place if p < q and km(p, q) <= radius}
+    assert {(p, q) for p, q in want if abs(km(p, q) - radius) > 1e-6} <= got and all(km(*x) <= radius + 1e-6 for x in got)
+    assert len(candidates) == len({(r.pid_a, r.pid_b) for r in candidates})
+    everything = len(place) * (len(place) - 1) / 2
+    if radius <= 2500:  # some nine cells of the radius' size, more beside the poles
+        assert len(candidates) < everything * min(1.0, 0.02 + 12 * (radius / 20000) ** 2)
+
+
+def test_nests_of_each_run_stand_apart(spark):
+    one = [("a", 0, 100), ("b", 10, 90), ("c", 10, 100), ("d", 30, 80)]
+    rows = [("x", *r) for r in one] + [("y", *r) for r in one[:2]]
+    df = spark.createDataFrame(rows, "run string, pid string, start int, end int")
+    cfg = NestConfig(span=20, minimum_start=0)
+    told = lambda d, *keys: sorted((*[r[k] for k in keys], r.nest_id, r.start, r.end, "".join(r.pids)) for r in d.collect())
+    both = told(nests.coverage_nests(df, cfg, 5, 95, ["run"]), "run")
+    apart = [(run, *r) for run in "xy" for r in told(nests.coverage_nests(df.where(F.col("run") == run).drop("run"), cfg, 5, 95))]
+    assert both == apart and ("y", "nest_001", 10, 90, "ab") in both
+
+
+def test_availability_by_differences(spark):
+    filled = spark.createDataFrame([("a", 0, 1.0, True, False), ("a", 1, 2.0, False, True), ("a", 2, None, False, False), ("a", 3, None, False, False), ("b", 0, 1.0, True, False), ("b", 1, None, False, False), ("b", 2, 5.0, True, False), ("b", 3, None, False, False), ("z", 0, 1.0, True, False)], "pid string, year int, value double, is_native boolean, is_interpolated boolean")
+    member = spark.createDataFrame([("r", "a"), ("r", "b"), ("q", "b")], "run string, pid string")
+    model = spark.createDataFrame([("r", "a", 0.5), ("q", "b", 1.0)], "run string, pid string, weight double")
+    low = spark.createDataFrame([("r", "s")], "run string, pid string")
+    obs = spark.createDataFrame([("s", 2.0, 1.0), ("s", 3.0, 1.0), ("t", 0.0, 1.0), ("t", 3.0, 1.0)], "pid string, time double, value double")
+    got = {(r.run, r.year): tuple(r)[2:] for r in temporal.labelled_availability(filled, member, model, low, obs, 1).collect()}
+    assert got == {
+        ("r", 0): (2, 1, 1, 0, False, 0.5, 0, "annual_core"), ("r", 1): (1, 1, 0, 1, True, 0.5, 0, "annual_core"), ("r", 2): (1, 0, 0, 0, False, 0.0, 1, "low_frequency_only"), ("r", 3): (0, 0, 0, 0, False, 0.0, 1, "low_frequency_only"),
+        ("q", 0): (1, 1, 1, 0, False, 1.0, 0, "annual_core"), ("q", 1): (0, 0, 0, 0, False, 0.0, 0, "unconstrained"), ("q", 2): (1, 1, 1, 0, False, 1.0, 0, "annual_core"), ("q", 3): (0, 0, 0, 0, False, 0.0, 0, "unconstrained"),
+    }
+    assert {r.pid: (r.lo, r.hi) for r in temporal.covered_years(spark.createDataFrame([("s", 1.0, 0.0), ("s", 2.0, 0.0), ("u", 5.0, 0.0)], "pid string, time double, value double")).collect()} == {"s": (1, 2), "u": (5, 5)}
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(-60, 60)), max_size=14))
+def test_support_counts_by_differences(spark, samples):
+    df = spark.createDataFrame([(p, t / 2.0, 0.0) for p, t in sorted(set(samples))], "pid string, time double, value double")
+    got = {r.year: r.support for r in temporal.support_counts(df, -20, 20).collect()}
+    spans = [(r.pid, r.time - r.width / 2, r.time + r.width / 2) for r in temporal.support_widths(df).collect()]
+    assert got == {y: len({p for p, a, b in spans if a <= y < b}) for y in range(-20, 21)}

@@ -15,25 +15,35 @@ def envelopes(annual: DataFrame) -> DataFrame:
     return annual.where("value is not null").groupBy("pid").agg(F.min("year").alias("start"), F.max("year").alias("end"))
 
 
-def coverage_nests(bounds: DataFrame, cfg: NestConfig = NestConfig(), first: int | None = None, last: int | None = None) -> DataFrame:
-    """(nest_id, start, end, pids): for each set of series, the longest interval that exactly these cover.
+def coverage_nests(bounds: DataFrame, cfg: NestConfig = NestConfig(), first: int | None = None, last: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, nest_id, start, end, pids): for each set of series, the longest interval that exactly these cover.
 
     Candidate starts are the series' starts from ``minimum_start`` on and the latest before it; candidate
     ends are their ends; both are clipped to the requested period, while covering is judged by the
-    whole envelopes. The candidates are distinct years, few against any data, so they may be broadcast.
+    whole envelopes (which comes to the same within the period).
+
+    Series that have begun by a start are swept from the latest end back: the set that covers up to an end
+    grows there and nowhere else, so running sums of the series' hashes tell sets apart, and an end where
+    no such series ends would only be a shorter interval of a known set. Members are gathered for the
+    longest interval of each set alone. ``keys`` (such as a run) have nests of their own.
     """
+    keys = list(keys)
     start = F.greatest(F.col("start"), F.lit(first)) if first is not None else F.col("start")
     end = F.least(F.col("end"), F.lit(last)) if last is not None else F.col("end")
-    starts = bounds.select(start.alias("s"))
-    late = starts.where(F.col("s") >= cfg.minimum_start)
-    early = starts.where(F.col("s") < cfg.minimum_start).agg(F.max("s").alias("s")).where("s is not null")
-    grid = late.unionByName(early).distinct().crossJoin(bounds.select(end.alias("e")).distinct()).where(F.col("e") - F.col("s") >= cfg.span)
-    inside = bounds.join(grid, (bounds["start"] <= grid["s"]) & (bounds["end"] >= grid["e"]))
-    sets = inside.groupBy("s", "e").agg(F.array_sort(F.collect_set("pid")).alias("pids")).where(F.size("pids") >= cfg.minimum_members)
-    longest = F.row_number().over(Window.partitionBy("pids").orderBy(F.desc(F.col("e") - F.col("s")), "s", "e"))
-    rows = sets.withColumn("place", longest).where("place = 1")
-    number = F.row_number().over(Window.orderBy("s", "e", "pids"))
-    return rows.select(F.concat(F.lit("nest_"), F.lpad(number.cast("string"), 3, "0")).alias("nest_id"), F.col("s").alias("start"), F.col("e").alias("end"), "pids")
+    rows = bounds.select(*keys, "pid", start.alias("from"), end.alias("to"))
+    starts = rows.select(*keys, F.col("from").alias("s"))
+    early = starts.where(F.col("s") < cfg.minimum_start).groupBy(*keys).agg(F.max("s").alias("s")).where("s is not null")
+    starts = starts.where(F.col("s") >= cfg.minimum_start).unionByName(early).distinct()
+    begun = rows.join(starts, [*keys]) if keys else rows.crossJoin(starts)
+    begun = begun.where((F.col("from") <= F.col("s")) & (F.col("to") - F.col("s") >= cfg.span))
+    ends = begun.groupBy(*keys, "s", F.col("to").alias("e")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("pid").cast("decimal(38,0)")).alias("h"), F.sum(F.hash("pid").cast("long")).alias("g"))
+    back = Window.partitionBy(*keys, "s").orderBy(F.desc("e"))
+    sets = ends.select(*keys, "s", "e", *[F.sum(c).over(back).alias(c) for c in ("n", "h", "g")]).where(F.col("n") >= cfg.minimum_members)
+    longest = F.row_number().over(Window.partitionBy(*keys, "n", "h", "g").orderBy(F.desc(F.col("e") - F.col("s")), "s", "e"))
+    chosen = sets.withColumn("place", longest).where("place = 1").select(*keys, "s", "e")
+    found = begun.join(chosen, [*keys, "s"]).where(F.col("to") >= F.col("e")).groupBy(*keys, "s", "e").agg(F.array_sort(F.collect_set("pid")).alias("pids"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("s", "e", "pids"))
+    return found.select(*keys, F.concat(F.lit("nest_"), F.lpad(number.cast("string"), 3, "0")).alias("nest_id"), F.col("s").alias("start"), F.col("e").alias("end"), "pids")
 
 
 def nest_slices(nests: DataFrame, annual: DataFrame) -> DataFrame:

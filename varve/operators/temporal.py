@@ -169,15 +169,55 @@ def support_widths(obs: DataFrame, multiplier: float | None = 3.0) -> DataFrame:
     return rows.select("pid", "time", "value", width.alias("width"))
 
 
-def support_counts(obs: DataFrame, start: int, end: int, multiplier: float | None = 3.0) -> DataFrame:
-    """(year, support): how many series have a sample whose support covers the year; years come from the samples, no range join."""
+def covered_years(obs: DataFrame, multiplier: float | None = 3.0) -> DataFrame:
+    """(pid, lo, hi): the runs of years that samples' supports cover, those that touch or overlap joined."""
     wide = support_widths(obs, multiplier)
-    lo = F.greatest(F.ceil(F.col("time") - F.col("width") / 2), F.lit(start)).cast("int")
-    hi = F.least(F.ceil(F.col("time") + F.col("width") / 2) - 1, F.lit(end)).cast("int")
-    covered = wide.select("pid", lo.alias("lo"), hi.alias("hi")).where("lo <= hi").select("pid", F.explode(F.sequence("lo", "hi")).alias("year"))
+    rows = wide.select("pid", F.ceil(F.col("time") - F.col("width") / 2).cast("int").alias("lo"), (F.ceil(F.col("time") + F.col("width") / 2) - 1).cast("int").alias("hi")).where("lo <= hi")
+    order = Window.partitionBy("pid").orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce(F.col("lo") > reached + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy("pid", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("pid", "lo", "hi")
+
+
+def counts_by_difference(spans: DataFrame, years: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, year, support): how many spans (keys, lo, hi) hold a year of years (keys, year).
+
+    A span adds one where it begins and takes one off after its end; these are summed by year before they
+    are summed up over years, so that a span costs two rows however long it is.
+    """
+    steps = spans.select(*keys, F.explode(F.array(F.struct(F.col("lo").alias("year"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("year"), F.lit(-1).alias("d")))).alias("s")).select(*keys, "s.year", "s.d")
+    both = steps.unionByName(years.select(*keys, "year", F.lit(0).alias("d"))).groupBy(*keys, "year").agg(F.sum("d").alias("d"), F.max((F.col("d") == 0).cast("int")).alias("asked"))
+    up_to = Window.partitionBy(*keys).orderBy("year")
+    return both.withColumn("support", F.sum("d").over(up_to)).where("asked = 1").select(*keys, "year", F.col("support").cast("long").alias("support"))
+
+
+def support_counts(obs: DataFrame, start: int, end: int, multiplier: float | None = 3.0) -> DataFrame:
+    """(year, support): how many series have a sample whose support covers the year."""
     years = obs.sparkSession.range(start, end + 1).select(F.col("id").cast("int").alias("year"))
-    counts = covered.distinct().groupBy("year").agg(F.count(F.lit(1)).alias("support"))
-    return years.join(counts, "year", "left").select("year", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
+    return counts_by_difference(covered_years(obs, multiplier), years)
+
+
+def labelled_availability(filled: DataFrame, member: DataFrame, model: DataFrame, low: DataFrame, obs: DataFrame, least: int, multiplier: float | None = 3.0) -> DataFrame:
+    """Counts by run and year, and what supports the state there.
+
+    filled: pid, year, value, is_native, is_interpolated; member: the series of a run (run, pid); model: those
+    that its model uses, with weights (run, pid, weight); low: its slow series (run, pid), whose samples are
+    in obs. A year is ``annual_core`` where at least ``least`` series of the model have a value, else
+    ``low_frequency_only`` where a slow sample stands for it, else ``unconstrained``.
+    """
+    rows = filled.join(member, "pid").join(model.withColumn("used", F.lit(True)), ["run", "pid"], "left")
+    has = F.col("value").isNotNull()
+    used = has & F.coalesce("used", F.lit(False))
+    counts = rows.groupBy("run", "year").agg(
+        F.count_if(has).alias("available_proxy_count"), F.count_if(used).alias("model_proxy_count"), F.count_if(used & F.col("is_native")).alias("native_model_proxy_count"),
+        F.count_if(used & F.col("is_interpolated")).alias("interpolated_model_proxy_count"), F.coalesce(F.sum(F.when(used, F.col("weight"))), F.lit(0.0)).alias("effective_model_proxy_count"),
+    )
+    spans = covered_years(obs.join(low.select("pid").distinct(), "pid", "left_semi"), multiplier).join(low, "pid")
+    slow = counts_by_difference(spans, counts.select("run", "year"), ["run"]).withColumnRenamed("support", "low_resolution_support_count")
+    state = F.when(F.col("model_proxy_count") >= least, "annual_core").when(F.col("low_resolution_support_count") > 0, "low_frequency_only").otherwise("unconstrained")
+    got = counts.join(slow, ["run", "year"]).withColumns({"uses_interpolated_proxy": F.col("interpolated_model_proxy_count") > 0, "state_support": state})
+    return got.select("run", "year", "available_proxy_count", "model_proxy_count", "native_model_proxy_count", "interpolated_model_proxy_count", "uses_interpolated_proxy", "effective_model_proxy_count", "low_resolution_support_count", "state_support")
 
 
 def availability(filled: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import WeightConfig
@@ -26,27 +28,55 @@ def reliability(records: DataFrame, annual: DataFrame) -> DataFrame:
     return records.join(sd, "pid", "left").withColumn("error_weight", F.when(F.col("error_sd") > 0, F.coalesce(s2 / (s2 + e2), F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
+EARTH_KM = 6371.0088
+
+
+def sphere_cells(lat: Column, lon: Column, radius_km: float, around: bool = False) -> Column:
+    """Array of (band, cell) that a place lies in or, with ``around``, where all places within the radius lie.
+
+    Bands of latitude are as high as the radius. A band is cut along its longitudes into cells at least as
+    wide as two places within the radius can be apart there, so cells grow in number towards the equator,
+    meet across the date line, and a band that comes near a pole is one cell.
+    """
+    reach = min(math.pi, radius_km / EARTH_KM)
+    height = max(math.degrees(reach), 1e-6)
+    band = F.floor((lat + 90.0) / height).cast("long")
+
+    def cells(k: Column) -> Column:
+        most = F.radians(F.greatest(F.abs(k * height - 90.0), F.abs((k + 1) * height - 90.0)))
+        width = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / F.cos(most))))
+        # beside a pole, and where three cells would not differ, the band is whole
+        n = F.when(most + reach < math.pi / 2, F.floor(360.0 / width)).otherwise(F.lit(1)).cast("long")
+        n = F.when(n < 3, F.lit(1).cast("long")).otherwise(n)
+        own = F.least(F.floor(F.pmod(lon, F.lit(360.0)) / (360.0 / n)).cast("long"), n - 1)
+        at = F.array_distinct(F.array(F.pmod(own - 1, n), own, F.pmod(own + 1, n))) if around else F.array(own)
+        return F.transform(at, lambda c: F.struct(k.alias("band"), c.alias("cell")))
+
+    return F.flatten(F.transform(F.array(band - 1, band, band + 1) if around else F.array(band), cells))
+
+
+def cell_pairs(a: DataFrame, b: DataFrame, radius_km: float, kind: Column) -> DataFrame:
+    """Rows of a (lat_a, lon_a, ..) beside rows of b (lat_b, lon_b, ..) in cells around; all pairs within the radius are among them, once."""
+    x = a.where("lat_a is not null and lon_a is not null").withColumn("at", F.explode(sphere_cells(F.col("lat_a"), F.col("lon_a"), radius_km)))
+    y = b.where("lat_b is not null and lon_b is not null").withColumn("at", F.explode(sphere_cells(F.col("lat_b"), F.col("lon_b"), radius_km, around=True)))
+    return x.join(y, kind & (x["at"] == y["at"])).drop("at")
+
+
 def near_pairs(records: DataFrame, cfg: WeightConfig) -> DataFrame:
     """(a, b): pairs of series that are alike in kind and near, or of one site or source.
 
-    Sites and sources are met by equality; neighbours by cells of a grid as wide as the radius in
-    latitude, so that no series is compared with all others.
+    Sites and sources are met by equality; neighbours by cells on the sphere, so that no series is compared
+    with all others.
     """
     archive, proxy = (F.lower(F.trim(F.col(c))) if on else F.lit("") for c, on in (("archive", cfg.same_archive_only), ("proxy", cfg.same_proxy_only)))
     text = lambda k: F.nullif(F.lower(F.trim(F.element_at("metadata", F.lit(k)))), F.lit(""))
     rows = records.select("pid", "lat", "lon", archive.alias("archive"), proxy.alias("proxy"), text("geo_siteName").alias("site"), text("dataSetName").alias("source"))
-    one = lambda side: rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns])
-    kind = lambda x, y: (x["archive_a"] == y["archive_b"]) & (x["proxy_a"] == y["proxy_b"]) & (x["pid_a"] < y["pid_b"])
-    a, b = one("a"), one("b")
-    same = [a.join(b, kind(a, b) & (a[f"{c}_a"] == b[f"{c}_b"])) for c in ("site", "source")]
-    step = max(cfg.radius_km / 111.19492664455873, 1e-6)
-    cell = lambda c: F.floor(F.col(c) / step).cast("long")
-    x = a.where("lat_a is not null and lon_a is not null").withColumn("band", cell("lat_a"))
-    y = b.where("lat_b is not null and lon_b is not null").withColumn("band", F.explode(F.array(cell("lat_b") - 1, cell("lat_b"), cell("lat_b") + 1)))
-    near = x.join(y, kind(x, y) & (x["band"] == y["band"])).where(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= cfg.radius_km)
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+    kind = (F.col("archive_a") == F.col("archive_b")) & (F.col("proxy_a") == F.col("proxy_b")) & (F.col("pid_a") < F.col("pid_b"))
+    near = cell_pairs(a, b, cfg.radius_km, kind).where(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= cfg.radius_km)
     out = near.select(F.col("pid_a").alias("a"), F.col("pid_b").alias("b"))
-    for s in same:
-        out = out.unionByName(s.select(F.col("pid_a").alias("a"), F.col("pid_b").alias("b")))
+    for c in ("site", "source"):
+        out = out.unionByName(a.join(b, kind & (F.col(f"{c}_a") == F.col(f"{c}_b"))).select(F.col("pid_a").alias("a"), F.col("pid_b").alias("b")))
     return out.distinct()
 
 

@@ -279,6 +279,33 @@ def availability_labels(spark, d):
     return temporal.availability(temporal.fill_short_gaps(temporal.dense_matrix(thin_of(spark, d), 0, 300), 2))
 
 
+AVAILABILITY = f"""WITH a AS (SELECT 's' || l_suppkey AS pid, CAST({WEEK.replace("day)", "CAST(l_shipdate AS DATE))")} AS INTEGER) AS year, avg(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY 1, 2),
+g AS (SELECT p.pid, CAST(r.year AS INTEGER) AS year, value FROM (SELECT DISTINCT pid FROM a) p CROSS JOIN range(0, 301) r(year) LEFT JOIN a ON a.pid = p.pid AND a.year = r.year),
+b AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w0 AS y0, first_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w1 AS y1 FROM g
+WINDOW w0 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w1 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+f AS (SELECT pid, year, value IS NOT NULL AS is_native, coalesce(value IS NULL AND y1 - y0 - 1 <= 2, false) AS is_filled FROM b),
+m AS (SELECT 's' || s_suppkey AS pid, 1.0 / (1 + s_nationkey % 4) AS weight FROM supplier WHERE s_acctbal >= 0),
+o AS (SELECT DISTINCT 'c' || o_custkey AS pid, CAST({WEEK.replace("day)", "CAST(o_orderdate AS DATE))")} AS DOUBLE) AS time FROM orders),
+n AS (SELECT pid, time, time - lag(time) OVER w AS g0, lead(time) OVER w - time AS g1 FROM o WINDOW w AS (PARTITION BY pid ORDER BY time)), s AS (SELECT pid, median(g0) AS res FROM n GROUP BY pid),
+v AS (SELECT pid, time, least(greatest(CASE WHEN g0 IS NULL AND g1 IS NULL THEN 1 ELSE (coalesce(g0, g1) + coalesce(g1, g0)) / 2 END, 1), coalesce(greatest(1, 3 * res), 1e9)) AS width FROM n JOIN s USING (pid)),
+l AS (SELECT y.year, count(DISTINCT pid) AS low FROM range(0, 301) y(year) LEFT JOIN v ON y.year >= time - width / 2 AND y.year < time + width / 2 GROUP BY 1),
+c AS (SELECT year, count(*) FILTER (is_native OR is_filled) AS available, count(*) FILTER ((is_native OR is_filled) AND weight IS NOT NULL) AS model, count(*) FILTER (is_native AND weight IS NOT NULL) AS native, count(*) FILTER (is_filled AND weight IS NOT NULL) AS filled, coalesce(sum(weight) FILTER (is_native OR is_filled), 0) AS effective FROM f LEFT JOIN m USING (pid) GROUP BY year)
+SELECT 'main' AS run, c.year, available AS available_proxy_count, model AS model_proxy_count, native AS native_model_proxy_count, filled AS interpolated_model_proxy_count, filled > 0 AS uses_interpolated_proxy, round(effective, 6) AS effective_model_proxy_count, low AS low_resolution_support_count, CASE WHEN model >= 15 THEN 'annual_core' WHEN low > 0 THEN 'low_frequency_only' ELSE 'unconstrained' END AS state_support FROM c JOIN l USING (year)"""
+
+
+@query(AVAILABILITY)
+def availability_audit(spark, d):
+    """Suppliers' weeks as the annual core, gaps as they are; a model of some of them with weights; customers' orders as slow series."""
+    week = lambda c: F.floor(F.datediff(F.to_date(c), F.lit(supplied.ORIGIN).cast("date")) / 7.0)
+    core = supplied.table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("pid"), week("l_shipdate").cast("int").alias("year")).agg(F.avg("l_quantity").alias("value"))
+    filled = temporal.fill_short_gaps(temporal.dense_matrix(core, 0, 300), 2)
+    model = supplied.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.lit("main").alias("run"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("pid"), (1.0 / (1 + F.col("s_nationkey") % 4)).alias("weight"))
+    orders = supplied.table(spark, d, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("pid"), week("o_orderdate").cast("double").alias("time")).agg(F.avg("o_totalprice").alias("value"))
+    named = lambda df: df.select(F.lit("main").alias("run"), "pid").distinct()
+    got = temporal.labelled_availability(filled, named(core), model, named(orders), orders, 15)
+    return got.withColumn("effective_model_proxy_count", r6("effective_model_proxy_count"))
+
+
 @query("""WITH f AS (SELECT pid, avg(value) AS m, stddev_samp(value) AS s, count(*) AS n FROM annual WHERE year BETWEEN 50 AND 150 AND year % 3 <> 0 GROUP BY pid)
 SELECT a.pid, a.year, round(CASE WHEN n >= 2 AND s > 0 THEN (value - m) / s END, 6) AS value, round(m, 6) AS reference_mean, round(s, 6) AS reference_sd, n AS reference_n FROM annual a LEFT JOIN f USING (pid)""", "annual")
 def period_zscore(spark, d):

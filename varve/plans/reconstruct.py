@@ -213,11 +213,7 @@ def run_nests(annual: DataFrame, records: DataFrame, cfg: ReconstructionConfig,
         rows = networks.join(bounds, "pid").groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("pid")).alias("pids"))
         clip = rows.withColumns({"start": F.greatest("start", F.lit(first)) if first is not None else F.col("start"), "end": F.least("end", F.lit(last)) if last is not None else F.col("end")})
         return clip.select("run", F.lit("all").alias("nest_id"), "start", "end", "pids")
-    out = None
-    for (run,) in networks.select("run").distinct().collect():
-        own = nest_ops.coverage_nests(bounds.join(networks.where(F.col("run") == run).select("pid"), "pid", "left_semi"), cfg.nest, first, last).select(F.lit(run).alias("run"), "nest_id", "start", "end", "pids")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return nest_ops.coverage_nests(networks.join(bounds, "pid"), cfg.nest, first, last, ["run"])
 
 
 def target_years(target: DataFrame) -> dict[int, float]:
@@ -254,9 +250,15 @@ def reconstruct(obs: DataFrame, records: DataFrame, selected: DataFrame, target:
         best = temporal.longest_run(series.select("run", "year", F.col("point").alias("value")), ["run"])
         series = series.join(best.drop("years"), "run").where(F.col("year").between(F.col("start"), F.col("end"))).drop("start", "end")
     points = tagged.where("kind = 'point'")
+    weights, constraints = payloads(tagged, "weight", "pid string, weight double"), payloads(tagged, "slow", CONSTRAINTS)
+    nests = payloads(tagged, "nest", NEST_FACTS)
     support = points.groupBy("run", "year").agg(F.count(F.lit(1)).alias("contributing_nests"), F.max("core_count").alias("maximum_core_count"))
-    weights = payloads(tagged, "weight", "pid string, weight double")
-    return Reconstruction(series, payloads(tagged, "nest", NEST_FACTS), payloads(tagged, "selection", SELECTION), payloads(tagged, "layer", LAYERS), weights, support, points.select("run", "nest_id", "year", "runs", "core_count", "start", "end"), annual, payloads(tagged, "slow", CONSTRAINTS), payloads(tagged, "slow_sample", OBSERVATIONS), grid)
+    member = runs.select("run", F.explode("pids").alias("pid")).distinct()
+    model = weights.groupBy("run", "pid").agg(F.avg("weight").alias("weight"))
+    low = constraints.where("status = 'used'").select("run", "pid").distinct()
+    labels = temporal.labelled_availability(annual, member, model, low, obs, pca.min_series_per_year, cfg.multiresolution.support_multiplier)
+    support = labels.join(support, ["run", "year"], "left").na.fill(0, ["contributing_nests", "maximum_core_count"])
+    return Reconstruction(series, nests, payloads(tagged, "selection", SELECTION), payloads(tagged, "layer", LAYERS), weights, support, points.select("run", "nest_id", "year", "runs", "core_count", "start", "end"), annual, constraints, payloads(tagged, "slow_sample", OBSERVATIONS), grid)
 
 
 def score_names(cfg: ReconstructionConfig) -> list[str]:
