@@ -473,15 +473,26 @@ def best_season(spark, d):
     return screening.best_season(tests, cfg, names).select("pid", place.alias("season"), "n", r6("r").alias("r"))
 
 
-SCREENED = """, s AS (SELECT p.pid, archive, p.n, p.r, n_eff, p.r * sqrt(greatest(n_eff - 2, 0) / greatest(1 - p.r * p.r, 2.220446049250313e-16)) AS t, adjacent, p, resolution FROM p JOIN e USING (pid) JOIN places USING (pid) JOIN res USING (pid)),
+#: Pairs by year, and by whole windows for series that are coarser than the cutoff.
+PAIRED = """WITH bd AS (SELECT min(year) AS lo, max(year) AS hi FROM target),
+wd AS (SELECT pid, resolution, CAST(CASE WHEN resolution > 1.5 THEN CASE WHEN resolution <= 2 THEN 2 WHEN resolution <= 3 THEN 3 WHEN resolution <= 5 THEN 5 WHEN resolution <= 10 THEN 10 ELSE ceil(resolution) END ELSE 1 END AS INTEGER) AS step FROM res),
+tw AS (SELECT step, id, avg(y) AS y FROM (SELECT step, hi, y, CAST(lo + floor((year - lo) / step) * step AS INTEGER) AS id FROM target, bd, (SELECT DISTINCT step FROM wd WHERE step > 1)) GROUP BY step, id HAVING count(*) = step AND id + step - 1 <= max(hi)),
+xw AS (SELECT pid, step, CAST(lo + floor((time + 0.5 - lo) / step) * step AS INTEGER) AS id, avg(value) AS x FROM weekly JOIN wd USING (pid), bd WHERE step > 1 AND time >= lo AND time < hi + 0.5 GROUP BY ALL),
+pp AS (SELECT p.pid, step, year, x, y FROM pairs p JOIN wd USING (pid) WHERE step = 1 UNION ALL SELECT pid, xw.step, xw.id, x, y FROM xw JOIN tw ON xw.step = tw.step AND xw.id = tw.id),
+l AS (SELECT *, lead(year) OVER w AS y2, lead(x) OVER w AS x2, lead(y) OVER w AS t2 FROM pp WINDOW w AS (PARTITION BY pid ORDER BY year)),
+c AS (SELECT pid, any_value(step) AS step, count(*) AS n, corr(x, y) AS r, corr(x, x2) FILTER (y2 - year = step) AS ra, corr(y, t2) FILTER (y2 - year = step) AS rb, count(*) FILTER (y2 - year = step) AS adjacent FROM l GROUP BY pid),
+a AS (SELECT pid, step, n, r, adjacent, CASE WHEN adjacent >= 2 THEN coalesce(greatest(-0.99, least(0.99, ra)) * greatest(-0.99, least(0.99, rb)), 0) ELSE 0 END AS ab FROM c),
+e AS (SELECT *, greatest(3.0, least(n, n * (1 - ab) / (1 + ab))) AS n_eff FROM a)
+"""
+SCREENED = """, s AS (SELECT p.pid, archive, p.n, p.r, n_eff, p.r * sqrt(greatest(n_eff - 2, 0) / greatest(1 - p.r * p.r, 2.220446049250313e-16)) AS t, adjacent, p, e.step, resolution, CASE WHEN resolution >= 1.5 THEN 8 ELSE 20 END AS required FROM p JOIN e USING (pid) JOIN places USING (pid) JOIN res USING (pid)),
 k AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, pid) AS i FROM s),
-b AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS p_proxy, n >= 20 AND abs(r) >= 0.05 AND p <= 1 AS passes FROM k),
-c AS (SELECT *, CASE WHEN passes AND archive = 'Wood' THEN row_number() OVER (PARTITION BY archive, passes ORDER BY p_proxy, abs(r) DESC, n_eff DESC, pid) END AS archive_rank FROM b)
-SELECT pid, archive, '1,2,3,4,5,6,7,8,9,10,11,12' AS season, 'annual' AS pairing, CAST(1 AS INTEGER) AS step, n, round(r, 6) AS r, round(n_eff, 6) AS n_eff, round(t, 6) AS t, adjacent, round(p, 6) AS p, resolution, CAST(20 AS INTEGER) AS required, round(p, 6) AS p_adjusted, CAST(1 AS BIGINT) AS seasons_tested, passes, round(p_proxy, 6) AS p_proxy,
-passes AND coalesce(archive_rank <= 3, true) AS selected, CAST(archive_rank AS INTEGER) AS archive_rank, coalesce(archive_rank > 3, false) AS excluded_by_cap, passes AS selected_before_cap FROM c"""
+b AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS p_proxy, n >= required AND abs(r) >= 0.05 AND p <= 1 AS passes FROM k),
+o AS (SELECT *, CASE WHEN passes AND archive = 'Wood' THEN row_number() OVER (PARTITION BY archive, passes ORDER BY p_proxy, abs(r) DESC, n_eff DESC, pid) END AS archive_rank FROM b)
+SELECT pid, archive, '1,2,3,4,5,6,7,8,9,10,11,12' AS season, CASE WHEN step > 1 THEN 'native_window' ELSE 'annual' END AS pairing, step, n, round(r, 6) AS r, round(n_eff, 6) AS n_eff, round(t, 6) AS t, adjacent, round(p, 6) AS p, resolution, CAST(required AS INTEGER) AS required, round(p, 6) AS p_adjusted, CAST(1 AS BIGINT) AS seasons_tested, passes, round(p_proxy, 6) AS p_proxy,
+passes AND coalesce(archive_rank <= 3, true) AS selected, CAST(archive_rank AS INTEGER) AS archive_rank, coalesce(archive_rank > 3, false) AS excluded_by_cap, passes AS selected_before_cap FROM o"""
 
 
-@query(LAG + TAIL + SCREENED, "pairs", "places", "res")
+@query(PAIRED + TAIL + SCREENED, "weekly", "pairs", "places", "res")
 def screening_table(spark, d):
     """The whole screening of brands by week against all sales."""
     cfg = ScreeningConfig(p_threshold=1.0, r_threshold=0.05, archive_max_counts=(("Wood", 3),))
