@@ -122,6 +122,27 @@ def test_amplitude_maps():
     assert dynamic.apply(p, a).mean() == pytest.approx(o.mean())
 
 
+def test_dynamic_slopes_by_their_formula():
+    """Against sorted places dealt by hand: 60 distinct availabilities make three bins of twenty."""
+    rng = np.random.default_rng(8)
+    a, x = rng.permutation(60).astype(float), rng.normal(size=60)
+    y = x * (1 + a / 20) + rng.normal(size=60)
+    cfg = AmplitudeConfig(method="dynamic_variance", max_bins=3, bin_years=20, shrinkage_years=10)
+    got = model.fit_amplitude(y, x, cfg, a, a)
+    common = y.std(ddof=1) / x.std(ddof=1)
+    order = np.argsort(a)
+    for k, (knot, slope) in enumerate(zip(got.knots, got.slopes)):
+        own = order[20 * k : 20 * k + 20]
+        ratio = y[own].std(ddof=1) / x[own].std(ddof=1)
+        assert knot == np.median(a[own]) and slope == pytest.approx(common ** (1 / 3) * ratio ** (2 / 3))
+    assert len(got.knots) == 3
+    # unknown availability has the typical slope; ties make one bin and so the plain map
+    a[:5] = np.nan
+    assert np.isfinite(model.fit_amplitude(y, x, cfg, a, a).apply(x, a)).all()
+    tied = model.fit_amplitude(y, x, cfg, np.ones(60), np.ones(60))
+    assert tied.method == "variance" and tied.slope == pytest.approx(common)
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.integers(3, 40), st.integers(0, 10**6))
 def test_banded_solver_is_numpys(n, seed):
