@@ -19,6 +19,8 @@ from ..sources import series, supplied
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+#: The last week (as a year) of windows that hold all of the supplied sales, which end in week 357.
+WEEKS = 359
 WEEK = "floor(date_diff('day', DATE '1995-01-01', day) / 7.0)"
 #: Views that the SQL of several queries begins with.
 VIEWS = {
@@ -31,7 +33,8 @@ VIEWS = {
     "records": "SELECT DISTINCT p_brand AS pid, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS k FROM part",
     "places": "SELECT pid, k, CAST(k * 3 - 90 AS DOUBLE) AS lat, CAST((k * 17) % 360 AS DOUBLE) AS lon, ['Wood', 'Coral', 'GlacierIce', 'Speleothem'][k % 4 + 1] AS archive, 'set' || (k % 5) AS source, CASE WHEN k % 3 = 0 THEN 2.5 END AS error FROM records",
     "events_by": "SELECT 'u' || (user_id % 20) AS pid, CAST(floor((epoch(ts) - epoch(ts) % 1 - 1704067200) / 3600.0) AS DOUBLE) AS time, avg(value) AS value FROM events GROUP BY 1, 2",
-    "thin": "SELECT pid, year, value FROM annual WHERE year % 7 NOT IN (2, 5) AND year % 23 NOT IN (3, 4, 5, 6)",
+    "gappy": f"SELECT 's' || l_suppkey AS pid, CAST({WEEK.replace('day)', 'CAST(l_shipdate AS DATE))')} AS INTEGER) AS year, avg(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY 1, 2",
+    "by_user": "SELECT 'u' || user_id AS pid, CAST(floor((epoch(ts) - epoch(ts) % 1 - 1704067200) / 3600.0) AS DOUBLE) AS time, avg(value) AS value FROM events GROUP BY 1, 2",
     "span": "SELECT min(year) AS lo, max(year) AS hi FROM annual",
     "pairs": "SELECT pid, annual.year, value AS x, y FROM annual JOIN target ON annual.year = target.year",
     "split": "SELECT pid, year, x, y, md5(pid || ':' || year) AS place FROM pairs",
@@ -39,7 +42,7 @@ VIEWS = {
     "model": "SELECT pid, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, avg(y) AS train_mean FROM held WHERE NOT held GROUP BY pid",
     "member": "SELECT h.pid AS nest_id, year, held, y, intercept + slope * x AS value, train_mean FROM held h JOIN model m ON h.pid = m.pid",
 }
-NEEDS = {"weekly": ["sales"], "annual": ["weekly"], "target": ["sales"], "calendar": ["sales"], "res": ["weekly"], "places": ["records"], "thin": ["annual"], "span": ["annual"], "pairs": ["annual", "target"], "split": ["pairs"], "held": ["split"], "model": ["held"], "member": ["held", "model"]}
+NEEDS = {"weekly": ["sales"], "annual": ["weekly"], "target": ["sales"], "calendar": ["sales"], "res": ["weekly"], "places": ["records"], "span": ["annual"], "pairs": ["annual", "target"], "split": ["pairs"], "held": ["split"], "model": ["held"], "member": ["held", "model"]}
 
 
 def _with(sql: str, names: tuple[str, ...]) -> str:
@@ -98,8 +101,9 @@ def pairs_of(spark: SparkSession, d: str) -> DataFrame:
     return annual_of(spark, d).join(supplied.weekly_target(spark, d), "year").select("pid", "year", F.col("value").alias("x"), "y")
 
 
-def thin_of(spark: SparkSession, d: str) -> DataFrame:
-    return annual_of(spark, d).where("year % 7 not in (2, 5) and year % 23 not in (3, 4, 5, 6)")
+def gappy_of(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' weeks, of which many lack a sale."""
+    return supplied.supplier_weeks(spark, d).withColumnRenamed("time", "year").withColumn("year", F.col("year").cast("int"))
 
 
 # sources and the data model
@@ -232,55 +236,53 @@ def tumbling_windows(spark, d):
     return temporal.window_table(spark, 0, 33, 5)
 
 
-@query("SELECT pid, CAST(10 + floor((time + 0.5 - 10) / 5) * 5 AS INTEGER) AS window_id, round(avg(value), 6) AS value FROM weekly WHERE time >= 9.5 AND time < 300.5 GROUP BY 1, 2", "weekly")
+@query("SELECT pid, CAST(floor((time + 0.5) / 5) * 5 AS INTEGER) AS window_id, round(avg(value), 6) AS value FROM weekly GROUP BY 1, 2", "weekly")
 def native_window_means(spark, d):
-    return temporal.native_window_means(supplied.weekly(spark, d), 10, 300, 5).select("pid", "window_id", r6("value").alias("value"))
+    return temporal.native_window_means(supplied.weekly(spark, d), 0, WEEKS, 5).select("pid", "window_id", r6("value").alias("value"))
 
 
-COMPLETE = """WITH sparse AS (SELECT pid, time, value FROM weekly WHERE CAST(time AS INTEGER) % 5 = 0),
-w AS (SELECT CAST(10 + floor((year - 10) / 5.0) * 5 AS INTEGER) AS id, avg(y) AS y, count(*) AS n FROM target WHERE year BETWEEN 10 AND 298 GROUP BY 1),
-p AS (SELECT pid, CAST(10 + floor((time + 0.5 - 10) / 5) * 5 AS INTEGER) AS id, avg(value) AS x FROM sparse WHERE time >= 10 AND time < 299 AND time < 298.5 GROUP BY 1, 2)
-SELECT pid, p.id AS window_id, round(x, 6) AS x, round(w.y, 6) AS y FROM p JOIN w ON p.id = w.id WHERE n = 5 AND p.id + 4 <= 298"""
+COMPLETE = """WITH w AS (SELECT CAST(floor(year / 5.0) * 5 AS INTEGER) AS id, avg(y) AS y, count(*) AS n FROM target WHERE year BETWEEN 0 AND 359 GROUP BY 1),
+p AS (SELECT pid, CAST(floor((year + 0.5) / 5) * 5 AS INTEGER) AS id, avg(value) AS x FROM gappy GROUP BY 1, 2)
+SELECT pid, p.id AS window_id, round(x, 6) AS x, round(w.y, 6) AS y FROM p JOIN w ON p.id = w.id WHERE n = 5"""
 
 
-@query(COMPLETE, "weekly", "target")
+@query(COMPLETE, "gappy", "target")
 def complete_window_pairs(spark, d):
-    sparse = supplied.weekly(spark, d).where(F.col("time").cast("int") % 5 == 0)
-    got = temporal.complete_window_pairs(sparse, supplied.weekly_target(spark, d), 10, 298, 5)
+    got = temporal.complete_window_pairs(supplied.supplier_weeks(spark, d), supplied.weekly_target(spark, d), 0, WEEKS, 5)
     return got.select("pid", "window_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("SELECT p.pid, CAST(g.year AS INTEGER) AS year, round(value, 6) AS value FROM (SELECT DISTINCT pid FROM annual) p CROSS JOIN range(0, 301) g(year) LEFT JOIN annual a ON a.pid = p.pid AND a.year = g.year", "annual")
+@query("SELECT p.pid, CAST(g.year AS INTEGER) AS year, round(value, 6) AS value FROM (SELECT DISTINCT pid FROM annual) p CROSS JOIN range(0, 360) g(year) LEFT JOIN annual a ON a.pid = p.pid AND a.year = g.year", "annual")
 def dense_matrix_long(spark, d):
-    return temporal.dense_matrix(annual_of(spark, d), 0, 300).select("pid", "year", r6("value").alias("value"))
+    return temporal.dense_matrix(annual_of(spark, d), 0, WEEKS).select("pid", "year", r6("value").alias("value"))
 
 
-FILL = """WITH g AS (SELECT p.pid, CAST(r.year AS INTEGER) AS year, value FROM (SELECT DISTINCT pid FROM thin) p CROSS JOIN range(0, 301) r(year) LEFT JOIN thin a ON a.pid = p.pid AND a.year = r.year),
+FILL = """WITH g AS (SELECT p.pid, CAST(r.year AS INTEGER) AS year, value FROM (SELECT DISTINCT pid FROM gappy) p CROSS JOIN range(0, 360) r(year) LEFT JOIN gappy a ON a.pid = p.pid AND a.year = r.year),
 b AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w0 AS y0, last_value(value IGNORE NULLS) OVER w0 AS v0, first_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w1 AS y1, first_value(value IGNORE NULLS) OVER w1 AS v1 FROM g
 WINDOW w0 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w1 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 f AS (SELECT pid, year, value IS NOT NULL AS is_native, coalesce(value IS NULL AND y1 - y0 - 1 <= 2, false) AS is_interpolated, value, v0 + (v1 - v0) * (year - y0) / (y1 - y0) AS line FROM b)
 """
 
 
-@query(FILL + "SELECT pid, year, round(CASE WHEN is_interpolated THEN line ELSE value END, 6) AS value, is_native, is_interpolated FROM f", "thin")
+@query(FILL + "SELECT pid, year, round(CASE WHEN is_interpolated THEN line ELSE value END, 6) AS value, is_native, is_interpolated FROM f", "gappy")
 def bounded_gap_fill(spark, d):
-    dense = temporal.dense_matrix(thin_of(spark, d), 0, 300)
+    dense = temporal.dense_matrix(gappy_of(spark, d), 0, WEEKS)
     return temporal.fill_short_gaps(dense, 2).select("pid", "year", r6("value").alias("value"), "is_native", "is_interpolated")
 
 
-@query(FILL + "SELECT pid, CAST(sum(CAST(is_native AS INTEGER)) AS BIGINT) AS native_years, CAST(sum(CAST(is_interpolated AS INTEGER)) AS BIGINT) AS interpolated_years FROM f GROUP BY pid", "thin")
+@query(FILL + "SELECT pid, CAST(sum(CAST(is_native AS INTEGER)) AS BIGINT) AS native_years, CAST(sum(CAST(is_interpolated AS INTEGER)) AS BIGINT) AS interpolated_years FROM f GROUP BY pid", "gappy")
 def gap_fill_audit(spark, d):
-    return temporal.gap_audit(temporal.fill_short_gaps(temporal.dense_matrix(thin_of(spark, d), 0, 300), 2))
+    return temporal.gap_audit(temporal.fill_short_gaps(temporal.dense_matrix(gappy_of(spark, d), 0, WEEKS), 2))
 
 
 @query(FILL + """SELECT year, CAST(count(*) FILTER (is_native OR is_interpolated) AS BIGINT) AS available, CAST(count(*) FILTER (is_native) AS BIGINT) AS native, CAST(count(*) FILTER (is_interpolated) AS BIGINT) AS interpolated,
-CAST(count(*) FILTER (is_native OR is_interpolated) AS DOUBLE) AS effective, CASE WHEN count(*) FILTER (is_native) > 0 THEN 'native' WHEN count(*) FILTER (is_interpolated) > 0 THEN 'interpolated_only' ELSE 'unconstrained' END AS label FROM f GROUP BY year""", "thin")
+CAST(count(*) FILTER (is_native OR is_interpolated) AS DOUBLE) AS effective, CASE WHEN count(*) FILTER (is_native) > 0 THEN 'native' WHEN count(*) FILTER (is_interpolated) > 0 THEN 'interpolated_only' ELSE 'unconstrained' END AS label FROM f GROUP BY year""", "gappy")
 def availability_labels(spark, d):
-    return temporal.availability(temporal.fill_short_gaps(temporal.dense_matrix(thin_of(spark, d), 0, 300), 2))
+    return temporal.availability(temporal.fill_short_gaps(temporal.dense_matrix(gappy_of(spark, d), 0, WEEKS), 2))
 
 
 AVAILABILITY = f"""WITH a AS (SELECT 's' || l_suppkey AS pid, CAST({WEEK.replace("day)", "CAST(l_shipdate AS DATE))")} AS INTEGER) AS year, avg(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY 1, 2),
-g AS (SELECT p.pid, CAST(r.year AS INTEGER) AS year, value FROM (SELECT DISTINCT pid FROM a) p CROSS JOIN range(0, 301) r(year) LEFT JOIN a ON a.pid = p.pid AND a.year = r.year),
+g AS (SELECT p.pid, CAST(r.year AS INTEGER) AS year, value FROM (SELECT DISTINCT pid FROM a) p CROSS JOIN range(0, 360) r(year) LEFT JOIN a ON a.pid = p.pid AND a.year = r.year),
 b AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w0 AS y0, first_value(CASE WHEN value IS NOT NULL THEN year END IGNORE NULLS) OVER w1 AS y1 FROM g
 WINDOW w0 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w1 AS (PARTITION BY pid ORDER BY year ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 f AS (SELECT pid, year, value IS NOT NULL AS is_native, coalesce(value IS NULL AND y1 - y0 - 1 <= 2, false) AS is_filled FROM b),
@@ -288,7 +290,7 @@ m AS (SELECT 's' || s_suppkey AS pid, 1.0 / (1 + s_nationkey % 4) AS weight FROM
 o AS (SELECT DISTINCT 'c' || o_custkey AS pid, CAST({WEEK.replace("day)", "CAST(o_orderdate AS DATE))")} AS DOUBLE) AS time FROM orders),
 n AS (SELECT pid, time, time - lag(time) OVER w AS g0, lead(time) OVER w - time AS g1 FROM o WINDOW w AS (PARTITION BY pid ORDER BY time)), s AS (SELECT pid, median(g0) AS res FROM n GROUP BY pid),
 v AS (SELECT pid, time, least(greatest(CASE WHEN g0 IS NULL AND g1 IS NULL THEN 1 ELSE (coalesce(g0, g1) + coalesce(g1, g0)) / 2 END, 1), coalesce(greatest(1, 3 * res), 1e9)) AS width FROM n JOIN s USING (pid)),
-l AS (SELECT y.year, count(DISTINCT pid) AS low FROM range(0, 301) y(year) LEFT JOIN v ON y.year >= time - width / 2 AND y.year < time + width / 2 GROUP BY 1),
+l AS (SELECT y.year, count(DISTINCT pid) AS low FROM range(0, 360) y(year) LEFT JOIN v ON y.year >= time - width / 2 AND y.year < time + width / 2 GROUP BY 1),
 c AS (SELECT year, count(*) FILTER (is_native OR is_filled) AS available, count(*) FILTER ((is_native OR is_filled) AND weight IS NOT NULL) AS model, count(*) FILTER (is_native AND weight IS NOT NULL) AS native, count(*) FILTER (is_filled AND weight IS NOT NULL) AS filled, coalesce(sum(weight) FILTER (is_native OR is_filled), 0) AS effective FROM f LEFT JOIN m USING (pid) GROUP BY year)
 SELECT 'main' AS run, c.year, available AS available_proxy_count, model AS model_proxy_count, native AS native_model_proxy_count, filled AS interpolated_model_proxy_count, filled > 0 AS uses_interpolated_proxy, round(effective, 6) AS effective_model_proxy_count, low AS low_resolution_support_count, CASE WHEN model >= 15 THEN 'annual_core' WHEN low > 0 THEN 'low_frequency_only' ELSE 'unconstrained' END AS state_support FROM c JOIN l USING (year)"""
 
@@ -298,7 +300,7 @@ def availability_audit(spark, d):
     """Suppliers' weeks as the annual core, gaps as they are; a model of some of them with weights; customers' orders as slow series."""
     week = lambda c: F.floor(F.datediff(F.to_date(c), F.lit(supplied.ORIGIN).cast("date")) / 7.0)
     core = supplied.table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("pid"), week("l_shipdate").cast("int").alias("year")).agg(F.avg("l_quantity").alias("value"))
-    filled = temporal.fill_short_gaps(temporal.dense_matrix(core, 0, 300), 2)
+    filled = temporal.fill_short_gaps(temporal.dense_matrix(core, 0, WEEKS), 2)
     model = supplied.table(spark, d, "supplier").where("s_acctbal >= 0").select(F.lit("main").alias("run"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("pid"), (1.0 / (1 + F.col("s_nationkey") % 4)).alias("weight"))
     orders = supplied.table(spark, d, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("pid"), week("o_orderdate").cast("double").alias("time")).agg(F.avg("o_totalprice").alias("value"))
     named = lambda df: df.select(F.lit("main").alias("run"), "pid").distinct()
@@ -306,10 +308,10 @@ def availability_audit(spark, d):
     return got.withColumn("effective_model_proxy_count", r6("effective_model_proxy_count"))
 
 
-@query("""WITH f AS (SELECT pid, avg(value) AS m, stddev_samp(value) AS s, count(*) AS n FROM annual WHERE year BETWEEN 50 AND 150 AND year % 3 <> 0 GROUP BY pid)
-SELECT a.pid, a.year, round(CASE WHEN n >= 2 AND s > 0 THEN (value - m) / s END, 6) AS value, round(m, 6) AS reference_mean, round(s, 6) AS reference_sd, n AS reference_n FROM annual a LEFT JOIN f USING (pid)""", "annual")
+@query("""WITH f AS (SELECT pid, avg(value) AS m, stddev_samp(value) AS s, count(*) AS n FROM annual JOIN target USING (year) WHERE year BETWEEN 50 AND 150 AND y >= 25.5 GROUP BY pid)
+SELECT a.pid, a.year, round(CASE WHEN n >= 2 AND s > 0 THEN (value - m) / s END, 6) AS value, round(m, 6) AS reference_mean, round(s, 6) AS reference_sd, n AS reference_n FROM annual a LEFT JOIN f USING (pid)""", "annual", "target")
 def period_zscore(spark, d):
-    allowed = spark.range(0, 400).where("id % 3 != 0").select(F.col("id").cast("int").alias("year"))
+    allowed = supplied.weekly_target(spark, d).where("y >= 25.5").select("year")
     z = temporal.reference_zscore(annual_of(spark, d), 50, 150, allowed)
     return z.select("pid", "year", r6("value").alias("value"), r6("reference_mean").alias("reference_mean"), r6("reference_sd").alias("reference_sd"), "reference_n")
 
@@ -326,22 +328,21 @@ def linear_detrend(spark, d):
     return temporal.linear_detrend(annual_of(spark, d)).select("pid", "year", r6("value").alias("value"))
 
 
-WIDTHS = """WITH e AS (SELECT pid, time, value FROM events_by WHERE CAST(time AS INTEGER) % 3 <> 1),
-g AS (SELECT pid, time, time - lag(time) OVER w AS g0, lead(time) OVER w - time AS g1 FROM e WINDOW w AS (PARTITION BY pid ORDER BY time)),
+WIDTHS = """WITH g AS (SELECT pid, time, time - lag(time) OVER w AS g0, lead(time) OVER w - time AS g1 FROM by_user WINDOW w AS (PARTITION BY pid ORDER BY time)),
 s AS (SELECT pid, median(g0) AS res FROM g GROUP BY pid),
 v AS (SELECT pid, time, least(greatest(CASE WHEN g0 IS NULL AND g1 IS NULL THEN 1 ELSE (coalesce(g0, g1) + coalesce(g1, g0)) / 2 END, 1), coalesce(greatest(1, 3 * res), 1e9)) AS width FROM g JOIN s USING (pid))
 """
 
 
-@query(WIDTHS + "SELECT pid, time, round(width, 6) AS width FROM v", "events_by")
+@query(WIDTHS + "SELECT pid, time, round(width, 6) AS width FROM v", "by_user")
 def native_support_widths(spark, d):
-    obs = supplied.event_steps(spark, d).where(F.col("time").cast("int") % 3 != 1)
+    obs = supplied.user_steps(spark, d)
     return temporal.support_widths(obs).select("pid", "time", r6("width").alias("width"))
 
 
-@query(WIDTHS + "SELECT CAST(y.year AS INTEGER) AS year, CAST(count(DISTINCT pid) AS BIGINT) AS support FROM range(0, 721) y(year) LEFT JOIN v ON y.year >= time - width / 2 AND y.year < time + width / 2 GROUP BY 1", "events_by")
+@query(WIDTHS + "SELECT CAST(y.year AS INTEGER) AS year, CAST(count(DISTINCT pid) AS BIGINT) AS support FROM range(0, 721) y(year) LEFT JOIN v ON y.year >= time - width / 2 AND y.year < time + width / 2 GROUP BY 1", "by_user")
 def native_support_cover(spark, d):
-    obs = supplied.event_steps(spark, d).where(F.col("time").cast("int") % 3 != 1)
+    obs = supplied.user_steps(spark, d)
     return temporal.support_counts(obs, 0, 720)
 
 

@@ -6,7 +6,7 @@ fractional calendar years. Brand numbers give the records' places and archives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .series import Series
@@ -37,6 +37,13 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales(spark, sf_dir).groupBy("pid", time.alias("time")).agg(F.avg("value").alias("value"))
 
 
+def supplier_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pid, time, value): mean quantity by supplier and whole week; many weeks lack a sale."""
+    week = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit(ORIGIN).cast("date")) / 7.0).cast("double")
+    pid = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").groupBy(pid.alias("pid"), week.alias("time")).agg(F.avg("l_quantity").cast("double").alias("value"))
+
+
 def weekly_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, y): mean quantity of all brands by week."""
     week = F.floor(F.datediff("day", F.lit(ORIGIN).cast("date")) / 7.0).cast("int")
@@ -55,11 +62,19 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _by_hour(spark: SparkSession, sf_dir: str, user: Column) -> DataFrame:
+    hour = F.floor((F.unix_timestamp("ts") - 1704067200) / 3600.0).cast("double")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), user.cast("string")).alias("pid"), hour.alias("time"), F.col("value").cast("double").alias("value")).groupBy("pid", "time").agg(F.avg("value").alias("value"))
+
+
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, time, value): events as twenty series by user, hours since the first day as years."""
-    ev = table(spark, sf_dir, "events")
-    hour = F.floor((F.unix_timestamp("ts") - 1704067200) / 3600.0).cast("double")
-    return ev.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("pid"), hour.alias("time"), F.col("value").cast("double").alias("value")).groupBy("pid", "time").agg(F.avg("value").alias("value"))
+    return _by_hour(spark, sf_dir, F.col("user_id") % 20)
+
+
+def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pid, time, value): events as a series for each user, with gaps of many hours."""
+    return _by_hour(spark, sf_dir, F.col("user_id"))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> Series:
