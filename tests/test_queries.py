@@ -38,6 +38,16 @@ def test_other_queries_give_rows(spark, name):
     assert catalogue.queries()[name](spark, SMALL).count() > 0
 
 
+def test_model_inputs_are_averaged_once(spark):
+    """The plans read their inputs many times; none of these may lead back to the sales."""
+    from varve.plans import modelling
+
+    obs, records, selected, target = modelling._inputs(spark, SMALL)
+    for df in (obs, records, selected, target):
+        assert not [f for f in df.inputFiles() if "lineitem" in f or "part.parquet" in f]
+        assert df.count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

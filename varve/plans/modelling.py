@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..config import PCAConfig, PipelineConfig, ReconstructionConfig, ScreeningConfig, SensitivityConfig, having
+from ..functions.storage import kept
 from ..kernels import skill, smooth
 from ..operators import temporal
 from ..sources import supplied
@@ -17,12 +18,15 @@ DEMO = having(ReconstructionConfig(), {"ensemble.members": 50, "gates.ce": -10.0
 
 
 def _inputs(spark, d):
-    """Weekly series, of every fifth brand means of three weeks; all are selected."""
+    """Weekly series, of every fifth brand means of three weeks; all are selected.
+
+    Written once: the plans read each of them many times, and sales would be joined and averaged anew each time.
+    """
     k = F.regexp_extract("pid", "([0-9]+)", 1).cast("int")
     time = F.when(k % 5 == 0, F.floor(F.col("time") / 3) * 3).otherwise(F.col("time")).cast("double")
-    obs = supplied.weekly(spark, d).groupBy("pid", time.alias("time")).agg(F.avg("value").alias("value"))
-    records = supplied.records(spark, d).join(temporal.native_resolution(obs), "pid")
-    return obs, records, records.select("pid", F.lit("").alias("season")), supplied.weekly_target(spark, d)
+    obs = kept(supplied.weekly(spark, d).groupBy("pid", time.alias("time")).agg(F.avg("value").alias("value")))
+    records = kept(supplied.records(spark, d).join(temporal.native_resolution(obs), "pid"))
+    return obs, records, records.select("pid", F.lit("").alias("season")), kept(supplied.weekly_target(spark, d))
 
 
 @query()
