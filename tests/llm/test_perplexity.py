@@ -165,3 +165,18 @@ def test_rules(spark, make_docs):
 def test_no_rows(spark, make_docs):
     assert judge_quality(make_docs([])).count() == 0
     assert judge_quality(make_docs([(1, None), (2, "")])).where("kept").count() == 0
+
+
+@pytest.mark.parametrize("most", [100])
+def test_a_model_beyond_the_bound_is_taken_in_blocks(spark, most):
+    """No gram is left out: every row's log perplexity is that of the whole model."""
+    rows = [(k, t, "en" if k % 3 else None) for k, t in enumerate(texts(6, 80) * 3)]
+    rows += [rows[5], rows[5], (None, "abc de", "en"), (None, "abc dee", "en"), (900, None, "en"), (901, " \n", None), (7, "same id", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda r: (str(r.doc_id), r.n_words, r.word_chars, r.log_perplexity or 0.0)
+    whole, got = (sorted(judge_quality(docs, PerplexityConfig(max_grams=m)).collect(), key=key) for m in (1_000_000, most))
+    assert len(got) == len(rows)
+    for a, b in zip(whole, got, strict=True):
+        assert a[:8] == b[:8]
+        assert (a.log_perplexity is None) == (b.log_perplexity is None)
+        assert a.log_perplexity is None or b.log_perplexity == pytest.approx(a.log_perplexity, abs=1e-6)

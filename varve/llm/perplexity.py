@@ -10,9 +10,13 @@ context leaves to the shorter gram.
 A row's own spelling is no evidence for it: grams that fewer than ``min_docs`` rows hold are left out of the
 model (their mass goes to the context's backoff), and a shorter gram stays where it ends one that stays.
 The model is stored as one sorted array of 64-bit hashes of (language, kind, gram) with log values beside
-it, and broadcast. Its size has a bound: where more than ``max_grams`` longest grams would stay, ``min_docs``
-is raised to the least number with which they do not; five orders with a probability and a backoff each make
-at most ten entries of 12 bytes for each of them. Counts and discounts come from all grams either way.
+it, and broadcast. Where more than ``max_grams`` longest grams stay, it would be too large for that: then Spark
+joins the model to each different longest gram of the texts, which gives the gram's log probability, and the
+rows are read once for each block of at most ``ENTRIES`` * ``max_grams`` of these values, of which one block at a time
+is broadcast. Their sums are those of the whole model, at any size. (Five orders with a probability and a backoff
+each make ten entries of 12 bytes at most for a longest gram.) ``train_perplexity`` gives a model in one piece to
+score other texts by; it has to fit, so there, and there alone, ``min_docs`` is raised to the least number with
+which at most ``max_grams`` stay.
 Keys that share a hash would share a value; among 10^7 entries that is one chance in 10^5.
 
 A text's log perplexity is its mean negative log probability by character. The bands of a language are the
@@ -33,9 +37,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +55,7 @@ START = 2  # the sign before a text; texts have U+FFFD in its place
 PIECE = 1 << 20
 MEMO = 1 << 19
 TOGETHER = 1 << 16
+ENTRIES = 2 * ORDER
 
 
 @dataclass(frozen=True)
@@ -364,38 +371,73 @@ class PerplexityModel:
         return self.log_perplexities([text], lang)[0]
 
 
-def train_perplexity(rows: DataFrame, cfg: PerplexityConfig = PerplexityConfig()) -> PerplexityModel:
-    """Count all texts of (lang, text) and lay out the model; lang is never null."""
-    grams = durable(count_grams(rows))
-    need, kept = cfg.min_docs, 0
+@dataclass
+class GramBlock(PerplexityModel):
+    """A block of the longest grams with their log probabilities; those of other blocks count as 0."""
+
+    def log_probabilities(self, codes: np.ndarray, lang: str) -> np.ndarray:
+        return self.find(rolled(codes)[ORDER], seed_of(lang, "p", ORDER))[1].astype(np.float64)
+
+
+def _sorted(entries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = entries.toArrow()
+    keys = table["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table["value"].to_numpy()[order]
+
+
+def _threshold(grams: DataFrame, cfg: PerplexityConfig) -> int:
+    """The least number of rows, ``min_docs`` or more, that at most ``max_grams`` of the grams occur in."""
+    kept = 0
     # one row for each number of rows that some gram occurs in, up to a million
     for r in grams.groupBy(F.least("docs", F.lit(1 << 20)).alias("docs")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("docs")).toLocalIterator():
+        if r["docs"] < cfg.min_docs:
+            break
         kept += r["k"]
         if kept > cfg.max_grams:
-            need = max(need, r["docs"] + 1)
-            break
-        if r["docs"] <= cfg.min_docs:
-            break
+            return max(cfg.min_docs, r["docs"] + 1)
+    return cfg.min_docs
+
+
+def _entries(grams: DataFrame, min_docs: int, cfg: PerplexityConfig) -> DataFrame:
     few = grams.agg(F.count_distinct("lang")).first()[0] <= cfg.broadcast_langs
-    table = hashed(kneser_ney(grams, need, F.broadcast if few else (lambda df: df))).toArrow()
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return PerplexityModel(keys[order], table["value"].to_numpy()[order])
+    return kneser_ney(grams, min_docs, F.broadcast if few else (lambda df: df))
+
+
+def gram_values(grams: DataFrame, entries: DataFrame) -> DataFrame:
+    """(lang, gram, value): the log probability of the last character of each of ``grams`` by ``entries`` of the model."""
+    entries = durable(entries.withColumns({"n": F.length("gram"), "value": F.col("value").cast("float").cast("double")}))
+    part = lambda kind, n, name, value: entries.where((F.col("kind") == kind) & (F.col("n") == n)).select("lang", F.col("gram").alias(name), F.col("value").alias(value))
+    levels = {ORDER: grams.select("lang", "gram")}
+    for n in range(ORDER - 1, 0, -1):
+        levels[n] = durable(levels[n + 1].select("lang", F.substring("gram", 2, ORDER).alias("gram")).distinct())
+    told = part("p", 0, "gram", "value")
+    for n in range(1, ORDER + 1):
+        rows = levels[n].withColumns({"context": F.substring("gram", 1, n - 1), "suffix": F.substring("gram", 2, ORDER)})
+        rows = rows.join(told.select("lang", F.col("gram").alias("suffix"), F.col("value").alias("lower")), ["lang", "suffix"])
+        rows = rows.join(part("g", n - 1, "context", "g"), ["lang", "context"], "left").join(part("p", n, "gram", "p"), ["lang", "gram"], "left")
+        told = durable(rows.select("lang", "gram", F.coalesce("p", F.coalesce("g", F.lit(0.0)) + F.col("lower")).alias("value")))
+    return told
+
+
+def train_perplexity(rows: DataFrame, cfg: PerplexityConfig = PerplexityConfig()) -> PerplexityModel:
+    """Count all texts of (lang, text) and lay out a model in one piece; lang is never null."""
+    grams = durable(count_grams(rows))
+    return PerplexityModel(*_sorted(hashed(_entries(grams, _threshold(grams, cfg), cfg))))
 
 
 # rules
 
 
-def measured(docs: DataFrame, model: PerplexityModel, cfg: PerplexityConfig) -> DataFrame:
-    """Base counts and log perplexity (in thousandths too) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+def measured(docs: DataFrame, held: Broadcast, cfg: PerplexityConfig, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Base counts and log perplexity of every row by the model that is held, with the columns of longs that are carried along."""
+    ddl = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double" + "".join(f", {c} long" for c in carried)
     out = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                ids, langs, texts = (batch.column(c).slice(start, 256).to_pylist() for c in ("doc_id", "lang", "text"))
+                ids, langs, texts, *more = (batch.column(c).slice(start, 256).to_pylist() for c in ("doc_id", "lang", "text", *carried))
                 logs: dict[int, float | None] = {}
                 for lang in set(langs):
                     rows = [k for k, own in enumerate(langs) if own == lang]
@@ -404,12 +446,56 @@ def measured(docs: DataFrame, model: PerplexityModel, cfg: PerplexityConfig) ->
                 for k, text in enumerate(texts):
                     counts = base_counts(text)
                     failed = counts[0] < cfg.min_words or 100 * counts[4] > cfg.max_repeat_percent * counts[0]
-                    made.append((ids[k], langs[k], *counts, failed, logs[k]))
+                    made.append((ids[k], langs[k], *counts, failed, logs[k], *(c[k] for c in more)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
     return docs.mapInArrow(run, ddl)
 
 
+def _log_parts(docs: DataFrame, held: Broadcast) -> DataFrame:
+    """(k1, k2, log_part): what the block of grams that is held adds to each row's log perplexity."""
+    ddl = "k1 long, k2 long, log_part double"
+    out = arrow_schema(docs.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                k1, k2, langs, texts = (batch.column(c).slice(start, 256).to_pylist() for c in ("k1", "k2", "lang", "text"))
+                logs: list[float | None] = [None] * len(texts)
+                for lang in set(langs):
+                    rows = [k for k, own in enumerate(langs) if own == lang]
+                    for k, value in zip(rows, held.value.log_perplexities([texts[k] for k in rows], lang), strict=True):
+                        logs[k] = value
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((k1, k2, logs), out, strict=True)], schema=out)
+
+    return docs.select("k1", "k2", "lang", "text").mapInArrow(run, ddl)
+
+
+def measured_in_blocks(docs: DataFrame, values: DataFrame, cfg: PerplexityConfig) -> DataFrame:
+    """As ``measured``, by hashed log probabilities of all longest grams, of which one block at a time is broadcast."""
+    context = docs.sparkSession.sparkContext
+    values = durable(values)
+    blocks = max(1, -(-values.count() // (ENTRIES * cfg.max_grams)))
+    # equal rows, which have equal parts, are one key
+    of_row = [F.col("doc_id"), F.isnull("doc_id"), F.col("lang"), F.col("text")]
+    keys = {"k1": F.xxhash64(*of_row), "k2": F.xxhash64(F.lit(1), *of_row)}
+    rows, base, parts = docs.withColumns(keys), docs, []
+    for block in range(blocks):
+        held = context.broadcast(GramBlock(*_sorted(values.where(F.pmod("key", F.lit(blocks)) == block))))
+        if block == 0:
+            base = durable(measured(rows, held, cfg, tuple(keys)))
+        else:
+            parts.append(durable(_log_parts(rows, held)).withColumn("block", F.lit(block)))
+        held.unpersist()
+    if not parts:
+        return base.drop(*keys)
+    every = reduce(DataFrame.unionByName, parts).where("log_part IS NOT NULL").groupBy("k1", "k2", "block").agg(F.max("log_part").alias("log_part"))
+    # added in the order of the blocks, so that a second run gives the same bits
+    added = F.expr("aggregate(array_sort(collect_list(struct(block, log_part))), 0D, (sum, part) -> sum + part.log_part)")
+    joined = base.join(every.groupBy("k1", "k2").agg(added.alias("others")), [*keys], "left")
+    return durable(joined.withColumn("log_perplexity", F.col("log_perplexity") + F.coalesce("others", F.lit(0.0))).drop(*keys, "others"))
+
+
 def perplexity_bands(rows: DataFrame, cfg: PerplexityConfig = PerplexityConfig()) -> DataFrame:
     """(lang, lower, upper) of the rows that pass the base rules, by exact histograms in thousandths."""
     bins = rows.where("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("lang", F.round(F.col("log_perplexity") * 1000).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
@@ -432,7 +518,13 @@ def judge_quality(docs: DataFrame, cfg: PerplexityConfig = PerplexityConfig()) -
     """doc_id, the base counts, base_failed, kept, log_perplexity, lower, upper of every row."""
     # a null language is apart from all names
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = durable(measured(rows, train_perplexity(rows, cfg), cfg))
+    grams = durable(count_grams(rows))
+    entries = _entries(grams, cfg.min_docs, cfg)
+    if _threshold(grams, cfg) == cfg.min_docs:
+        model = PerplexityModel(*_sorted(hashed(entries)))
+        scored = durable(measured(rows, docs.sparkSession.sparkContext.broadcast(model), cfg))
+    else:
+        scored = measured_in_blocks(rows, hashed(gram_values(grams, entries).withColumn("kind", F.lit("p"))), cfg)
     bands = durable(perplexity_bands(scored, cfg), 1)
     small = F.broadcast if bands.count() <= cfg.broadcast_langs else (lambda df: df)
     joined = scored.join(small(bands), "lang", "left")
