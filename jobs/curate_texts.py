@@ -20,7 +20,7 @@ import argparse
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobs.settings import load
@@ -39,22 +39,39 @@ class CurateConfig:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """docs with digest, group_size and best (whether the row is the one that stays); summed by text before rows meet."""
+    """docs with digest, group_size and best (whether the row is the one that stays).
+
+    Rows with their texts move once, by the hash of what they are ordered by but for completeness and text: equal
+    rows meet there, and so do the rows of which the text decides. What a group is, is found from hashes.
+    """
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    rows = docs.dropDuplicates().withColumn("digest", F.when(plain != "", F.sha2(plain, 256)))
-    order = F.struct(
-        (-completeness(docs, ("doc_id", "text"))).alias("a"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("b"), F.coalesce("lang", F.lit("")).alias("c"),
-        F.coalesce("source", F.lit("")).alias("d"), F.coalesce("text", F.lit("")).alias("e"), F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)).alias("f"),
+    near = F.struct(
+        (-completeness(docs, ("doc_id", "text"))).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").cast("long").alias("c"), F.coalesce("lang", F.lit("")).alias("d"), F.coalesce("source", F.lit("")).alias("e")
     )
-    rows = rows.withColumn("__order", order)
-    groups = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("__n"), F.min("__order").alias("__first"), F.min_by("doc_id", "__order").alias("__id")).where("__n > 1").withColumnRenamed("digest", "__key")
-    # rows without a digest meet no group and are spread over many keys
-    key = F.coalesce("digest", F.concat(F.lit("none "), F.pmod(F.xxhash64("doc_id", "source"), F.lit(10_000)).cast("string")))
-    joined = rows.withColumn("__key", key).join(groups, "__key", "left")
+    order = F.struct(near.alias("a"), F.coalesce("text", F.lit("")).alias("b"), F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)).alias("c"))
+    # never null, so that joins add no filter that makes the hashes again
+    hashed = lambda *c: F.coalesce(F.unhex(F.sha2(F.to_json(F.struct(*c)), 256)), F.lit(b""))
+    keyed = docs.withColumn("digest", F.when(plain != "", F.sha2(plain, 256)))
+    keyed = keyed.withColumn("__key", hashed("digest", "doc_id", F.coalesce("lang", F.lit("")).alias("d"), F.coalesce("source", F.lit("")).alias("e")))
+    keyed = keyed.withColumn("__record", hashed(F.sha2("text", 256).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")))
+
+    # a row without a digest is a group of its own
+    group = F.coalesce("digest", F.lower(F.hex("__record"))).alias("__group")
+    narrow = keyed.select("__key", "__record", group, "doc_id", near.alias("__near")).repartition("__key").distinct()
+    places = narrow.groupBy("__key", "__group").agg(F.count(F.lit(1)).alias("__here"), F.min(F.struct("__near", "doc_id")).alias("__mine"))
+    groups = places.groupBy("__group").agg(F.sum("__here").alias("__n"), F.min("__mine").alias("__first")).where("__n > 1")
+    # both sides of the join need the same columns of places and so share what is moved for them
+    grouped = places.join(groups, "__group").where("__n >= __here AND __mine >= __first").select("__key", "__n", "__first")
+
+    # a window, as an aggregate would sort or hash the texts once more
+    again = F.row_number().over(Window.partitionBy("__key", "__record").orderBy("__record"))
+    rows = keyed.repartition("__key").withColumn("__again", again).where("__again = 1")
+    rows = rows.withColumn("__own", F.min(order).over(Window.partitionBy("__key")) == order)
+    joined = rows.join(grouped, "__key", "left")
     size = F.when(F.col("digest").isNotNull(), F.coalesce("__n", F.lit(1)))
-    best = F.col("__first").isNull() | (F.col("__order") == F.col("__first"))
-    keep = F.when(F.col("digest").isNotNull(), F.when(F.col("__first").isNull(), F.col("doc_id")).otherwise(F.col("__id")))
-    return joined.withColumns({"group_size": size, "keep_id": keep, "best": best}).drop("__key", "__n", "__first", "__id", "__order")
+    best = F.col("__first").isNull() | (F.col("__own") & near.eqNullSafe(F.col("__first.__near")))
+    keep = F.when(F.col("digest").isNotNull(), F.when(F.col("__first").isNull(), F.col("doc_id")).otherwise(F.col("__first.doc_id")))
+    return joined.withColumns({"group_size": size, "keep_id": keep, "best": best}).drop("__key", "__record", "__again", "__own", "__n", "__first")
 
 
 def decide(docs: DataFrame, cfg: CurateConfig) -> DataFrame:

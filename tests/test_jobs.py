@@ -150,3 +150,22 @@ def test_command_line(spark, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read " in done.stderr
     assert len(os.listdir(tmp_path / "out")) >= 1
+
+
+def shuffled_mb(spark):
+    """MB that all stages of the session wrote to shuffles so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def test_curate_moves_texts_once(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(k, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)), "en", "s", 3000) for k in range(1000)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(docs + docs[:50], DOCS).repartition(4).write.parquet(source)
+    text_mb = 3 * 3000 * 1050 / 1e6
+    before = shuffled_mb(spark)
+    assert curate_texts.run(spark, source, str(tmp_path / "out"), CurateConfig()).count() == 1000
+    moved = shuffled_mb(spark) - before
+    print("MB moved", moved, "of texts", text_mb)
+    assert moved < 1.5 * text_mb
